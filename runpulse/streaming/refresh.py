@@ -1,0 +1,162 @@
+"""The latest-run table, kept up to date by small scans.
+
+A full scan of the retention window happens at first (bootstrap) and every few hours
+(reconcile); in between, a tick reads only what was inserted since the watermark less an
+overlap. The watermark is a scan position, not a limit for late data: a late row inside the
+overlap is found by the next tick, an older one by the next reconcile, and merging a row
+twice changes nothing.
+"""
+
+from __future__ import annotations
+
+import time
+from collections.abc import Callable
+from dataclasses import dataclass
+from datetime import datetime, timedelta
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from runpulse.functions.instants import instant, iso_micros
+from runpulse.operators.grid import latest_of, latest_runs
+from runpulse.operators.health import app_health
+from runpulse.params import as_instant
+from runpulse.schemas import LATEST_RUNS
+from runpulse.streaming.versions import Version, VersionedTable
+
+HEALTH = T.StructType(
+    [
+        T.StructField("app_name", T.StringType()),
+        T.StructField("runs", T.IntegerType()),
+        T.StructField("errored", T.IntegerType()),
+        T.StructField("warned", T.IntegerType()),
+    ]
+)
+
+# Reads the run logs inserted at or after the given instant.
+Source = Callable[[datetime], DataFrame]
+
+
+@dataclass(frozen=True)
+class RefreshConfig:
+    retention: timedelta = timedelta(days=30)
+    overlap: timedelta = timedelta(minutes=5)
+    reconcile_every: timedelta = timedelta(hours=6)
+    health_window: timedelta = timedelta(hours=24)
+
+
+class Refresh(NamedTuple):
+    """Outcome of one refresh; an error leaves the last good version in place."""
+
+    phase: str
+    since: datetime
+    jobs: int | None
+    watermark: datetime | None
+    took_ms: int
+    error: str | None = None
+    health_error: str | None = None
+
+
+def merge_latest(state: DataFrame, batch: DataFrame, now: datetime | str, retention: timedelta = RefreshConfig.retention) -> DataFrame:
+    """Newest row per (app, job) of state and batch; the batch wins a tie. Then ``evict``."""
+    both = state.withColumn("_fed", F.lit(0)).unionByName(batch.withColumn("_fed", F.lit(1)))
+    newest = latest_of(both, F.desc("inserted_at"), F.desc("_fed"), F.desc("run_id")).drop("_fed")
+    return evict(newest, now, retention)
+
+
+def evict(state: DataFrame, now: datetime | str, retention: timedelta = RefreshConfig.retention) -> DataFrame:
+    """Drops what is older than the retention; a row exactly that old stays."""
+    return state.where(F.col("inserted_at") >= instant(as_instant(now) - retention))
+
+
+def since_bound(
+    watermark: datetime | None,
+    now: datetime | str,
+    overlap: timedelta = RefreshConfig.overlap,
+    retention: timedelta = RefreshConfig.retention,
+) -> datetime:
+    """Start of the next tick's scan, never before the retention floor."""
+    floor = as_instant(now) - retention
+    return floor if watermark is None else max(watermark - overlap, floor)
+
+
+def read_latest(spark: SparkSession, root: str) -> DataFrame:
+    return VersionedTable(spark, f"{root}/latest").read(LATEST_RUNS)
+
+
+def read_health(spark: SparkSession, root: str) -> DataFrame:
+    return VersionedTable(spark, f"{root}/health").read(HEALTH)
+
+
+def _instant_of(meta: dict, key: str) -> datetime | None:
+    return as_instant(meta[key]) if meta.get(key) else None
+
+
+def publish_merge(table: VersionedTable, before: Version | None, batch: DataFrame, now: datetime, retention: timedelta, last_full: datetime | None) -> tuple[int, datetime | None]:
+    """Merge, write and commit. Returns the number of jobs and the new watermark.
+
+    The watermark never moves back. A row that is evicted at once does not move it, which
+    changes no scan: they all start at the retention floor or later.
+    """
+    merged = merge_latest(table.read(LATEST_RUNS), batch, now, retention)
+    data = table.stage(merged)
+    newest = table.staged(data, LATEST_RUNS).agg(F.count("*"), iso_micros(F.max("inserted_at"))).head()
+    marks = [m for m in (_instant_of(before.meta, "watermark") if before else None, as_instant(newest[1]) if newest[1] else None) if m]
+    watermark = max(marks, default=None)
+    meta = {
+        "watermark": watermark.isoformat() if watermark else None,
+        "last_full": last_full.isoformat() if last_full else None,
+        "refreshed_at": now.isoformat(),
+    }
+    table.commit(data, meta, before)
+    return newest[0], watermark
+
+
+def refresh_latest(spark: SparkSession, source: Source, root: str, now: datetime | str, config: RefreshConfig = RefreshConfig()) -> Refresh:
+    """One bootstrap, reconcile or tick. Raises on failure, with the table as it was."""
+    started = time.monotonic()
+    now = as_instant(now)
+    table = VersionedTable(spark, f"{root}/latest")
+    before = table.current()
+    phase, since, last_full = plan_refresh(before.meta if before else None, now, config)
+    batch = latest_runs(source(since), since)
+    jobs, watermark = publish_merge(table, before, batch, now, config.retention, last_full)
+    return Refresh(phase, since, jobs, watermark, round((time.monotonic() - started) * 1000))
+
+
+def plan_refresh(meta: dict | None, now: datetime, config: RefreshConfig) -> tuple[str, datetime, datetime | None]:
+    """``(phase, since, time of the last full scan after this one)``."""
+    last_full = _instant_of(meta, "last_full") if meta else None
+    if last_full is None:
+        return "bootstrap", now - config.retention, now
+    if now - last_full >= config.reconcile_every:
+        return "reconcile", now - config.retention, now
+    return "tick", since_bound(_instant_of(meta, "watermark"), now, config.overlap, config.retention), last_full
+
+
+def refresh_health(spark: SparkSession, source: Source, root: str, now: datetime | str, window: timedelta = RefreshConfig.health_window) -> None:
+    """Recompute the health of the trailing window and publish it beside the grid."""
+    since = as_instant(now) - window
+    table = VersionedTable(spark, f"{root}/health")
+    before = table.current()
+    data = table.stage(app_health(source(since), since).select(*HEALTH.names))
+    table.commit(data, {"since": since.isoformat()}, before)
+
+
+def refresh(spark: SparkSession, source: Source, root: str, now: datetime | str, config: RefreshConfig = RefreshConfig()) -> Refresh:
+    """Grid and health, each failing on its own; errors are reported, not raised."""
+    now = as_instant(now)
+    started = time.monotonic()
+    try:
+        result = refresh_latest(spark, source, root, now, config)
+    except Exception as failure:
+        meta = VersionedTable(spark, f"{root}/latest").current()
+        phase, since, _ = plan_refresh(meta.meta if meta else None, now, config)
+        result = Refresh(phase, since, None, None, round((time.monotonic() - started) * 1000), error=str(failure))
+    try:
+        refresh_health(spark, source, root, now, config.health_window)
+    except Exception as failure:
+        result = result._replace(health_error=str(failure))
+    return result

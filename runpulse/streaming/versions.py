@@ -1,0 +1,98 @@
+"""A small Parquet table that is replaced as a whole, with readers never seeing half of it.
+
+Plain Parquet has neither MERGE nor transactions. Each version is written to a folder of its
+own and becomes current when its commit file appears; the commit file is renamed into place
+and never replaced. So a failed write leaves the last good version, and of two concurrent
+writers one fails.
+"""
+
+from __future__ import annotations
+
+import json
+import uuid
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+KEEP = 3
+
+
+class Version(NamedTuple):
+    number: int
+    data: str
+    meta: dict
+
+
+class VersionedTable:
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark = spark
+        self.root = root.rstrip("/")
+        self._jvm = spark._jvm
+        self._conf = spark._jsc.hadoopConfiguration()
+        self._fs = self._path(self.root).getFileSystem(self._conf)
+
+    def _path(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(name)
+
+    def _commits(self) -> list[int]:
+        folder = self._path(f"{self.root}/commits")
+        if not self._fs.exists(folder):
+            return []
+        names = [status.getPath().getName() for status in self._fs.listStatus(folder)]
+        return sorted(int(name[:-5]) for name in names if name.endswith(".json"))
+
+    def _commit_file(self, number: int) -> str:
+        return f"{self.root}/commits/{number:012d}.json"
+
+    def _load(self, number: int) -> Version:
+        stream = self._fs.open(self._path(self._commit_file(number)))
+        try:
+            content = json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+        return Version(number, content["data"], content["meta"])
+
+    def current(self) -> Version | None:
+        commits = self._commits()
+        return self._load(commits[-1]) if commits else None
+
+    def read(self, schema: T.StructType) -> DataFrame:
+        """The current version; no rows before the first."""
+        version = self.current()
+        if version is None:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{version.data}")
+
+    def stage(self, df: DataFrame) -> str:
+        """Write a candidate version. Readers do not see it."""
+        data = f"data/{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.root}/{data}")
+        return data
+
+    def staged(self, data: str, schema: T.StructType) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{data}")
+
+    def commit(self, data: str, meta: dict, after: Version | None) -> Version:
+        """Make a staged version current, if ``after`` still is; otherwise fail."""
+        number = after.number + 1 if after else 1
+        pending = self._path(f"{self.root}/pending/{uuid.uuid4().hex}.json")
+        out = self._fs.create(pending, False)
+        try:
+            out.write(json.dumps({"data": data, "meta": meta}).encode())
+        finally:
+            out.close()
+        target = self._path(self._commit_file(number))
+        self._fs.mkdirs(target.getParent())
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._conf)
+        no_options = self.spark._sc._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        context.rename(pending, target, no_options)
+        self._forget(number - KEEP)
+        return Version(number, data, meta)
+
+    def _forget(self, up_to: int) -> None:
+        """Drop versions too old for any reader."""
+        for number in [n for n in self._commits() if n <= up_to]:
+            old = self._load(number)
+            self._fs.delete(self._path(self._commit_file(number)), False)
+            self._fs.delete(self._path(f"{self.root}/{old.data}"), True)
