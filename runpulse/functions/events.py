@@ -82,8 +82,13 @@ def issue_count(col: Column) -> Column:
 
 
 def job_name(col: Column) -> Column:
-    """Third argv item of the first event's note, trimmed; absent or blank is the default job."""
-    raw = F.get_json_object(col, "$[0].note.argv[2]")
+    """Third argv item of the first event's note, trimmed; absent or blank is the default job.
+
+    The list is cut out first and then read: a path down to the item would render a JSON
+    null as the text ``null``.
+    """
+    argv = F.from_json(F.get_json_object(col, "$[0].note.argv"), "array<string>")
+    raw = F.try_element_at(argv, F.lit(3))
     return F.coalesce(F.nullif(trim_text(raw), F.lit("")), F.lit(DEFAULT_JOB))
 
 
