@@ -12,7 +12,7 @@ def event_json() -> Column:
     return F.to_json(F.struct("run_id", "dt", "type", "func", "tag", note, "err_msg"))
 
 
-def assemble_runs(events: DataFrame, **extra: Column) -> DataFrame:
+def assemble_runs(events: DataFrame, /, **extra: Column) -> DataFrame:
     """One row per (app_name, run_id) with its event arrays as JSON text.
 
     ``verbose_log`` holds all events by ``seq``, ``warn_error_logs`` the WARN and ERROR ones.

@@ -1,0 +1,109 @@
+"""Error feed, run lookup, timeline and keyset pages."""
+
+import random
+from datetime import timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from runpulse import operators as op
+from util import NOW, log_of, run_row, run_table, uid, utc
+
+
+def issue(dt, kind="ERROR", **more):
+    return {"dt": dt, "type": kind, "func": "f", "tag": "CATCH", **more}
+
+
+def test_error_feed(spark):
+    rows = [
+        run_row("a", uid(1), NOW - timedelta(hours=1), None, [issue("2026-06-25T10:00:00Z", err_msg="x"), issue("2026-06-25T11:00:00Z", "WARN")]),
+        run_row("b", uid(2), NOW - timedelta(hours=2), None, [issue("junk"), issue(None, note={"k": [1]})]),
+        run_row("c", uid(3), NOW - timedelta(hours=2), None, '[3,{"type":"ERROR","dt":"2026-06-25T10:30:00Z"}]'),
+        run_row("d", uid(4), NOW, None, None),
+        run_row("e", uid(5), NOW, None, []),
+        run_row("f", uid(6), NOW - timedelta(days=2), None, [issue("2026-06-25T11:30:00Z")]),
+    ]
+    got = op.error_feed(run_table(spark, rows), NOW).collect()
+    assert [(r.app_name, r.dt) for r in got] == [
+        ("b", "junk"),
+        ("b", None),
+        ("c", None),
+        ("a", "2026-06-25T11:00:00Z"),
+        ("c", "2026-06-25T10:30:00Z"),
+        ("a", "2026-06-25T10:00:00Z"),
+    ]
+    assert got[1].note.toPython() == {"k": [1]} and got[5].err_msg == "x" and got[2].type is None
+    assert len(op.error_feed(run_table(spark, rows), NOW, limit=2).collect()) == 2
+    assert len(op.error_feed(run_table(spark, rows), NOW, lookback_days=3).collect()) == 7
+
+
+def test_run_by_id(spark):
+    rows = [
+        run_row("a", uid(1), "2026-05-31T23:30:00", log_of("OLD")),
+        run_row("a", uid(1), "2026-06-01T00:20:00", log_of("NEW")),
+        run_row("a", uid(2), "2026-06-01T00:20:00", log_of("OTHER")),
+    ]
+    runs = run_table(spark, rows)
+    assert op.run_by_id(runs, uid(1)).head().inserted_at == utc("2026-06-01T00:20:00").replace(tzinfo=None)
+    assert op.run_by_id(runs, uid(9)).head() is None
+    at = lambda hint: [r.inserted_at.isoformat() for r in op.run_by_id(runs, uid(1), hint).collect()]
+    assert at("2026-06-01T00:00:00Z") == ["2026-06-01T00:20:00"]
+    assert at("2026-05-31T23:00:00Z") == ["2026-05-31T23:30:00"]
+    assert at("2026-06-01T01:20:00Z") == ["2026-06-01T00:20:00"]  # low bound included
+    assert at("2026-05-31T22:30:00Z") == []  # high bound excluded
+    with pytest.raises(ValueError):
+        op.run_by_id(runs, "1 OR 1")
+
+
+def test_timeline_keeps_array_order(spark):
+    log = '[{"dt":"2026-06-25T10:00:05Z","note":{"argv":["n","i","J"]},"type":"INFO"},7,{"dt":"2026-06-25T10:00:01Z","type":"WARN"}]'
+    got = op.run_timeline(run_table(spark, [run_row("a", uid(1), NOW, log)]), uid(1)).collect()
+    assert [(r.pos, r.type) for r in got] == [(0, "INFO"), (1, None), (2, "WARN")]
+    assert {(r.app_name, r.job, r.duration_ms) for r in got} == {("a", "J", None)}
+    assert got[0].note.toPython() == {"argv": ["n", "i", "J"]}
+
+
+def history(spark, n=137):
+    """Many runs share an instant or lie one microsecond apart."""
+    rng = random.Random(5)
+    kinds = [[], [{"type": "WARN"}], [{"type": "ERROR"}], [{"type": "ERROR"}, {"type": "WARN"}], None]
+    rows = []
+    for i in range(n):
+        at = NOW - timedelta(minutes=rng.randrange(5), microseconds=rng.randrange(3))
+        rows.append(run_row(rng.choice("aab"), uid(i), at, None, rng.choice(kinds)))
+    return run_table(spark, rows)
+
+
+@pytest.mark.parametrize("status", ["all", "error", "issues"])
+def test_pages_concatenate_to_the_whole(spark, status):
+    runs, since = history(spark), NOW - timedelta(days=1)
+    pages, cursor = [], None
+    while True:
+        page = op.fetch_page(op.app_runs_page(runs, "a", since, 11, cursor, status), 11)
+        pages += [r.run_id for r in page.runs]
+        cursor = page.cursor
+        if cursor is None:
+            break
+    whole = op.app_runs(runs, "a", since, status).orderBy(F.desc("inserted_at"), F.desc("run_id"))
+    assert pages == [r.run_id for r in whole.collect()]
+    assert len(set(pages)) == len(pages) > 11
+
+
+def test_page_rules(spark):
+    runs = history(spark)
+    since = NOW - timedelta(days=1)
+    assert op.fetch_page(op.app_runs_page(runs, "nobody", since)).cursor is None
+    half = op.app_runs_page(runs, "a", since, 5, cursor=("2020-01-01T00:00:00Z", None))
+    assert half.count() == 5
+    errors = {r.status for r in op.app_runs_page(runs, "a", since, 500, status="error").collect()}
+    issues = {r.status for r in op.app_runs_page(runs, "a", since, 500, status="issues").collect()}
+    assert errors == {"ERROR"} and issues == {"ERROR", "WARN"}
+    for bad in (("not a time", uid(1)), ("2020-01-01T00:00:00Z", "nope")):
+        with pytest.raises(ValueError):
+            op.app_runs_page(runs, "a", since, cursor=bad)
+
+
+def test_page_bound_is_exclusive(spark):
+    runs = run_table(spark, [run_row("a", uid(1), NOW)])
+    assert op.app_runs(runs, "a", NOW).count() == 0
+    assert op.app_runs(runs, "a", NOW - timedelta(microseconds=1)).count() == 1

@@ -1,0 +1,132 @@
+"""What the optimizer must make of the operators: pruning, pushdown, small shuffles."""
+
+import re
+from datetime import timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from runpulse import operators as op
+from runpulse import sources as src
+from runpulse.schemas import ACQUISITIONS
+from util import NOW, latest_table, log_of, plan_of, run_row, run_table, uid
+
+
+@pytest.fixture(scope="module")
+def path(spark, tmp_path_factory):
+    rows = [run_row(f"app{i % 3}", uid(i), NOW - timedelta(days=i), log_of(f"J{i % 4}"), [{"type": "WARN"}]) for i in range(120)]
+    where = str(tmp_path_factory.mktemp("plans") / "logs")
+    run_table(spark, rows).write.partitionBy("month").parquet(where)
+    return where
+
+
+def scans(df):
+    """The file scans of the physical plan, with full filters and schema."""
+    text = df._jdf.queryExecution().explainString(
+        df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    )
+    return [part for part in re.split(r"\n\(\d+\) ", text) if part.startswith("Scan parquet")]
+
+
+def whole_table(spark, path):
+    return spark.read.schema(src.run_logs.RUN_LOGS).parquet(path)
+
+
+def bounded(spark, path):
+    runs = whole_table(spark, path)
+    since = NOW - timedelta(days=1)
+    return {
+        "latest_runs": op.latest_runs(runs, since),
+        "error_feed": op.error_feed(runs, NOW),
+        "run_by_id": op.run_by_id(runs, uid(1), NOW),
+        "app_runs_page": op.app_runs_page(runs, "app1", since, cursor=(NOW, uid(1))),
+        "app_health": op.app_health(runs, since),
+        "cadence_profile": op.cadence_profile(runs, NOW),
+        "read_run_logs": src.read_run_logs(spark, path, since, NOW),
+    }
+
+
+def test_bounds_reach_folders_and_row_groups(spark, path):
+    for name, df in bounded(spark, path).items():
+        for scan in scans(df):
+            assert re.search(r"PartitionFilters: \[[^\]]*month", scan), name
+            assert re.search(r"PushedFilters: \[[^\n]*inserted_at", scan), name
+
+
+def test_pruned_folders_are_not_listed(spark, path):
+    files = src.read_run_logs(spark, path, NOW - timedelta(days=1), columns=["run_id"]).select(F.input_file_name()).distinct()
+    assert all("month=2026-06" in r[0] for r in files.collect())
+
+
+def test_log_is_read_only_where_needed(spark, path):
+    for name in ("error_feed", "app_runs_page", "app_health"):
+        assert all("verbose_log" not in s for s in scans(bounded(spark, path)[name])), name
+    assert all("warn_error_logs" not in s for s in scans(bounded(spark, path)["cadence_profile"]))
+
+
+def test_cursor_bound_reaches_the_scan(spark, path):
+    [scan] = scans(bounded(spark, path)["app_runs_page"])
+    assert "LessThanOrEqual(inserted_at" in scan and "EqualTo(app_name" in scan
+
+
+def test_latest_keeps_one_row_per_task_before_the_shuffle(spark, path):
+    plan = plan_of(bounded(spark, path)["latest_runs"])
+    after, before = plan.split("Exchange")
+    assert "WindowGroupLimit" in after and "WindowGroupLimit" in before
+    sorted_rows = before[before.index("Sort [") : before.index("Project")]
+    assert "verbose_log" not in sorted_rows and "_dts" not in sorted_rows
+
+
+def test_top_rows_without_a_global_sort(spark, path):
+    for name in ("error_feed", "app_runs_page", "run_by_id"):
+        plan = plan_of(bounded(spark, path)[name])
+        assert "TakeOrderedAndProject" in plan and "Exchange" not in plan, name
+
+
+def test_health_combines_before_the_shuffle(spark, path):
+    plan = plan_of(bounded(spark, path)["app_health"])
+    assert plan.count("HashAggregate") == 2 and plan.count("Exchange") == 1
+
+
+def test_cadence_parses_once_and_never_partitions_rows_by_job_alone(spark, path):
+    df = op.cadence_profile(whole_table(spark, path), NOW)
+    df.collect()
+    plan = plan_of(df)
+    final = plan[: plan.index("Initial Plan")] if "Initial Plan" in plan else plan
+    assert final.count("FileScan") == 1 and "ReusedExchange" in final
+
+
+def test_small_dimension_is_broadcast_by_its_size(spark):
+    latest = latest_table(spark, [("a", "J", uid(1), NOW)])
+    rows = [{"app_name": "a", "job": f"J{i}", "every_min": 5} for i in range(10)]
+    schedules = src.load_schedules(spark, rows)
+    assert "BroadcastHashJoin" in plan_of(op.staleness(latest, schedules, NOW))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100")
+    try:
+        assert "BroadcastHashJoin" not in plan_of(op.staleness(latest, schedules, NOW))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_acquisition_rows_meet_a_hash_aggregate_first(spark, tmp_path):
+    where = str(tmp_path / "acq")
+    spark.createDataFrame([], ACQUISITIONS).write.parquet(where)
+    plan = plan_of(op.acquisition_systems(src.read_acquisitions(spark, where, NOW), NOW))
+    rows_up = plan[: plan.index("FileScan")]
+    assert rows_up.rindex("HashAggregate") > rows_up.rindex("SortAggregate")
+
+
+def test_connectivity_reads_shared_columns_only(spark, tmp_path):
+    from runpulse.plans.bridge import connectivity_tables
+
+    paths = []
+    for name, df in zip(("h", "m"), connectivity_tables(spark, "/root/testdata/sf0.001")):
+        paths.append(str(tmp_path / name))
+        df.withColumn("daily_total_history", F.array(F.lit(1))).write.parquet(paths[-1])
+    for scan in scans(src.read_connectivity(spark, *paths)):
+        assert "daily_total_history" not in scan
+
+
+def test_no_row_at_a_time_python(spark, path):
+    for name, df in bounded(spark, path).items():
+        assert "Python" not in plan_of(df), name
