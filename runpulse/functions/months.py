@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runpulse.functions.instants import instant
+from runpulse.params import as_instant
 
 
 def month_of(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM")
 
 
+def month_label(value: datetime | str) -> str:
+    return as_instant(value).astimezone(timezone.utc).strftime("%Y-%m")
+
+
 def within_months(runs: DataFrame, since: datetime | str | None = None, until: datetime | str | None = None) -> DataFrame:
     """Restrict ``runs`` to the month folders that can hold ``[since, until]``.
 
@@ -23,7 +27,7 @@ def within_months(runs: DataFrame, since: datetime | str | None = None, until: d
     if "month" not in runs.columns:
         return runs
     if since is not None:
-        runs = runs.where(F.col("month") >= month_of(instant(since)))
+        runs = runs.where(F.col("month") >= month_label(since))
     if until is not None:
-        runs = runs.where(F.col("month") <= month_of(instant(until)))
+        runs = runs.where(F.col("month") <= month_label(until))
     return runs

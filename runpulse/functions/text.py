@@ -5,21 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The characters the run-log contract counts as white space (the set that
-# JavaScript's \s matches, wider than Java's), the cap on a stored error text and its mark.
-WHITESPACE = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+# The characters the run-log contract counts as white space, the cap on a
+# stored error text and its mark. The set is what JavaScript's \s matches: Unicode white
+# space, with the byte order mark and without the next-line control.
+WHITESPACE = r"[\s\x{FEFF}&&[^\x{85}]]"
+UNICODE = "(?U)"
 MAX_ERROR_LENGTH = 300
 TRUNCATION_MARK = " …(truncated)"
 
 
 def trim_text(col: Column) -> Column:
     """Strip white space of every kind from both ends (``F.trim`` strips blanks only)."""
-    return F.regexp_replace(col, f"^{WHITESPACE}+|{WHITESPACE}+$", "")
+    return F.regexp_replace(col, f"{UNICODE}^{WHITESPACE}+|{WHITESPACE}+$", "")
 
 
 def squeeze(col: Column) -> Column:
     """One line: each run of white space becomes one blank, none at the ends."""
-    return F.trim(F.regexp_replace(col, f"{WHITESPACE}+", " "))
+    return F.trim(F.regexp_replace(col, f"{UNICODE}{WHITESPACE}+", " "))
 
 
 def summarize_error(col: Column, max_len: int = MAX_ERROR_LENGTH) -> Column:

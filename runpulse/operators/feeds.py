@@ -13,7 +13,6 @@ from runpulse.functions.events import (
     event_dts,
     event_fields,
     has_type,
-    issue_count,
     job_name,
     run_timing,
     severities,
@@ -87,12 +86,7 @@ def run_timeline(runs: DataFrame, run_id: str, hint: datetime | str | None = Non
 def app_runs(runs: DataFrame, app: str, since: datetime | str, status: str | None = "all") -> DataFrame:
     """One application's runs with ``inserted_at > since``, unordered. Never reads ``verbose_log``."""
     mine = within_months(runs, since).where((F.col("app_name") == app) & (F.col("inserted_at") > instant(since)))
-    typed = mine.select(
-        "run_id",
-        "inserted_at",
-        severities(F.col("warn_error_logs")).alias("_types"),
-        issue_count(F.col("warn_error_logs")).alias("issue_count"),
-    )
+    typed = mine.select("run_id", "inserted_at", severities(F.col("warn_error_logs")).alias("_types"))
     wanted = _status_predicate(normalize_status(status))
     if wanted is not None:
         typed = typed.where(wanted)
@@ -101,7 +95,7 @@ def app_runs(runs: DataFrame, app: str, since: datetime | str, status: str | Non
         "inserted_at",
         iso_micros(F.col("inserted_at")).alias("inserted_at_iso"),
         status_from(F.col("_types")).alias("status"),
-        "issue_count",
+        F.size("_types").alias("issue_count"),
     )
 
 

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runpulse.functions.events import duration_ms, event_dts, issue_count, job_name, run_timing, severities, status_from
+from runpulse.functions.events import duration_ms, event_dts, job_name, run_timing, severities, status_from
 from runpulse.functions.instants import age_ms, instant
 from runpulse.functions.months import within_months
 from runpulse.schemas import LATEST_RUNS
@@ -27,11 +27,11 @@ def run_summaries(runs: DataFrame) -> DataFrame:
         "inserted_at",
         event_dts(F.col("verbose_log")).alias("_dts"),
         severities(F.col("warn_error_logs")).alias("_types"),
-        issue_count(F.col("warn_error_logs")).alias("issue_count"),
     )
     started, ended = run_timing(F.col("_dts"))
+    status, issues = status_from(F.col("_types")), F.size("_types")
     return (
-        parsed.withColumns({"started_at": started, "ended_at": ended, "status": status_from(F.col("_types"))})
+        parsed.withColumns({"started_at": started, "ended_at": ended, "status": status, "issue_count": issues})
         .withColumn("duration_ms", duration_ms(F.col("started_at"), F.col("ended_at")))
         .select(*LATEST_RUNS.names)
     )

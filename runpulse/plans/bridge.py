@@ -37,44 +37,43 @@ def event_job(user: Column) -> Column:
     return F.when(user % 5 == 0, "(default)").otherwise(F.concat(F.lit("JOB_"), (user % 15).cast("string")))
 
 
+# What a run of the bridge is: one user's calendar day.
+RUN_OF = ("user_id", "day")
+
+
 def flat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flat log events, plus ``ts``. The first of a run names the job in ``note.argv``."""
-    events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
-    user = F.col("user_id")
-    keyed = events.select(
-        F.concat(F.lit("app_"), (user % 5).cast("string")).alias("app_name"),
-        uuid_of(F.concat_ws("|", F.lit("run"), user.cast("string"), F.to_date("ts").cast("string"))).alias("run_id"),
-        event_job(user).alias("_job"),
-        "ts",
-        "event_id",
-        F.when(F.col("event_type") == "error", "ERROR")
-        .when(F.col("event_type") == "purchase", "WARN")
-        .otherwise("INFO")
-        .alias("type"),
-        F.col("event_type").alias("func"),
-    )
-    in_run = Window.partitionBy("app_name", "run_id").orderBy("ts", "event_id")
-    argv = F.array(F.lit("node"), F.lit("index.js"), F.nullif("_job", F.lit("(default)")))
+    """Flat log events, plus ``ts`` and the keys of ``RUN_OF``, by which they come partitioned.
+
+    The first event of a run names the job in ``note.argv``. Only numbers and the event type
+    are shuffled; ids, names and notes are made afterwards.
+    """
+    ts = F.col("ts").cast("timestamp")
+    events = table(spark, sf_dir, "events").select("event_id", ts.alias("ts"), "user_id", "event_type", F.to_date(ts).alias("day"))
+    placed = events.withColumn("seq", F.row_number().over(Window.partitionBy(*RUN_OF).orderBy("ts", "event_id")))
+    user, kind, first = F.col("user_id"), F.col("event_type"), F.col("seq") == 1
+    severity = F.when(kind == "error", "ERROR").when(kind == "purchase", "WARN").otherwise("INFO")
+    argv = F.array(F.lit("node"), F.lit("index.js"), F.nullif(event_job(user), F.lit("(default)")))
     note = F.to_json(F.struct(F.array_compact(argv).alias("argv")))
-    first = F.col("seq") == 1
-    return keyed.withColumn("seq", F.row_number().over(in_run)).select(
-        "app_name",
-        "run_id",
+    failure = F.concat(F.lit("failed at event "), F.col("event_id").cast("string"))
+    return placed.select(
+        *RUN_OF,
+        F.concat(F.lit("app_"), (user % 5).cast("string")).alias("app_name"),
+        uuid_of(F.concat_ws("|", F.lit("run"), user.cast("string"), F.col("day").cast("string"))).alias("run_id"),
         "seq",
         "ts",
         iso_micros(F.col("ts")).alias("dt"),
-        "type",
-        "func",
+        severity.alias("type"),
+        kind.alias("func"),
         F.when(first, "CALL").otherwise("DETAILS").alias("tag"),
         F.when(first, note).alias("note"),
-        F.when(F.col("type") == "ERROR", F.concat(F.lit("failed at event "), F.col("event_id").cast("string"))).alias("err_msg"),
+        F.when(severity == "ERROR", failure).alias("err_msg"),
     )
 
 
 def run_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The run-log table. A run is written one second after its last event."""
     written = F.max("ts") + F.expr("INTERVAL 1 SECOND")
-    runs = assemble_runs(flat_events(spark, sf_dir), inserted_at=written)
+    runs = assemble_runs(flat_events(spark, sf_dir), *RUN_OF, inserted_at=written)
     return runs.withColumn("month", month_of(F.col("inserted_at")))
 
 

@@ -203,7 +203,7 @@ systems AS (
   FROM recent GROUP BY system_id, data_source
 )"""
 
-# The white space of the run-log contract, as in functions/text.py.
+# The white space of the run-log contract, character by character.
 SPACE = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
 
 KIND = "CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'purchase' THEN 'WARN' ELSE 'SUCCESS' END"

@@ -20,6 +20,11 @@ RECOMMENDED = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Rows grow after the shuffles (JSON is rendered and parsed there), so their size on the
+    # wire understates the work: do not merge small partitions as eagerly as by default.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
+    # One vectorized batch holds this many event documents, some of which are megabytes long.
+    "spark.sql.parquet.columnarReaderBatchSize": "512",
 }
 
 

@@ -95,6 +95,15 @@ def test_summarize_error(spark):
     assert len(got[2]) == 300 + len(" …(truncated)")
 
 
+def test_white_space_set(spark):
+    """Every character of the basic plane, against the contract's list."""
+    listed = {9, 10, 11, 12, 13, 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF}
+    chars = spark.range(1, 0xFFFF).where("id NOT BETWEEN 55296 AND 57343")
+    char = F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE")
+    for made in (fn.squeeze(F.concat(char, F.lit("x"))), fn.trim_text(F.concat(F.lit("x"), char))):
+        assert {r.id for r in chars.where(made == "x").collect()} == listed
+
+
 def test_instants(spark):
     at = [utc("2026-06-25T11:59:59.999999"), None, utc("2026-06-25T12:00:01")]
     assert evaluate(spark, at, lambda c: fn.age_ms(c, NOW), "timestamp") == [1, None, -1000]
