@@ -216,6 +216,7 @@ ORACLE: dict[str, str] = {
       WHERE inserted_at >= TIMESTAMP '2024-01-05 00:00:00' AND inserted_at < TIMESTAMP '2024-01-25 00:00:00'""",
     "append_run_rows": f"""WITH {EVENTS}, {DOCUMENTS}
       SELECT 'monitor' AS app_name, run_id, {NOW} AS inserted_at, warn_error_logs, '2024-01' AS month FROM docs""",
+    "read_run_files": f"WITH {EVENTS}, {DOCUMENTS} SELECT app_name, 'dev' AS logger, run_id, verbose_log FROM docs",
     "read_acquisitions": f"WITH {ACQUISITIONS} SELECT * FROM recent",
     "read_connectivity": f"WITH {CONNECTIVITY} SELECT * FROM conn",
     "parse_events": f"""WITH {EVENTS}
@@ -302,6 +303,7 @@ ORACLE: dict[str, str] = {
     "merge_latest": LATEST,
     "evict": f"{LATEST} WHERE inserted_at >= {NOW} - INTERVAL 1 HOUR",
     "refresh_latest": LATEST,
+    "refresh_reconcile": LATEST,
     "refresh_health": HEALTH_SQL,
     "maintain_latest": LATEST,
     "stream_latest_runs": LATEST,
