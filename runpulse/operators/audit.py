@@ -14,6 +14,8 @@ RUN_ID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA
 def contract_audit(runs: DataFrame) -> DataFrame:
     """Per app, how many runs break each rule of the contract."""
     verbose, issues = F.col("verbose_log"), F.col("warn_error_logs")
+    # The whole log is compared only for runs that have issues.
+    any_issue = F.json_array_length(issues) > 0
     extra_issues = F.array_except(F.from_json(issues, "array<string>"), F.from_json(verbose, "array<string>"))
     parsed = runs.select(
         "app_name",
@@ -22,7 +24,7 @@ def contract_audit(runs: DataFrame) -> DataFrame:
         F.json_array_length(verbose).isNull().alias("_no_log"),
         (issues.isNotNull() & F.json_array_length(issues).isNull()).alias("_no_issues"),
         (job_name(verbose) == DEFAULT_JOB).alias("_no_job"),
-        (F.size(extra_issues) > 0).alias("_extra"),
+        F.when(any_issue, F.size(extra_issues) > 0).alias("_extra"),
     )
     started, ended = run_timing(F.col("_dts"))
     timed = parsed.withColumns({"_start": started, "_end": ended})

@@ -18,7 +18,7 @@ def evaluate(spark, values, expr, kind="string"):
 def test_job_name(spark):
     argv = lambda *a: json.dumps([{"note": {"argv": list(a)}}])
     cases = {
-        argv("/node", "/index.js", "GE_CT"): "GE_CT",
+        argv("/node", "/index.js", "CT_A"): "CT_A",
         argv("/node", "/index.js"): "(default)",
         argv("/node", "/index.js", ""): "(default)",
         argv("/node", "/index.js", "  "): "(default)",

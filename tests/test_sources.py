@@ -32,6 +32,18 @@ def test_append_forces_name_and_clock(spark, tmp_path):
     assert src.read_run_logs(spark, path, "2000-01-01").count() == 2
 
 
+def test_appended_files_carry_a_bloom_filter_on_the_run_id(spark, tmp_path):
+    path = str(tmp_path / "logs")
+    src.append_run_rows(run_table(spark, [run_row("x", uid(i), NOW) for i in range(50)]), path, "monitor", NOW)
+    [file, *_] = [str(f) for f in (tmp_path / "logs").glob("month=*/*.parquet")]
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    source = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(file), conf)
+    reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(source)
+    offsets = {c.getPath().toDotString(): c.getBloomFilterOffset() for c in reader.getFooter().getBlocks()[0].getColumns()}
+    reader.close()
+    assert offsets["run_id"] > 0 and offsets["app_name"] <= 0
+
+
 def test_assemble(spark):
     events = [
         ("a", uid(1), 2, "t2", "ERROR", "f", "CATCH", None, 'quote " and \n line'),
