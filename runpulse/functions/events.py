@@ -21,6 +21,9 @@ from runpulse.functions.text import trim_text
 # Fixed value: the job of a run whose first event names none.
 DEFAULT_JOB = "(default)"
 
+# By default Spark also takes 'single-quoted' texts, which are no JSON.
+STRICT = {"allowSingleQuotes": "false"}
+
 EVENT_TYPES = {
     "run_id": "string",
     "dt": "string",
@@ -39,7 +42,7 @@ def _array_text(col: Column) -> Column:
 
 def parse_events(col: Column) -> Column:
     """JSON text to ``array<variant>``; null, malformed and non-array text give no elements."""
-    return F.coalesce(F.from_json(col, "array<variant>"), F.array().cast("array<variant>"))
+    return F.coalesce(F.from_json(col, "array<variant>", STRICT), F.array().cast("array<variant>"))
 
 
 def event_fields(col: Column, *fields: str) -> Column:
@@ -47,9 +50,9 @@ def event_fields(col: Column, *fields: str) -> Column:
     names = fields or tuple(EVENT_TYPES)
     schema = ", ".join(f"{name}: {EVENT_TYPES[name]}" for name in names)
     text = _array_text(col)
-    narrow = F.from_json(text, f"array<struct<{schema}>>")
+    narrow = F.from_json(text, f"array<struct<{schema}>>", STRICT)
     tolerant = F.transform(
-        F.from_json(text, "array<variant>"),
+        F.from_json(text, "array<variant>", STRICT),
         lambda e: F.struct(*[F.try_variant_get(e, f"$.{n}", EVENT_TYPES[n]).alias(n) for n in names]),
     )
     return F.coalesce(narrow, tolerant, F.array().cast(f"array<struct<{schema}>>"))
@@ -67,9 +70,9 @@ def status_from(types: Column) -> Column:
     )
 
 
-def has_type(types: Column, name: str) -> Column:
-    """Null elements make ``array_contains`` null where the name is absent: that is a no."""
-    return F.coalesce(F.array_contains(types, name), F.lit(False))
+def has_type(types: Column, *names: str) -> Column:
+    """Does any of ``names`` occur? With null elements a miss comes out null: that is a no."""
+    return F.coalesce(F.arrays_overlap(types, F.array(*[F.lit(n) for n in names])), F.lit(False))
 
 
 def derive_status(col: Column) -> Column:
@@ -78,7 +81,7 @@ def derive_status(col: Column) -> Column:
 
 def issue_count(col: Column) -> Column:
     """Number of elements of any kind; 0 when the text is no array."""
-    return F.coalesce(F.json_array_length(col), F.lit(0))
+    return F.size(severities(col))
 
 
 def job_name(col: Column) -> Column:

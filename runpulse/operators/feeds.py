@@ -100,8 +100,7 @@ def app_runs(runs: DataFrame, app: str, since: datetime | str, status: str | Non
 
 
 def _status_predicate(status: str) -> Column | None:
-    error = has_type(F.col("_types"), "ERROR")
-    return {"all": None, "error": error, "issues": error | has_type(F.col("_types"), "WARN")}[status]
+    return {"all": None, "error": has_type(F.col("_types"), "ERROR"), "issues": has_type(F.col("_types"), "ERROR", "WARN")}[status]
 
 
 def app_runs_page(

@@ -25,7 +25,10 @@ def app_health(runs: DataFrame, since: datetime | str) -> DataFrame:
 
 def health_label(window_hours: float | None = None) -> Column:
     """Short text over the columns of ``app_health``: ``24h: 14/22 err · 9 warn``; empty without runs."""
-    prefix = f"{window_hours:g}h: " if window_hours and window_hours > 0 else ""
-    errored = F.concat(F.lit(prefix), F.coalesce("errored", F.lit(0)).cast("string"), F.lit("/"), F.col("runs").cast("string"), F.lit(" err"))
+    prefix = ""
+    if window_hours and window_hours > 0:
+        prefix = f"{int(window_hours) if window_hours == int(window_hours) else window_hours}h: "
+    share = F.concat_ws("/", F.coalesce("errored", F.lit(0)).cast("string"), F.col("runs").cast("string"))
+    errored = F.concat(F.lit(prefix), share, F.lit(" err"))
     warned = F.when(F.col("warned") > 0, F.concat(F.lit(" · "), F.col("warned").cast("string"), F.lit(" warn")))
     return F.when(F.col("runs") > 0, F.concat(errored, F.coalesce(warned, F.lit("")))).otherwise("")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Callable, Iterator
 from datetime import timedelta
 from functools import wraps
@@ -28,9 +30,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 RETENTION_START = NOW - timedelta(days=30)
 DAY_AGO = NOW - timedelta(hours=24)
-# One user's run of one day; the id follows the bridge's rule.
 RUN_DAY = "2024-01-15"
-RUN_USER = 7
+# The id that the bridge's rule gives one user's run of one day.
+RUN_ID = str(uuid.UUID(hashlib.md5(f"run|7|{RUN_DAY}".encode()).hexdigest()))
 # Where the incremental queries split the history.
 SPLIT = "2024-01-20T00:00:00+00:00"
 APP = "app_1"
@@ -68,11 +70,6 @@ def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.job_grid(_latest(spark, sf_dir), bridge.schedules(spark), NOW)
 
 
-def _run_id(spark: SparkSession, sf_dir: str) -> str:
-    """The id of one known run: a constant of the bridge's rule, computed by Spark."""
-    text = F.lit(f"run|{RUN_USER}|{RUN_DAY}")
-    return spark.range(1).select(bridge.uuid_of(text)).head()[0]
-
 
 # --- sources, sinks and assembly -------------------------------------------------------------
 
@@ -301,20 +298,20 @@ def error_feed_week(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def run_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.run_by_id(bridge.run_logs(spark, sf_dir), _run_id(spark, sf_dir))
+    return op.run_by_id(bridge.run_logs(spark, sf_dir), RUN_ID)
 
 
 @query
 def run_by_id_hinted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hint is the run's own write time, as the grid would carry it."""
-    runs, run_id = bridge.run_logs(spark, sf_dir), _run_id(spark, sf_dir)
-    found = op.run_by_id(runs, run_id).select(fn.iso_micros(F.col("inserted_at"))).head()
-    return op.run_by_id(runs, run_id, found[0] if found else f"{RUN_DAY}T00:00:00Z")
+    runs = bridge.run_logs(spark, sf_dir)
+    found = op.run_by_id(runs, RUN_ID).select(fn.iso_micros(F.col("inserted_at"))).head()
+    return op.run_by_id(runs, RUN_ID, found[0] if found else f"{RUN_DAY}T00:00:00Z")
 
 
 @query
 def run_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.run_timeline(bridge.run_logs(spark, sf_dir), _run_id(spark, sf_dir))
+    return op.run_timeline(bridge.run_logs(spark, sf_dir), RUN_ID)
 
 
 @query

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import datetime
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runpulse.functions.instants import instant
 from runpulse.functions.months import month_label, month_of, within_months
+from runpulse.params import as_instant
 from runpulse.schemas import RUN_LOGS
 
 
@@ -19,17 +20,26 @@ def read_run_logs(
     since: datetime | str,
     until: datetime | str | None = None,
     columns: Sequence[str] | None = None,
+    stamped_on_write: bool = False,
 ) -> DataFrame:
     """Runs with ``since <= inserted_at < until``; prunes month folders and row groups.
 
     Only the folders of those months are listed, so the cost of a short read does not grow
-    with the age of the table.
+    with the age of the table. Where every row got its ``inserted_at`` while its file was
+    being written, as by ``append_run_rows``, say ``stamped_on_write``: files last modified
+    before ``since`` are then not even opened, which keeps a tick independent of the size
+    of the month.
     """
     folders = month_folders(spark, path, since, until)
     if not folders:
         runs = spark.createDataFrame([], RUN_LOGS)
     else:
-        runs = spark.read.schema(RUN_LOGS).option("basePath", path).parquet(*folders)
+        reader = spark.read.schema(RUN_LOGS).option("basePath", path)
+        if stamped_on_write:
+            # The option excludes its own instant and knows whole seconds only.
+            before = as_instant(since).astimezone(timezone.utc) - timedelta(seconds=1)
+            reader = reader.option("modifiedAfter", f"{before:%Y-%m-%dT%H:%M:%S}").option("timeZone", "UTC")
+        runs = reader.parquet(*folders)
     runs = within_months(runs, since, until).where(F.col("inserted_at") >= instant(since))
     if until is not None:
         runs = runs.where(F.col("inserted_at") < instant(until))

@@ -1,6 +1,7 @@
 """Event arrays, job, status, timing, texts and instants on edge cases."""
 
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -51,6 +52,7 @@ STATUS_CASES = {
     '{"type":"ERROR"}': ("SUCCESS", 0),
     ' \n[{"type":"ERROR"}]': ("ERROR", 1),
     "{bad": ("SUCCESS", 0),
+    "[{'type':'ERROR'}]": ("SUCCESS", 0),
     '[{"a":1},{bad]': ("SUCCESS", 0),
     '[["ERROR"],"ERROR",{"type":["ERROR"]}]': ("SUCCESS", 3),
     '[{"note":{"type":"ERROR"},"type":"INFO"}]': ("SUCCESS", 1),
@@ -66,6 +68,51 @@ def test_status_and_issue_count(spark):
     assert evaluate(spark, texts, lambda c: F.size(fn.parse_events(c))) == [n for _, n in STATUS_CASES.values()]
 
 
+def random_document(rng):
+    def value(depth):
+        kinds = ["null", "number", "text", "event", "event", "event"] + (["array", "object"] if depth else [])
+        kind = rng.choice(kinds)
+        if kind == "event":
+            event = {"dt": rng.choice(["2026-06-25T10:00:00Z", "bad", None, 5])}
+            if rng.random() < 0.8:
+                event["type"] = rng.choice(["INFO", "INFO", "WARN", "ERROR", "error", None, 7, ["ERROR"], {"ERROR": 1}])
+            if rng.random() < 0.3:
+                event["note"] = value(0) if rng.random() < 0.5 else {"type": "ERROR", "argv": ["a", "b", "J"]}
+            return event
+        return {
+            "null": None,
+            "number": rng.randrange(9),
+            "text": rng.choice(["ERROR", "", "x", "]"]),
+            "array": [value(0) for _ in range(rng.randrange(3))] if depth else 0,
+            "object": {"k": value(0)} if depth else 0,
+        }[kind]
+
+    text = json.dumps([value(1) for _ in range(rng.randrange(6))] if rng.random() < 0.9 else value(1))
+    return text[: rng.randrange(len(text) + 1)] if rng.random() < 0.1 else text
+
+
+def expected_status(text):
+    """The contract on plain Python values."""
+    try:
+        events = json.loads(text)
+    except ValueError:
+        events = []
+    events = events if isinstance(events, list) else []
+    types = [e.get("type") for e in events if isinstance(e, dict)]
+    status = "ERROR" if "ERROR" in types else "WARN" if "WARN" in types else "SUCCESS"
+    return status, len(events)
+
+
+def test_random_documents(spark):
+    rng = random.Random(17)
+    texts = [random_document(rng) for _ in range(3000)]
+    want = [expected_status(t) for t in texts]
+    both = evaluate(spark, texts, lambda c: F.struct(fn.derive_status(c), fn.issue_count(c)))
+    wrong = [(t, tuple(g), w) for t, g, w in zip(texts, both, want) if tuple(g) != w]
+    assert not wrong, wrong[:3]
+    assert len({s for s, _ in want}) == 3
+
+
 def test_timing(spark):
     logs = [
         log_of("J", "2026-06-25T10:00:08.385Z", "2026-06-25T10:00:18.268Z"),

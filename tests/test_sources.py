@@ -1,6 +1,7 @@
 """Readers, writers and assembly."""
 
 import json
+import os
 from datetime import timedelta
 
 import pytest
@@ -21,6 +22,22 @@ def test_bounds_and_columns(spark, tmp_path):
     assert src.read_run_logs(spark, path, "2026-05-31").count() == 2
 
 
+def test_files_older_than_the_bound_are_not_opened(spark, tmp_path):
+    path, stamped = str(tmp_path / "logs"), set()
+    for i, minutes in enumerate([90, 30]):
+        at = NOW - timedelta(minutes=minutes)
+        src.append_run_rows(run_table(spark, [run_row("x", uid(i), NOW)]), path, "monitor", at)
+        written = set((tmp_path / "logs").glob("month=*/*.parquet"))
+        for file in written - stamped:
+            os.utime(file, (at.timestamp(), at.timestamp()))
+        stamped = written
+    read = lambda since: src.read_run_logs(spark, path, since, stamped_on_write=True)
+    assert read(NOW - timedelta(hours=2)).count() == 2
+    recent = read(NOW - timedelta(minutes=30))
+    assert recent.count() == 1 and len(recent.inputFiles()) == 1
+    assert src.read_run_logs(spark, path, NOW - timedelta(minutes=30)).count() == 1
+
+
 def test_append_forces_name_and_clock(spark, tmp_path):
     path = str(tmp_path / "logs")
     run_table(spark, [run_row("other", uid(1).upper(), "2020-01-01", log_of("J"), [])]).transform(
