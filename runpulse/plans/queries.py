@@ -126,7 +126,7 @@ def read_run_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     uri = files.makeQualified(top).toUri().toString()
     runs = bridge.run_logs(spark, sf_dir).select("app_name", "run_id", "verbose_log")
     runs.mapInPandas(_write_run_files(uri), "run_id string").write.format("noop").mode("overwrite").save()
-    return src.read_run_files(spark, f"{folder}/*.json").drop("modified_at")
+    return src.read_run_files(spark, folder).drop("modified_at")
 
 
 @query

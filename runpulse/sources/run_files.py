@@ -7,14 +7,18 @@ from pyspark.sql import functions as F
 
 # Fixed value: <APP>-log.<LOGGER>.<RUN_ID>.json
 FILE_NAME = r"^(.+)-log\.([^.]+)\.([0-9a-fA-F-]{36})\.json$"
+FILE_GLOB = "*-log.*.json"
 
 
-def read_run_files(spark: SparkSession, glob: str) -> DataFrame:
-    """``app_name, logger, run_id, verbose_log, modified_at``; other file names are skipped.
+def read_run_files(spark: SparkSession, path: str) -> DataFrame:
+    """``app_name, logger, run_id, verbose_log, modified_at`` of the run files below ``path``.
 
-    Each file is one row, so it must fit a task's memory; many small files share a task.
+    Files of other names are skipped. Name a folder, or a pattern of folders, rather than a
+    pattern of files: a folder is listed as a whole, whereas each file that a pattern matches
+    is looked up by itself. Each file is one row; many small files share a task.
     """
-    files = spark.read.text(glob, wholetext=True).select(
+    reader = spark.read.option("pathGlobFilter", FILE_GLOB).option("recursiveFileLookup", "true")
+    files = reader.text(path, wholetext=True).select(
         F.col("_metadata.file_name").alias("name"),
         F.col("_metadata.file_modification_time").alias("modified_at"),
         F.col("value").alias("verbose_log"),

@@ -1,6 +1,6 @@
 from runpulse.streaming.heartbeat import heartbeat_run, refresh_metrics  # noqa: F401
 from runpulse.streaming.latest import maintain_latest, stream_app_health, stream_latest_runs  # noqa: F401
-from runpulse.streaming.refresh import (  # noqa: F401
+from runpulse.streaming.state import (  # noqa: F401
     Refresh,
     RefreshConfig,
     evict,

@@ -15,7 +15,7 @@ from runpulse.functions.text import summarize_error
 from runpulse.operators.grid import cadence_coverage
 from runpulse.schemas import FLAT_EVENTS
 from runpulse.sources.assemble import assemble_runs
-from runpulse.streaming.refresh import Refresh
+from runpulse.streaming.state import Refresh
 
 # Fixed values of the beat's events: job, functions, phase of a failure, and note keys.
 JOB = "heartbeat"

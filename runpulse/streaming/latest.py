@@ -12,7 +12,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from runpulse.operators.grid import latest_runs, run_summaries
 from runpulse.params import as_instant
 from runpulse.schemas import LATEST_RUNS
-from runpulse.streaming.refresh import RefreshConfig, Source, publish_merge, refresh_health
+from runpulse.streaming.state import RefreshConfig, Source, publish_merge, refresh_health
 from runpulse.streaming.versions import VersionedTable
 
 Clock = Callable[[], datetime]

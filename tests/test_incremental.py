@@ -10,7 +10,7 @@ from runpulse import operators as op
 from runpulse import sources as src
 from runpulse import streaming as st
 from runpulse.schemas import HEARTBEAT_METRICS, LATEST_RUNS
-from runpulse.streaming.refresh import plan_refresh
+from runpulse.streaming.state import plan_refresh
 from runpulse.streaming.versions import KEEP
 from util import NOW, latest_table, log_of, run_row, run_table, uid, utc
 

@@ -80,9 +80,12 @@ def test_assemble(spark):
 def test_run_files(spark, tmp_path):
     first, second = uid(1), uid(2)
     (tmp_path / f"reports-log.dev.{first}.json").write_text(json.dumps(log_of("J"), indent=1))
-    (tmp_path / f"my-log-app-log.prod.{second}.json").write_text("[]")
+    (tmp_path / "my").mkdir()
+    (tmp_path / "my" / f"my-log-app-log.prod.{second}.json").write_text("[]")
     (tmp_path / "notes.json").write_text("[]")
-    got = {r.app_name: r for r in src.read_run_files(spark, f"{tmp_path}/*.json").collect()}
+    (tmp_path / "odd-log.x.json").write_text("[]")
+    assert src.read_run_files(spark, f"{tmp_path}/*.json").count() == 1
+    got = {r.app_name: r for r in src.read_run_files(spark, str(tmp_path)).collect()}
     assert set(got) == {"reports", "my-log-app"}
     assert (got["reports"].logger, got["reports"].run_id) == ("dev", first)
     assert json.loads(got["reports"].verbose_log)[0]["note"]["argv"][2] == "J"
