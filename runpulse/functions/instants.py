@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from runpulse.params import as_instant
 
 # Fixed value: the only shape of an event's dt that is read as an instant.
-ISO_UTC = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?Z$"
+ISO_UTC = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?Z\z"
 
 
 def instant(value: datetime | str) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from runpulse.functions.events import DEFAULT_JOB, event_dts, job_name, run_timing
 
 # Fixed value: shape of a run id.
-RUN_ID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
+RUN_ID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\z"
 
 
 def contract_audit(runs: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 # The status filters of a run page, the id shape and the row caps of the feeds.
 STATUS_FILTERS = ("all", "error", "issues")
@@ -37,6 +37,11 @@ def window_hours(raw: object) -> int:
     return clamp_int(raw, WINDOW_HOURS, 1, MAX_WINDOW_HOURS)
 
 
+def window_start(now: datetime | str, raw_hours: object = None) -> datetime:
+    """Start of the trailing window that a run page or the acquisition view covers."""
+    return as_instant(now) - timedelta(hours=window_hours(raw_hours))
+
+
 def feed_limit(raw: object) -> int:
     """Unlike a page limit, zero means the default here and infinity the cap."""
     value = _number(raw)

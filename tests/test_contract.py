@@ -158,6 +158,21 @@ def test_instants(spark):
     assert evaluate(spark, at, fn.iso_seconds, "timestamp")[0] == "2026-06-25T11:59:59Z"
 
 
+def test_instant_shapes(spark):
+    day = "2026-06-25T10:00:00"
+    cases = {
+        f"{day}Z": f"{day}.000000Z",
+        f"{day}.1Z": f"{day}.100000Z",
+        f"{day}.123456789Z": f"{day}.123456Z",
+        f"{day}Z\n": None,
+        f" {day}Z": None,
+        f"{day}.Z": None,
+        f"{day}z": None,
+        "2026-13-01T00:00:00Z": None,
+    }
+    assert evaluate(spark, list(cases), lambda c: fn.iso_micros(fn.safe_ts(c))) == list(cases.values())
+
+
 def test_labels(spark):
     assert evaluate(spark, [False, None, True], fn.conn_status, "boolean") == ["OFFLINE", "UNKNOWN", "ONLINE"]
     names = ["ERROR", "WARN", "SUCCESS", "INFO", "ODD", None]

@@ -20,6 +20,11 @@ def test_window_hours():
     assert [params.window_hours(v) for v in (None, 0, 48, 9999)] == [24, 1, 48, 720]
 
 
+def test_window_start():
+    now = datetime(2026, 1, 2, tzinfo=timezone.utc)
+    assert params.window_start(now) == params.window_start("2026-01-02", "24") == now - timedelta(days=1)
+
+
 def test_status_filter():
     assert [params.normalize_status(s) for s in (None, " Error ", "ISSUES", "warn", "")] == ["all", "error", "issues", "all", "all"]
 
