@@ -74,7 +74,7 @@ class VersionedTable:
         return self.spark.read.schema(schema).parquet(f"{self.root}/{data}")
 
     def commit(self, data: str, meta: dict, after: Version | None) -> Version:
-        """Make a staged version current, if ``after`` still is; otherwise fail."""
+        """Make a staged version current, if ``after`` still is; otherwise fail and drop it."""
         number = after.number + 1 if after else 1
         pending = self._path(f"{self.root}/pending/{uuid.uuid4().hex}.json")
         out = self._fs.create(pending, False)
@@ -86,7 +86,12 @@ class VersionedTable:
         self._fs.mkdirs(target.getParent())
         context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._conf)
         no_options = self.spark._sc._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0)
-        context.rename(pending, target, no_options)
+        try:
+            context.rename(pending, target, no_options)
+        except Exception:
+            self._fs.delete(pending, False)
+            self._fs.delete(self._path(f"{self.root}/{data}"), True)
+            raise
         self._forget(number - KEEP)
         return Version(number, data, meta)
 

@@ -121,8 +121,10 @@ def test_versions_conflict_and_forget(spark, tmp_path):
     table = st.VersionedTable(spark, str(tmp_path))
     rows = latest_table(spark, [("a", "J", uid(1), NOW)])
     first = table.commit(table.stage(rows), {}, None)
-    with pytest.raises(Exception):
-        table.commit(table.stage(rows), {}, None)
+    loser = table.stage(rows)
+    with pytest.raises(Exception, match="exist"):
+        table.commit(loser, {}, None)
+    assert table.current() == first and not (tmp_path / loser).exists()
     version = first
     for _ in range(KEEP + 2):
         version = table.commit(table.stage(rows), {}, version)
