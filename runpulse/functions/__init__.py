@@ -4,6 +4,7 @@ from runpulse.functions.events import (  # noqa: F401
     duration_ms,
     event_dts,
     event_fields,
+    first_and_last,
     has_type,
     issue_count,
     issue_subset,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runpulse.functions.events import DEFAULT_JOB, event_dts, job_name, run_timing
+from runpulse.functions.events import DEFAULT_JOB, event_dts, first_and_last, job_name
 
 # Fixed value: shape of a run id.
 RUN_ID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\z"
@@ -26,7 +26,7 @@ def contract_audit(runs: DataFrame) -> DataFrame:
         (job_name(verbose) == DEFAULT_JOB).alias("_no_job"),
         F.when(any_issue, F.size(extra_issues) > 0).alias("_extra"),
     )
-    started, ended = run_timing(F.col("_dts"))
+    started, ended = first_and_last(F.col("_dts"))
     timed = parsed.withColumns({"_start": started, "_end": ended})
     rules = {
         "bad_run_id": ~F.col("_id_ok"),

@@ -10,11 +10,10 @@ from pyspark.sql import functions as F
 
 from runpulse.functions.events import (
     duration_ms,
-    event_dts,
     event_fields,
+    first_and_last,
     has_type,
     job_name,
-    run_timing,
     severities,
     status_from,
 )
@@ -64,7 +63,7 @@ def run_events(runs: DataFrame) -> DataFrame:
         "inserted_at",
         event_fields(F.col("verbose_log"), "dt", "type", "func", "tag", "note", "err_msg").alias("_events"),
     )
-    started, ended = run_timing(F.col("_events")["dt"])
+    started, ended = first_and_last(F.col("_events")["dt"])
     timed = header.withColumns({"started_at": started, "ended_at": ended})
     return timed.select(
         "app_name",
@@ -100,7 +99,8 @@ def app_runs(runs: DataFrame, app: str, since: datetime | str, status: str | Non
 
 
 def _status_predicate(status: str) -> Column | None:
-    return {"all": None, "error": has_type(F.col("_types"), "ERROR"), "issues": has_type(F.col("_types"), "ERROR", "WARN")}[status]
+    types = F.col("_types")
+    return {"all": None, "error": has_type(types, "ERROR"), "issues": has_type(types, "ERROR", "WARN")}[status]
 
 
 def app_runs_page(

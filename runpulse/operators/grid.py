@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runpulse.functions.events import duration_ms, event_dts, job_name, run_timing, severities, status_from
+from runpulse.functions.events import duration_ms, event_dts, first_and_last, job_name, severities, status_from
 from runpulse.functions.instants import age_ms, instant
 from runpulse.functions.months import within_months
 from runpulse.schemas import LATEST_RUNS
@@ -28,7 +28,7 @@ def run_summaries(runs: DataFrame) -> DataFrame:
         event_dts(F.col("verbose_log")).alias("_dts"),
         severities(F.col("warn_error_logs")).alias("_types"),
     )
-    started, ended = run_timing(F.col("_dts"))
+    started, ended = first_and_last(F.col("_dts"))
     status, issues = status_from(F.col("_types")), F.size("_types")
     return (
         parsed.withColumns({"started_at": started, "ended_at": ended, "status": status, "issue_count": issues})
@@ -61,7 +61,9 @@ def _with_budget(grid: DataFrame, schedules: DataFrame, app: str) -> DataFrame:
     return grid.join(budgets, [app, "job"], "left")
 
 
-def staleness(grid: DataFrame, schedules: DataFrame, now: datetime | str, clock: str = "inserted_at", app: str = "app_name") -> DataFrame:
+def staleness(
+    grid: DataFrame, schedules: DataFrame, now: datetime | str, clock: str = "inserted_at", app: str = "app_name"
+) -> DataFrame:
     """Adds ``age_ms, budget_ms, stale``: overdue means older than the budget, not equal to it.
 
     Without a cadence ``stale`` is null: unknown is not the same as on time.

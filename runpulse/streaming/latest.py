@@ -12,7 +12,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from runpulse.operators.grid import latest_runs, run_summaries
 from runpulse.params import as_instant
 from runpulse.schemas import LATEST_RUNS
-from runpulse.streaming.state import RefreshConfig, Source, publish_merge, refresh_health
+from runpulse.streaming.state import RefreshConfig, Source, last_full_of, publish_merge, refresh_health
 from runpulse.streaming.versions import VersionedTable
 
 Clock = Callable[[], datetime]
@@ -46,14 +46,11 @@ def maintain_latest(
     is run again after a failure merges to the same table. The caller sets a trigger and
     starts it, and goes on scheduling ``refresh_latest`` for the reconciling scans.
     """
-    spark = stream.sparkSession
 
     def merge(batch: DataFrame, _batch_id: int) -> None:
-        table = VersionedTable(spark, f"{root}/latest")
+        table = VersionedTable(batch.sparkSession, f"{root}/latest")
         before = table.current()
-        last_full = before.meta.get("last_full") if before else None
-        newest = latest_runs(batch)
-        publish_merge(table, before, newest, as_instant(clock()), retention, as_instant(last_full) if last_full else None)
+        publish_merge(table, before, latest_runs(batch), as_instant(clock()), retention, last_full_of(before))
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 

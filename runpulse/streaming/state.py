@@ -59,7 +59,9 @@ class Refresh(NamedTuple):
     health_error: str | None = None
 
 
-def merge_latest(state: DataFrame, batch: DataFrame, now: datetime | str, retention: timedelta = RefreshConfig.retention) -> DataFrame:
+def merge_latest(
+    state: DataFrame, batch: DataFrame, now: datetime | str, retention: timedelta = RefreshConfig.retention
+) -> DataFrame:
     """Newest row per (app, job) of state and batch; the batch wins a tie. Then ``evict``."""
     both = state.withColumn("_fed", F.lit(0)).unionByName(batch.withColumn("_fed", F.lit(1)))
     newest = latest_of(both, F.desc("inserted_at"), F.desc("_fed"), F.desc("run_id")).drop("_fed")
@@ -94,7 +96,19 @@ def _instant_of(meta: dict, key: str) -> datetime | None:
     return as_instant(meta[key]) if meta.get(key) else None
 
 
-def publish_merge(table: VersionedTable, before: Version | None, batch: DataFrame, now: datetime, retention: timedelta, last_full: datetime | None) -> tuple[int, datetime | None]:
+def last_full_of(version: Version | None) -> datetime | None:
+    """When the last full scan behind a version took place."""
+    return _instant_of(version.meta, "last_full") if version else None
+
+
+def publish_merge(
+    table: VersionedTable,
+    before: Version | None,
+    batch: DataFrame,
+    now: datetime,
+    retention: timedelta,
+    last_full: datetime | None,
+) -> tuple[int, datetime | None]:
     """Merge, write and commit. Returns the number of jobs and the new watermark.
 
     The watermark never moves back. A row that is evicted at once does not move it, which
@@ -103,8 +117,8 @@ def publish_merge(table: VersionedTable, before: Version | None, batch: DataFram
     merged = merge_latest(table.read(LATEST_RUNS), batch, now, retention)
     data = table.stage(merged)
     newest = table.staged(data, LATEST_RUNS).agg(F.count("*"), iso_micros(F.max("inserted_at"))).head()
-    marks = [m for m in (_instant_of(before.meta, "watermark") if before else None, as_instant(newest[1]) if newest[1] else None) if m]
-    watermark = max(marks, default=None)
+    marks = [_instant_of(before.meta, "watermark") if before else None, as_instant(newest[1]) if newest[1] else None]
+    watermark = max((mark for mark in marks if mark), default=None)
     meta = {
         "watermark": watermark.isoformat() if watermark else None,
         "last_full": last_full.isoformat() if last_full else None,
@@ -114,29 +128,33 @@ def publish_merge(table: VersionedTable, before: Version | None, batch: DataFram
     return newest[0], watermark
 
 
-def refresh_latest(spark: SparkSession, source: Source, root: str, now: datetime | str, config: RefreshConfig = RefreshConfig()) -> Refresh:
+def refresh_latest(
+    spark: SparkSession, source: Source, root: str, now: datetime | str, config: RefreshConfig = RefreshConfig()
+) -> Refresh:
     """One bootstrap, reconcile or tick. Raises on failure, with the table as it was."""
     started = time.monotonic()
     now = as_instant(now)
     table = VersionedTable(spark, f"{root}/latest")
     before = table.current()
-    phase, since, last_full = plan_refresh(before.meta if before else None, now, config)
+    phase, since, last_full = plan_refresh(before, now, config)
     batch = latest_runs(source(since), since)
     jobs, watermark = publish_merge(table, before, batch, now, config.retention, last_full)
     return Refresh(phase, since, jobs, watermark, round((time.monotonic() - started) * 1000))
 
 
-def plan_refresh(meta: dict | None, now: datetime, config: RefreshConfig) -> tuple[str, datetime, datetime | None]:
+def plan_refresh(before: Version | None, now: datetime, config: RefreshConfig) -> tuple[str, datetime, datetime | None]:
     """``(phase, since, time of the last full scan after this one)``."""
-    last_full = _instant_of(meta, "last_full") if meta else None
-    if last_full is None:
+    last_full = last_full_of(before)
+    if before is None or last_full is None:
         return "bootstrap", now - config.retention, now
     if now - last_full >= config.reconcile_every:
         return "reconcile", now - config.retention, now
-    return "tick", since_bound(_instant_of(meta, "watermark"), now, config.overlap, config.retention), last_full
+    return "tick", since_bound(_instant_of(before.meta, "watermark"), now, config.overlap, config.retention), last_full
 
 
-def refresh_health(spark: SparkSession, source: Source, root: str, now: datetime | str, window: timedelta = RefreshConfig.health_window) -> None:
+def refresh_health(
+    spark: SparkSession, source: Source, root: str, now: datetime | str, window: timedelta = RefreshConfig.health_window
+) -> None:
     """Recompute the health of the trailing window and publish it beside the grid."""
     since = as_instant(now) - window
     table = VersionedTable(spark, f"{root}/health")
@@ -145,15 +163,16 @@ def refresh_health(spark: SparkSession, source: Source, root: str, now: datetime
     table.commit(data, {"since": since.isoformat()}, before)
 
 
-def refresh(spark: SparkSession, source: Source, root: str, now: datetime | str, config: RefreshConfig = RefreshConfig()) -> Refresh:
+def refresh(
+    spark: SparkSession, source: Source, root: str, now: datetime | str, config: RefreshConfig = RefreshConfig()
+) -> Refresh:
     """Grid and health, each failing on its own; errors are reported, not raised."""
     now = as_instant(now)
     started = time.monotonic()
     try:
         result = refresh_latest(spark, source, root, now, config)
     except Exception as failure:
-        meta = VersionedTable(spark, f"{root}/latest").current()
-        phase, since, _ = plan_refresh(meta.meta if meta else None, now, config)
+        phase, since, _ = plan_refresh(VersionedTable(spark, f"{root}/latest").current(), now, config)
         result = Refresh(phase, since, None, None, round((time.monotonic() - started) * 1000), error=str(failure))
     try:
         refresh_health(spark, source, root, now, config.health_window)

@@ -128,6 +128,8 @@ def test_timing(spark):
     rows = [run_row("a", uid(i), NOW, log) for i, log in enumerate(logs)]
     got = run_summaries(run_table(spark, rows)).orderBy("run_id").collect()
     assert [r.duration_ms for r in got] == [9883, 0, None, None, None, None, 1, None, None]
+    alone = evaluate(spark, [r[3] for r in rows], fn.run_timing)
+    assert [tuple(t) for t in alone] == [(r.started_at, r.ended_at, r.duration_ms) for r in got]
     assert (got[2].started_at, got[2].ended_at) == (None, None)
     assert got[3].started_at and got[3].ended_at
     assert got[7].started_at is None and got[7].ended_at is not None

@@ -130,6 +130,13 @@ def test_positions_follow_the_order(spark):
     assert sorted(r.pos for r in placed) == list(range(1, 5001))
 
 
+def test_positions_of_nothing_and_in_language_order(spark):
+    assert op.sort_jobs(sample_grid(spark).limit(0), "status", position="pos").count() == 0
+    grid = grid_of(spark, [(a, "j", uid(i), None, None, "SUCCESS", 0, 0, None) for i, a in enumerate("bAaB")])
+    placed = op.sort_jobs(grid, "app", collation="UNICODE", position="pos").orderBy("pos")
+    assert [r.app for r in placed.collect()] == ["a", "A", "b", "B"]
+
+
 def test_group_keeps_order(spark):
     placed = op.sort_jobs(sample_grid(spark), "status", "asc", position="pos")
     got = [(r.group_key, r.group_pos, r.job) for r in op.group_jobs(placed, "app").collect()]

@@ -11,8 +11,8 @@ from runpulse import sources as src
 from runpulse import streaming as st
 from runpulse.schemas import HEARTBEAT_METRICS, LATEST_RUNS
 from runpulse.streaming.state import plan_refresh
-from runpulse.streaming.versions import KEEP
-from util import NOW, latest_table, log_of, run_row, run_table, uid, utc
+from runpulse.streaming.versions import KEEP, Version
+from util import NOW, latest_table, log_of, run_row, run_table, uid
 
 DAY = timedelta(days=1)
 
@@ -52,10 +52,11 @@ def test_phases():
     config = st.RefreshConfig()
     full = NOW - timedelta(hours=6)
     meta = {"watermark": (NOW - timedelta(minutes=1)).isoformat(), "last_full": full.isoformat()}
+    before = Version(1, "data", meta)
     assert plan_refresh(None, NOW, config) == ("bootstrap", NOW - 30 * DAY, NOW)
-    assert plan_refresh(meta, NOW, config) == ("reconcile", NOW - 30 * DAY, NOW)
+    assert plan_refresh(before, NOW, config) == ("reconcile", NOW - 30 * DAY, NOW)
     just = NOW - timedelta(seconds=1)
-    assert plan_refresh(meta, just, config) == ("tick", NOW - timedelta(minutes=6), full)
+    assert plan_refresh(before, just, config) == ("tick", NOW - timedelta(minutes=6), full)
 
 
 def logs(*runs):
