@@ -25,6 +25,8 @@ RECOMMENDED = {
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     # One vectorized batch holds this many event documents, some of which are megabytes long.
     "spark.sql.parquet.columnarReaderBatchSize": "512",
+    # Half the size of the default codec on event documents, and no slower to read.
+    "spark.sql.parquet.compression.codec": "zstd",
 }
 
 
