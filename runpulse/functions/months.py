@@ -11,7 +11,8 @@ from runpulse.params import as_instant
 
 
 def month_of(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM")
+    """The UTC month as ``yyyy-MM``, whatever the zone of the session."""
+    return F.date_format(F.date_from_unix_date(F.floor(F.unix_seconds(ts) / 86400).cast("int")), "yyyy-MM")
 
 
 def month_label(value: datetime | str) -> str:

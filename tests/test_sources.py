@@ -8,9 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from runpulse import sources as src
+from runpulse.functions import month_of
 from runpulse.schemas import ACQUISITIONS, FLAT_EVENTS
 from runpulse.session import shared_folder
-from util import NOW, log_of, run_row, run_table, uid
+from util import NOW, log_of, run_row, run_table, uid, utc
 
 
 def test_bounds_and_columns(spark, tmp_path):
@@ -38,6 +39,16 @@ def test_files_older_than_the_bound_are_not_opened(spark, tmp_path):
     assert src.read_run_logs(spark, path, NOW - timedelta(minutes=30)).count() == 1
 
 
+def test_months_are_utc_in_any_session(spark):
+    at = [utc("2026-05-31T23:59:59.999999"), utc("2026-06-01T00:00:00"), utc("1969-12-31T23:59:59.5")]
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        rows = spark.createDataFrame([(i, t) for i, t in enumerate(at)], "i int, t timestamp").orderBy("i")
+        assert [r[0] for r in rows.select(month_of(F.col("t"))).collect()] == ["2026-05", "2026-06", "1969-12"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_append_forces_name_and_clock(spark, tmp_path):
     path = str(tmp_path / "logs")
     run_table(spark, [run_row("other", uid(1).upper(), "2020-01-01", log_of("J"), [])]).transform(
