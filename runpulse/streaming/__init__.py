@@ -12,4 +12,4 @@ from runpulse.streaming.state import (  # noqa: F401
     refresh_latest,
     since_bound,
 )
-from runpulse.streaming.versions import VersionedTable  # noqa: F401
+from runpulse.streaming.versions import Conflict, VersionedTable  # noqa: F401

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from runpulse.operators.grid import latest_runs, run_summaries
 from runpulse.params import as_instant
 from runpulse.schemas import LATEST_RUNS
-from runpulse.streaming.state import RefreshConfig, Source, last_full_of, publish_merge, refresh_health
+from runpulse.streaming.state import RefreshConfig, Source, publish_merge, refresh_health
 from runpulse.streaming.versions import VersionedTable
 
 Clock = Callable[[], datetime]
@@ -49,8 +49,7 @@ def maintain_latest(
 
     def merge(batch: DataFrame, _batch_id: int) -> None:
         table = VersionedTable(batch.sparkSession, f"{root}/latest")
-        before = table.current()
-        publish_merge(table, before, latest_runs(batch), as_instant(clock()), retention, last_full_of(before))
+        publish_merge(table, latest_runs(batch), as_instant(clock()), retention)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 

@@ -24,7 +24,7 @@ from runpulse.operators.grid import latest_of, latest_runs
 from runpulse.operators.health import app_health
 from runpulse.params import as_instant
 from runpulse.schemas import LATEST_RUNS
-from runpulse.streaming.versions import Version, VersionedTable
+from runpulse.streaming.versions import Conflict, Version, VersionedTable
 
 HEALTH = T.StructType(
     [
@@ -35,6 +35,9 @@ HEALTH = T.StructType(
     ]
 )
 
+# Tries of a merge that other writers get in the way of.
+ATTEMPTS = 5
+
 # Reads the run logs inserted at or after the given instant.
 Source = Callable[[datetime], DataFrame]
 
@@ -92,40 +95,46 @@ def read_health(spark: SparkSession, root: str) -> DataFrame:
     return VersionedTable(spark, f"{root}/health").read(HEALTH)
 
 
-def _instant_of(meta: dict, key: str) -> datetime | None:
-    return as_instant(meta[key]) if meta.get(key) else None
+def _instant_of(version: Version | None, key: str) -> datetime | None:
+    text = version.meta.get(key) if version else None
+    return as_instant(text) if text else None
+
 
+def _text(value: datetime | None) -> str | None:
+    return value.isoformat() if value else None
 
-def last_full_of(version: Version | None) -> datetime | None:
-    """When the last full scan behind a version took place."""
-    return _instant_of(version.meta, "last_full") if version else None
+
+def _later(*values: datetime | None) -> datetime | None:
+    return max((v for v in values if v is not None), default=None)
 
 
 def publish_merge(
-    table: VersionedTable,
-    before: Version | None,
-    batch: DataFrame,
-    now: datetime,
-    retention: timedelta,
-    last_full: datetime | None,
+    table: VersionedTable, batch: DataFrame, now: datetime, retention: timedelta, last_full: datetime | None = None
 ) -> tuple[int, datetime | None]:
     """Merge, write and commit. Returns the number of jobs and the new watermark.
 
-    The watermark never moves back. A row that is evicted at once does not move it, which
+    If another writer was faster, the merge is done again on top of its version. The
+    watermark never moves back. A row that is evicted at once does not move it, which
     changes no scan: they all start at the retention floor or later.
     """
-    merged = merge_latest(table.read(LATEST_RUNS), batch, now, retention)
-    data = table.stage(merged)
-    newest = table.staged(data, LATEST_RUNS).agg(F.count("*"), iso_micros(F.max("inserted_at"))).head()
-    marks = [_instant_of(before.meta, "watermark") if before else None, as_instant(newest[1]) if newest[1] else None]
-    watermark = max((mark for mark in marks if mark), default=None)
-    meta = {
-        "watermark": watermark.isoformat() if watermark else None,
-        "last_full": last_full.isoformat() if last_full else None,
-        "refreshed_at": now.isoformat(),
-    }
-    table.commit(data, meta, before)
-    return newest[0], watermark
+    for _ in range(ATTEMPTS - 1):
+        try:
+            return _publish_once(table, batch, now, retention, last_full)
+        except Conflict:
+            continue
+    return _publish_once(table, batch, now, retention, last_full)
+
+
+def _publish_once(
+    table: VersionedTable, batch: DataFrame, now: datetime, retention: timedelta, last_full: datetime | None
+) -> tuple[int, datetime | None]:
+    before = table.current()
+    data = table.stage(merge_latest(table.read(LATEST_RUNS), batch, now, retention))
+    jobs, newest = table.staged(data, LATEST_RUNS).agg(F.count("*"), iso_micros(F.max("inserted_at"))).head()
+    watermark = _later(_instant_of(before, "watermark"), as_instant(newest) if newest else None)
+    full = _later(_instant_of(before, "last_full"), last_full)
+    table.commit(data, {"watermark": _text(watermark), "last_full": _text(full), "refreshed_at": _text(now)}, before)
+    return jobs, watermark
 
 
 def refresh_latest(
@@ -135,21 +144,20 @@ def refresh_latest(
     started = time.monotonic()
     now = as_instant(now)
     table = VersionedTable(spark, f"{root}/latest")
-    before = table.current()
-    phase, since, last_full = plan_refresh(before, now, config)
+    phase, since = plan_refresh(table.current(), now, config)
     batch = latest_runs(source(since), since)
-    jobs, watermark = publish_merge(table, before, batch, now, config.retention, last_full)
+    jobs, watermark = publish_merge(table, batch, now, config.retention, None if phase == "tick" else now)
     return Refresh(phase, since, jobs, watermark, round((time.monotonic() - started) * 1000))
 
 
-def plan_refresh(before: Version | None, now: datetime, config: RefreshConfig) -> tuple[str, datetime, datetime | None]:
-    """``(phase, since, time of the last full scan after this one)``."""
-    last_full = last_full_of(before)
-    if before is None or last_full is None:
-        return "bootstrap", now - config.retention, now
+def plan_refresh(before: Version | None, now: datetime, config: RefreshConfig) -> tuple[str, datetime]:
+    """Phase of the next refresh and start of its scan."""
+    last_full = _instant_of(before, "last_full")
+    if last_full is None:
+        return "bootstrap", now - config.retention
     if now - last_full >= config.reconcile_every:
-        return "reconcile", now - config.retention, now
-    return "tick", since_bound(_instant_of(before.meta, "watermark"), now, config.overlap, config.retention), last_full
+        return "reconcile", now - config.retention
+    return "tick", since_bound(_instant_of(before, "watermark"), now, config.overlap, config.retention)
 
 
 def refresh_health(
@@ -172,7 +180,7 @@ def refresh(
     try:
         result = refresh_latest(spark, source, root, now, config)
     except Exception as failure:
-        phase, since, _ = plan_refresh(VersionedTable(spark, f"{root}/latest").current(), now, config)
+        phase, since = plan_refresh(VersionedTable(spark, f"{root}/latest").current(), now, config)
         result = Refresh(phase, since, None, None, round((time.monotonic() - started) * 1000), error=str(failure))
     try:
         refresh_health(spark, source, root, now, config.health_window)

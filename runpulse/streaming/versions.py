@@ -3,7 +3,7 @@
 Plain Parquet has neither MERGE nor transactions. Each version is written to a folder of its
 own and becomes current when its commit file appears; the commit file is renamed into place
 and never replaced. So a failed write leaves the last good version, and of two concurrent
-writers one fails.
+writers one gets a ``Conflict``.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import json
 import uuid
 from typing import NamedTuple
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -24,6 +25,10 @@ class Version(NamedTuple):
     meta: dict
 
 
+class Conflict(RuntimeError):
+    """Another writer published a version first."""
+
+
 class VersionedTable:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -88,9 +93,11 @@ class VersionedTable:
         no_options = self.spark._sc._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0)
         try:
             context.rename(pending, target, no_options)
-        except Exception:
+        except Py4JJavaError as failure:
             self._fs.delete(pending, False)
             self._fs.delete(self._path(f"{self.root}/{data}"), True)
+            if "FileAlreadyExists" in failure.java_exception.getClass().getName():
+                raise Conflict(f"version {number} of {self.root} is already there") from None
             raise
         self._forget(number - KEEP)
         return Version(number, data, meta)

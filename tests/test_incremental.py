@@ -53,10 +53,10 @@ def test_phases():
     full = NOW - timedelta(hours=6)
     meta = {"watermark": (NOW - timedelta(minutes=1)).isoformat(), "last_full": full.isoformat()}
     before = Version(1, "data", meta)
-    assert plan_refresh(None, NOW, config) == ("bootstrap", NOW - 30 * DAY, NOW)
-    assert plan_refresh(before, NOW, config) == ("reconcile", NOW - 30 * DAY, NOW)
+    assert plan_refresh(None, NOW, config) == ("bootstrap", NOW - 30 * DAY)
+    assert plan_refresh(before, NOW, config) == ("reconcile", NOW - 30 * DAY)
     just = NOW - timedelta(seconds=1)
-    assert plan_refresh(before, just, config) == ("tick", NOW - timedelta(minutes=6), full)
+    assert plan_refresh(before, just, config) == ("tick", NOW - timedelta(minutes=6))
 
 
 def logs(*runs):
@@ -123,7 +123,7 @@ def test_versions_conflict_and_forget(spark, tmp_path):
     rows = latest_table(spark, [("a", "J", uid(1), NOW)])
     first = table.commit(table.stage(rows), {}, None)
     loser = table.stage(rows)
-    with pytest.raises(Exception, match="exist"):
+    with pytest.raises(st.Conflict):
         table.commit(loser, {}, None)
     assert table.current() == first and not (tmp_path / loser).exists()
     version = first
@@ -134,6 +134,25 @@ def test_versions_conflict_and_forget(spark, tmp_path):
     assert table.read(LATEST_RUNS).count() == 1
 
 
+def test_concurrent_writers_lose_nothing(spark, tmp_path, monkeypatch):
+    """Another refresh commits between this one's read and its commit."""
+    root = str(tmp_path)
+    mine = lambda since: run_table(spark, logs(("J", 1, timedelta(0))))
+    other = lambda since: run_table(spark, logs(("K", 2, timedelta(0))))
+    stage, calls = st.VersionedTable.stage, []
+
+    def slow_stage(table, df):
+        staged = stage(table, df)
+        calls.append(staged)
+        if len(calls) == 1:
+            st.refresh_latest(spark, other, root, NOW)
+        return staged
+
+    monkeypatch.setattr(st.VersionedTable, "stage", slow_stage)
+    assert st.refresh_latest(spark, mine, root, NOW).jobs == 2
+    assert set(ids(st.read_latest(spark, root))) == {"J", "K"} and len(calls) == 3
+
+
 def stored(spark, tmp_path, rows, files=4):
     path = str(tmp_path / "logs")
     run_table(spark, rows).repartition(files, "run_id").write.partitionBy("month").parquet(path)
@@ -158,6 +177,9 @@ def test_streams_equal_batch(spark, tmp_path):
     query.awaitTermination()
     assert len(query.recentProgress) > 1
     assert sorted(map(tuple, st.read_latest(spark, str(tmp_path / "state")).collect())) == want
+    full = st.refresh_latest(spark, lambda since: src.read_run_logs(spark, path, since), str(tmp_path / "state"), NOW)
+    assert full.phase == "bootstrap"
+    assert sorted(map(tuple, st.read_latest(spark, str(tmp_path / "state")).collect())) == want
 
     writer = st.stream_latest_runs(stream).writeStream.outputMode("complete").format("memory").queryName("drained")
     writer.option("checkpointLocation", str(tmp_path / "p2")).trigger(availableNow=True).start().awaitTermination()
