@@ -75,11 +75,16 @@ def group_jobs(positioned: DataFrame, by: str | None) -> DataFrame:
 
 
 def group_rollup_status(grid: DataFrame, by: str | None) -> DataFrame:
-    """Worst status per group. Unexpected statuses do not count; a group without a worse one is SUCCESS."""
-    keyed = grid.withColumn("group_key", F.col(by) if by in ("app", "job") else F.lit(None).cast("string"))
+    """Worst status per app or job, or over the whole grid for any other ``by``.
+
+    Unexpected statuses do not count; where nothing worse is found, rows or no rows, it is SUCCESS.
+    """
     rank = status_rank(F.col("status"))
-    worst = F.min(F.when(rank <= RUN_RANK["SUCCESS"], rank))
-    rolled = keyed.groupBy("group_key").agg(worst.alias("_worst"))
+    worst = F.min(F.when(rank <= RUN_RANK["SUCCESS"], rank)).alias("_worst")
+    if by in ("app", "job"):
+        rolled = grid.groupBy(F.col(by).alias("group_key")).agg(worst)
+    else:
+        rolled = grid.agg(worst).withColumn("group_key", F.lit(None).cast("string"))
     label = F.when(F.col("_worst") == RUN_RANK["ERROR"], "ERROR").when(F.col("_worst") == RUN_RANK["WARN"], "WARN")
     return rolled.select("group_key", label.otherwise("SUCCESS").alias("status"))
 

@@ -149,7 +149,8 @@ def test_group_rollup(spark):
     got = {r.group_key: r.status for r in op.group_rollup_status(sample_grid(spark), "app").collect()}
     assert got == {"a_app": "ERROR", "b_app": "ERROR", "c_app": "SUCCESS"}
     warn = sample_grid(spark).where("status <> 'ERROR'")
-    assert [r.status for r in op.group_rollup_status(warn, None).collect()] == ["WARN"]
+    assert [tuple(r) for r in op.group_rollup_status(warn, None).collect()] == [(None, "WARN")]
+    assert [tuple(r) for r in op.group_rollup_status(warn.limit(0), None).collect()] == [(None, "SUCCESS")]
 
 
 @pytest.mark.parametrize(
