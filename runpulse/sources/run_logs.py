@@ -55,12 +55,31 @@ def month_folders(spark: SparkSession, path: str, since: datetime | str, until:
     return [f"{path}/month={month}" for month in sorted(months) if month_label(since) <= month <= last]
 
 
-def stream_run_logs(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """The same table as a file stream."""
-    reader = spark.readStream.schema(RUN_LOGS)
+def months_from(label: str) -> str:
+    """A folder pattern for the month ``label`` and all later ones.
+
+    A later label has the same first digits and then a larger one: ``2026-09`` is matched by
+    ``2026-09``, ``2026-[1-9]*``, ``202[7-9]*`` and so on.
+    """
+    larger = [f"{label[:i]}[{int(c) + 1}-9]*" for i, c in enumerate(label) if c.isdigit() and c < "9"]
+    return "month={" + ",".join([label, *larger]) + "}"
+
+
+def stream_run_logs(
+    spark: SparkSession, path: str, since: datetime | str | None = None, max_files: int | None = None
+) -> DataFrame:
+    """The same table as a file stream.
+
+    A file stream lists its folders at every trigger. With ``since`` only that month and
+    later ones are listed, and older rows are left out.
+    """
+    reader = spark.readStream.schema(RUN_LOGS).option("basePath", path)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(path)
+    if since is None:
+        return reader.parquet(path)
+    recent = reader.parquet(f"{path}/{months_from(month_label(since))}")
+    return recent.where(F.col("inserted_at") >= instant(since))
 
 
 def append_run_rows(df: DataFrame, path: str, app_name: str, now: datetime | str | None = None) -> None:

@@ -186,6 +186,18 @@ def test_streams_equal_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.table("drained").collect())) == want
 
 
+def test_stream_from_a_month_on(spark, tmp_path):
+    rows = [run_row("a", uid(i), at, log_of(f"J{i}")) for i, at in enumerate(["2025-12-31", "2026-05-09", "2026-05-31", "2026-06-01", "2027-01-01"])]
+    path = stored(spark, tmp_path, rows)
+    stream = src.stream_run_logs(spark, path, since="2026-05-10")
+    writer = stream.select("run_id", "month").writeStream.format("memory").queryName("recent")
+    query = writer.option("checkpointLocation", str(tmp_path / "p")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = sorted(map(tuple, spark.table("recent").collect()))
+    assert got == [(uid(2), "2026-05"), (uid(3), "2026-06"), (uid(4), "2027-01")]
+    assert sum(p["numInputRows"] for p in query.recentProgress) == 4  # the folder of 2025 was not read
+
+
 def test_stream_health(spark, tmp_path):
     path = stored(spark, tmp_path, stream_rows())
     source = lambda since: src.read_run_logs(spark, path, since)

@@ -3,6 +3,7 @@
 import json
 import os
 from datetime import timedelta
+from fnmatch import fnmatch
 
 import pytest
 from pyspark.sql import functions as F
@@ -49,6 +50,14 @@ def test_months_are_utc_in_any_session(spark):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+def test_month_pattern():
+    """Every month of four decades against the pattern of some."""
+    labels = [f"{y}-{m:02d}" for y in range(1995, 2035) for m in range(1, 13)]
+    for start in ("1999-12", "2009-09", "2026-06", "2029-10", "2019-99"):
+        alternatives = src.run_logs.months_from(start).removeprefix("month={").removesuffix("}").split(",")
+        assert [m for m in labels if any(fnmatch(m, a) for a in alternatives)] == [m for m in labels if m >= start]
+
+
 def test_append_forces_name_and_clock(spark, tmp_path):
     path = str(tmp_path / "logs")
     run_table(spark, [run_row("other", uid(1).upper(), "2020-01-01", log_of("J"), [])]).transform(
