@@ -186,6 +186,23 @@ def test_streams_equal_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.table("drained").collect())) == want
 
 
+def test_stream_goes_on_where_it_stopped(spark, tmp_path):
+    path, root, progress = stored(spark, tmp_path, stream_rows()[:30]), str(tmp_path / "state"), str(tmp_path / "p")
+
+    def drain():
+        stream = src.stream_run_logs(spark, path)
+        query = st.maintain_latest(stream, root, progress, clock=lambda: NOW).trigger(availableNow=True).start()
+        query.awaitTermination()
+        return sum(p["numInputRows"] for p in query.recentProgress)
+
+    assert drain() == 30
+    late = [run_row("app0", uid(500), NOW - 20 * DAY, log_of("LATE")), run_row("app0", uid(501), NOW - 40 * DAY, log_of("GONE"))]
+    run_table(spark, stream_rows()[30:] + late).write.mode("append").partitionBy("month").parquet(path)
+    assert drain() == 32
+    want = ids(op.latest_runs(run_table(spark, stream_rows()), NOW - 30 * DAY))
+    assert ids(st.read_latest(spark, root)) == {**want, "LATE": uid(500)}
+
+
 def test_stream_from_a_month_on(spark, tmp_path):
     rows = [run_row("a", uid(i), at, log_of(f"J{i}")) for i, at in enumerate(["2025-12-31", "2026-05-09", "2026-05-31", "2026-06-01", "2027-01-01"])]
     path = stored(spark, tmp_path, rows)
