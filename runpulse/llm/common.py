@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -79,7 +80,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
     """The same rows in smaller batches: each holds one row or at most ``most`` bytes of ``column``."""
     for batch in batches:
         start = size = 0
-        lengths = pa.compute.fill_null(pa.compute.binary_length(batch[column]), 0).to_pylist()
+        lengths = pc.fill_null(pc.binary_length(batch[column]), 0).to_pylist()
         for at, length in enumerate(lengths):
             if at > start and size + length > most:
                 yield batch.slice(start, at - start)

@@ -197,16 +197,17 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
     inside = Window.partitionBy("_task", "length").orderBy("_row")
     numbered = rows.withColumn("_k", F.row_number().over(inside) - 1).join(offsets, ["_task", "length"])
     numbered = numbered.select(*pieces.columns, (F.col("_k") + F.col("_before")).alias("_k"))
-    keys = slots[:, 0] << 44 | slots[:, 1] if len(slots) else np.zeros(0, np.int64)
-    names = [*pieces.columns, "sequence_id", "offset"]
+    keys = (slots[:, 0] << 44) | slots[:, 1] if len(slots) else np.zeros(0, np.int64)
+    kept = pieces.columns
+    names = [*kept, "sequence_id", "offset"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length, number = (batch[c].to_numpy(zero_copy_only=False) for c in ("length", "_k"))
-            at = np.searchsorted(keys, length << 44 | number, side="right") - 1
+            at = np.searchsorted(keys, (length << 44) | number, side="right") - 1
             _, first, _, each, sequence, offset = slots[at].T
             inside = number - first
-            columns = [batch[c] for c in pieces.columns]
+            columns = [batch[c] for c in kept]
             columns += [pa.array(sequence + inside // each), pa.array(offset + inside % each * length)]
             yield pa.RecordBatch.from_arrays(columns, names)
 
