@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from runpulse.llm import packing, token_orc
+from runpulse.llm import mixing, packing, sharding, simhash, token_orc, topk_search
 from runpulse.llm.common import table
 from runpulse.session import scratch_path
 
@@ -28,8 +29,99 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces.drop("ids"))
 
 
+def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    vectors = rows.select("vec_id", topk_search.quantized(F.col("embedding")).alias("vector"))
+    return topk_search.top_k(vectors, F.col("vec_id") % 20 == 0, 20)
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.withColumn("fingerprint", F.lpad(F.lower(F.hex("fingerprint")), 16, "0"))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = sharding.shard_by_bytes(table(spark, sf_dir, "documents"), 24)
+    return shards.select("*", F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_topk_search": op2_topk_search,
     "op3_token_orc": op3_token_orc,
     "op4_packing": op4_packing,
+    "op5_simhash": op5_simhash,
+    "op6_sharding": op6_sharding,
+    "op7_mixing": op7_mixing,
+}
+
+ORACLE: dict[str, str] = {
+    "op2_topk_search": """
+        WITH vectors AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+            FROM vectors q JOIN vectors c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+        )
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+               vec_id, score
+        FROM scored QUALIFY rank <= 20
+    """,
+    "op6_sharding": """
+        WITH bytes AS (
+            SELECT doc_id, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'),
+                                          lambda h: CAST('0x' || h AS BIGINT)) AS bytes
+            FROM documents
+        ), sized AS (
+            SELECT doc_id, CAST(len(bytes) + 8 AS BIGINT) AS size,
+                   xor(4294967295, list_reduce(list_prepend(4294967295, bytes), lambda crc, byte:
+                       list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0],
+                                   lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))) AS text_crc32
+            FROM bytes
+        ), summed AS (
+            SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size
+                                      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS to_here,
+                   sum(size) OVER () AS total
+            FROM sized
+        ), dealt AS (
+            SELECT *, CAST((2 * to_here - size) * 24 // (2 * total) AS INTEGER) AS shard FROM summed
+        )
+        SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, CAST(NULL AS INTEGER) AS grown_shard,
+               row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot
+        FROM dealt
+    """,
+    "op7_mixing": """
+        WITH sized AS (
+            SELECT doc_id, source, md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key,
+                   CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size
+            FROM documents
+        ), sources AS (
+            SELECT source, sum(size)::BIGINT AS source_size,
+                   [5.0::DOUBLE, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight
+            FROM sized GROUP BY source
+        ), lined AS (
+            SELECT *, (1.5 * sum(source_size) OVER ()::DOUBLE
+                       - coalesce(sum(2 * source_size) OVER (ORDER BY 2 * source_size / weight, source NULLS FIRST
+                             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+                      / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY 2 * source_size / weight, source NULLS FIRST
+                             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level
+            FROM sources
+        ), aimed AS (
+            SELECT source, source_size, least((2 * source_size)::DOUBLE, weight * max(level) OVER ()) AS target FROM lined
+        ), placed AS (
+            SELECT s.*, a.source_size, a.target, CAST(round(a.target) AS BIGINT) AS budget,
+                   coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY key, doc_id NULLS FIRST, size
+                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+            FROM sized s JOIN aimed a ON s.source IS NOT DISTINCT FROM a.source
+        )
+        SELECT doc_id, size, source_size, target,
+               CAST(CASE WHEN source_size = 0 THEN 0 ELSE budget // source_size * size
+                    + greatest(0, least(budget - budget // source_size * source_size - before, size)) END AS BIGINT) AS taken
+        FROM placed
+    """,
 }
-ORACLE: dict[str, str] = {}
