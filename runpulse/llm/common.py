@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,7 +16,13 @@ from runpulse.session import scratch_path
 SLICE_BYTES = 2_000_000
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers find this package where it is not installed but lies in a folder they can read."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
