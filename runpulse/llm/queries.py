@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runpulse.llm import mixing, packing, sharding, simhash, token_orc, topk_search
-from runpulse.llm.common import table
+from runpulse.llm import language_id, mixing, packing, quality, sharding, simhash, token_orc, topk_search
+from runpulse.llm.common import store, table
 from runpulse.session import scratch_path
 
 #: The id that ends a document in both token queries.
@@ -29,6 +29,17 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces.drop("ids"))
 
 
+def held_out() -> Column:
+    """Every fifth document by checksum: never learned from."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    profiles = language_id.learn(docs, ~held_out())
+    return language_id.identify(docs, profiles).withColumn("held_out", held_out())
+
+
 def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     vectors = rows.select("vec_id", topk_search.quantized(F.col("embedding")).alias("vector"))
@@ -49,13 +60,21 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    measured = quality.with_quality(docs, public_tokenizers.path("piece_bpe_32k.model"), keep_text=False)
+    return quality.judged(store(measured, "measured")).drop("lang")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_topk_search": op2_topk_search,
     "op3_token_orc": op3_token_orc,
     "op4_packing": op4_packing,
     "op5_simhash": op5_simhash,
     "op6_sharding": op6_sharding,
     "op7_mixing": op7_mixing,
+    "op8_quality": op8_quality,
 }
 
 ORACLE: dict[str, str] = {
