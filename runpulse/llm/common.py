@@ -58,28 +58,28 @@ def running_totals(df: DataFrame, order: Sequence[Column], sums: Sequence[str],
     running sum inside a task's rows is then shifted by its offset. Rows equal in ``order`` keep
     the order they are read in, and may be split between tasks, so a repeated key makes no hot task.
     """
-    keyed = df.withColumn("_tie", F.monotonically_increasing_id())
-    placed = keyed.repartitionByRange(*order, F.col("_tie")).sortWithinPartitions(*order, F.col("_tie"))
-    placed = placed.withColumn("_task", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
-    stored = store(placed.drop("_tie"), label)
-    earlier = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
-    totals = stored.groupBy("_task").agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_n_{c}") for c in sums])
+    keyed = df.withColumn("_rt_tie", F.monotonically_increasing_id())
+    placed = keyed.repartitionByRange(*order, F.col("_rt_tie")).sortWithinPartitions(*order, F.col("_rt_tie"))
+    placed = placed.withColumn("_rt_task", F.spark_partition_id()).withColumn("_rt_row", F.monotonically_increasing_id())
+    stored = store(placed.drop("_rt_tie"), label)
+    earlier = Window.orderBy("_rt_task").rowsBetween(Window.unboundedPreceding, -1)
+    totals = stored.groupBy("_rt_task").agg(F.count("*").alias("_rt_n"), *[F.sum(c).alias(f"_rt_n_{c}") for c in sums])
     offsets = totals.select(
-        F.col("_task"),
-        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_at"),
-        *[F.coalesce(F.sum(f"_n_{c}").over(earlier), F.lit(0)).alias(f"_at_{c}") for c in sums],
+        F.col("_rt_task"),
+        F.coalesce(F.sum("_rt_n").over(earlier), F.lit(0)).alias("_rt_at"),
+        *[F.coalesce(F.sum(f"_rt_n_{c}").over(earlier), F.lit(0)).alias(f"_rt_at_{c}") for c in sums],
     )
-    inside = Window.partitionBy("_task").orderBy("_row")
+    inside = Window.partitionBy("_rt_task").orderBy("_rt_row")
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
     local = stored.select(
         "*",
-        F.row_number().over(inside).alias("_place"),
-        *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_in_{c}") for c in sums],
+        F.row_number().over(inside).alias("_rt_place"),
+        *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_rt_in_{c}") for c in sums],
     )
-    return local.join(offsets, "_task").select(
+    return local.join(offsets, "_rt_task").select(
         *df.columns,
-        (F.col("_at") + F.col("_place") - 1).alias("pos"),
-        *[(F.col(f"_at_{c}") + F.col(f"_in_{c}")).alias(f"{c}_before") for c in sums],
+        (F.col("_rt_at") + F.col("_rt_place") - 1).alias("pos"),
+        *[(F.col(f"_rt_at_{c}") + F.col(f"_rt_in_{c}")).alias(f"{c}_before") for c in sums],
     )
 
 

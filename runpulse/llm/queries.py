@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runpulse.llm import language_id, mixing, packing, quality, sharding, simhash, token_orc, topk_search
+from runpulse.llm import language_id, licenses, mixing, packing, quality, sharding, simhash, token_orc, topk_search, toxicity
 from runpulse.llm.common import store, table
 from runpulse.session import scratch_path
 
@@ -37,7 +37,7 @@ def held_out() -> Column:
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     profiles = language_id.learn(docs, ~held_out())
-    return language_id.identify(docs, profiles).withColumn("held_out", held_out())
+    return language_id.identify(docs, profiles).withColumn("held_out", F.coalesce(held_out(), F.lit(False)))
 
 
 def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +66,19 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(store(measured, "measured")).drop("lang")
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    return found.withColumn("spans", F.to_json("notices")).drop("notices")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = toxicity.learn(docs, table(spark, sf_dir, "labels"), ~held_out())
+    scored = toxicity.with_toxicity(docs, machine, keep_text=False)
+    is_held_out = F.coalesce(held_out(), F.lit(False)).alias("held_out")
+    return scored.select("doc_id", is_held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_topk_search": op2_topk_search,
@@ -75,6 +88,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sharding": op6_sharding,
     "op7_mixing": op7_mixing,
     "op8_quality": op8_quality,
+    "op9_licenses": op9_licenses,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE: dict[str, str] = {
