@@ -6,8 +6,9 @@ program over that histogram (at most ``capacity`` rows, whatever the corpus) is
 driver: a configuration says how many pieces of each length share a sequence, and the program asks
 how often to use each so that all pieces are placed in the fewest sequences. Multiplicative weights
 keep a price per length, a knapsack dynamic program finds the configuration of the highest price, and
-what it covers gets cheaper. Filled configurations are rounded down to whole uses, and the pieces
-left over go best-fit decreasing. Pieces then find their places by number: the
+what it covers gets cheaper. Filled configurations are rounded down to whole uses; the pieces of
+seldom used ones and those left over go best-fit decreasing, and the rounding with the fewest sequences
+is taken. Pieces then find their places by number: the
 k-th piece of length l goes into the k-th slot of that length.
 """
 
@@ -32,6 +33,8 @@ STEP = 0.25
 SHARPNESS = 0.5
 #: Steps of the program at most. Pieces it does not reach are placed best-fit.
 STEPS = 1000
+#: Roundings that are tried: configurations used at least so often stay, pieces of others go best-fit.
+LEAST_USES = (1, 2, 4, 8, 16, 32, 64, 128)
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids array<int>"
 
@@ -115,17 +118,21 @@ def best_fit_decreasing(lengths: np.ndarray, counts: np.ndarray, capacity: int)
     return [held for group in bins.values() for held in group]
 
 
+def _rounded(lengths: np.ndarray, counts: np.ndarray, capacity: int, kept: list[tuple[dict[int, int], int]]) -> list:
+    """``kept`` configurations as often as they say, and all other pieces best-fit."""
+    left = counts.astype(np.int64).copy()
+    for config, times in kept:
+        for i, n in config.items():
+            left[i] -= n * times
+    return kept + best_fit_decreasing(lengths, left, capacity)
+
+
 def plan_packing(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY) -> Plan:
     """Slots for ``counts[i]`` pieces of ``lengths[i]`` (ascending, all different, none above ``capacity``)."""
-    left = counts.astype(np.int64).copy()
-    chosen: list[tuple[dict[int, int], int]] = []
-    for config, often in solve(lengths, left, capacity):
-        filled = sum(int(lengths[i]) * n for i, n in config.items()) == capacity
-        if filled and (times := int(often + 1e-6)):
-            chosen.append((config, times))
-            for i, n in config.items():
-                left[i] -= n * times
-    chosen += best_fit_decreasing(lengths, left, capacity)
+    solved = [(c, int(often + 1e-6)) for c, often in solve(lengths, counts, capacity)]
+    filled = [(c, n) for c, n in solved if sum(int(lengths[i]) * k for i, k in c.items()) == capacity]
+    roundings = (_rounded(lengths, counts, capacity, [f for f in filled if f[1] >= least]) for least in LEAST_USES)
+    chosen = min(roundings, key=lambda bins: sum(n for _, n in bins))
     rows, sequence, next_slot = [], 0, np.zeros(len(lengths), np.int64)
     for config, times in chosen:
         offset = 0
@@ -202,7 +209,7 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
     names = [*kept, "sequence_id", "offset"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in filter(len, batches):
             length, number = (batch[c].to_numpy(zero_copy_only=False) for c in ("length", "_k"))
             at = np.searchsorted(keys, (length << 44) | number, side="right") - 1
             _, first, _, each, sequence, offset = slots[at].T

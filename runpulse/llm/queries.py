@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runpulse.llm import language_id, licenses, mixing, packing, quality, sharding, simhash, token_orc, topk_search, toxicity
-from runpulse.llm.common import store, table
+from runpulse.llm.common import pick, store, table
 from runpulse.session import scratch_path
 
 #: The id that ends a document in both token queries.
@@ -41,7 +41,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings")
+    rows = pick(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     vectors = rows.select("vec_id", topk_search.quantized(F.col("embedding")).alias("vector"))
     return topk_search.top_k(vectors, F.col("vec_id") % 20 == 0, 20)
 
@@ -61,7 +61,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
     measured = quality.with_quality(docs, public_tokenizers.path("piece_bpe_32k.model"), keep_text=False)
     return quality.judged(store(measured, "measured")).drop("lang")
 
@@ -72,7 +72,7 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text")
     machine = toxicity.learn(docs, table(spark, sf_dir, "labels"), ~held_out())
     scored = toxicity.with_toxicity(docs, machine, keep_text=False)
     is_held_out = F.coalesce(held_out(), F.lit(False)).alias("held_out")

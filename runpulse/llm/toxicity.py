@@ -239,3 +239,10 @@ def with_toxicity(df: DataFrame, machine: Machine | None, *, text: str = "text",
             )
 
     return sent.mapInArrow(add, ", ".join([*fields, "_score double"])).toDF(*[df.columns[i] for i in kept], name)
+
+
+def filtered(docs: DataFrame, machine: Machine | None, *, text: str = "text", limit: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score under ``limit``, with their columns as they are."""
+    marks = [f"_c{i}" for i in range(len(docs.columns))]
+    scored = with_toxicity(docs.toDF(*marks), machine, text=marks[docs.columns.index(text)], name="_toxicity")
+    return scored.where(F.col("_toxicity") < limit).select(*marks).toDF(*docs.columns)
