@@ -46,7 +46,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, *, vec_id: str = "vec_id
     scores go to the smaller id, and fewer rows than ``k`` are all returned. Rows without an id or a
     vector take no part; a row that repeats an id with its vector counts once, and rows that
     share an id only are queries and candidates of their own. Shorter vectors count as if zeros followed.
-    Scores are exact; beyond the range of a long they are cut to it.
+    Scores are exact; beyond the range of a long they are cut to it, and then ranked.
     """
     clean = pick(vectors, vec_id, vector).toDF("vec_id", "v").where("vec_id is not null and v is not null").distinct()
     rows = store(clean.withColumn("row", F.monotonically_increasing_id()), "vectors")
@@ -120,7 +120,7 @@ def _heads(k: int, lists: int):
                 fresh &= ids[seen] != own[some][:, None]
                 totals = sum(np.take_along_axis(s, seen, axis=1) for s in local)
                 for number, score, ok in zip(numbers[some], totals, fresh):
-                    found = -np.sort(-_longs(score[ok]))[:k]
+                    found = np.sort(_longs(score[ok]))[::-1][:k]
                     rows.append(np.full(len(found), number))
                     scores.append(found)
         empty = np.zeros(0, np.int64)
@@ -138,19 +138,20 @@ def _entries(k: int, lists: int):
             q, c, parts = _matrices(queries, candidates, lists)
             ids, own = candidates["cand_id"].to_numpy(), queries["vec_id"].to_numpy()
             numbers = queries["row"].to_numpy()
-            low = -(2**62)
+            low = -(2**63)  # no cutoff, or one that was cut to the range of a long
             cutoffs = np.array([low if x is None else x for x in queries["cutoff"].to_pylist()], np.int64)
             thresholds = -(-cutoffs // lists)
             for at in range(0, len(q), SCORED_AT_ONCE):
                 some = slice(at, at + SCORED_AT_ONCE)
                 local = [q[some, p] @ c[:, p].T for p in parts]
-                above = [s >= thresholds[some, None].astype(s.dtype) for s in local]
+                all_of = cutoffs[some, None] == low
+                above = [(s >= thresholds[some, None].astype(s.dtype)) | all_of for s in local]
                 who, what = np.nonzero(np.logical_or.reduce(above))
                 total = sum(_score(s, a, q[some, p], c[:, p], who, what) for s, a, p in zip(local, above, parts))
                 total = _longs(total) if len(who) else np.zeros(0, np.int64)
                 keep = (total >= cutoffs[some][who]) & (ids[what] != own[some][who])
                 who, what, total = who[keep], what[keep], total[keep]
-                order = np.lexsort((ids[what], -total, who))
+                order = np.lexsort((ids[what], ~total, who))
                 who, what, total = who[order], what[order], total[order]
                 place = np.arange(len(who)) - np.searchsorted(who, who)
                 who, what, total = who[place < k], what[place < k], total[place < k]

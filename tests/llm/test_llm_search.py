@@ -14,8 +14,9 @@ def brute(rows, k):
     out = []
     for q, a in rows:
         if q % 20 == 0:
-            scored = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in rows if i != q)[:k]
-            out += [(q, n, i, max(-(2**63), min(2**63 - 1, -s))) for n, (s, i) in enumerate(scored, 1)]
+            long = lambda s: max(-(2**63), min(2**63 - 1, s))
+            scored = sorted((-long(sum(x * y for x, y in zip(a, b))), i) for i, b in rows if i != q)[:k]
+            out += [(q, n, i, -s) for n, (s, i) in enumerate(scored, 1)]
     return sorted(out)
 
 
