@@ -16,5 +16,5 @@ from runpulse.functions.events import (  # noqa: F401
 )
 from runpulse.functions.instants import age_ms, instant, iso_micros, iso_seconds, safe_ts  # noqa: F401
 from runpulse.functions.labels import conn_status, status_rank  # noqa: F401
-from runpulse.functions.months import month_of, within_months  # noqa: F401
+from runpulse.functions.months import day_of, month_of, within_days  # noqa: F401
 from runpulse.functions.text import blank_to_null, squeeze, summarize_error, trim_text  # noqa: F401

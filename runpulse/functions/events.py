@@ -8,6 +8,10 @@ nested arrays; text that is no JSON array reads as an empty one. Two readers are
   as a one-element array.
 * ``array<variant>`` takes any element. ``coalesce`` evaluates it only for the rows the
   first reader gave up on.
+
+Both readers would take the first array of a longer text. So the text is read as the first field of
+an object that has a second one: if anything but white space follows the array, that object breaks
+off and the text counts as no array.
 """
 
 from __future__ import annotations
@@ -21,8 +25,8 @@ from runpulse.functions.text import trim_text
 # Fixed value: the job of a run whose first event names none.
 DEFAULT_JOB = "(default)"
 
-# By default Spark also takes 'single-quoted' texts, which are no JSON.
-STRICT = {"allowSingleQuotes": "false"}
+# By default Spark also takes 'single-quoted' texts and NaN, which are no JSON.
+STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 EVENT_TYPES = {
     "run_id": "string",
@@ -40,19 +44,30 @@ def _array_text(col: Column) -> Column:
     return F.when(F.startswith(col, F.lit("[")) | col.rlike(r"^[ \t\r\n]*\["), col)
 
 
+def _elements(col: Column, element: str) -> Column:
+    """The array in the text, or null; the text is parsed once."""
+    framed = F.concat(F.lit('{"a":'), _array_text(col), F.lit(',"z":0}'))
+    read = F.from_json(framed, f"a array<{element}>, z int", STRICT)
+    return F.transform(F.array(read), lambda r: F.when(r["z"] == 0, r["a"]))[0]
+
+
+def is_array(col: Column) -> Column:
+    """Whether the text is a JSON array; null for null."""
+    return F.when(col.isNotNull(), _elements(col, "variant").isNotNull())
+
+
 def parse_events(col: Column) -> Column:
     """JSON text to ``array<variant>``; null, malformed and non-array text give no elements."""
-    return F.coalesce(F.from_json(col, "array<variant>", STRICT), F.array().cast("array<variant>"))
+    return F.coalesce(_elements(col, "variant"), F.array().cast("array<variant>"))
 
 
 def event_fields(col: Column, *fields: str) -> Column:
     """JSON text to an array of structs with just ``fields``; an odd element has null fields."""
     names = fields or tuple(EVENT_TYPES)
     schema = ", ".join(f"{name}: {EVENT_TYPES[name]}" for name in names)
-    text = _array_text(col)
-    narrow = F.from_json(text, f"array<struct<{schema}>>", STRICT)
+    narrow = _elements(col, f"struct<{schema}>")
     tolerant = F.transform(
-        F.from_json(text, "array<variant>", STRICT),
+        _elements(col, "variant"),
         lambda e: F.struct(*[F.try_variant_get(e, f"$.{n}", EVENT_TYPES[n]).alias(n) for n in names]),
     )
     return F.coalesce(narrow, tolerant, F.array().cast(f"array<struct<{schema}>>"))
@@ -85,13 +100,29 @@ def issue_count(col: Column) -> Column:
 
 
 def job_name(col: Column) -> Column:
-    """Third argv item of the first event's note, trimmed; absent or blank is the default job.
+    """Third argv item of the first event's note, trimmed; absent or blank is the default job."""
+    return job_of(log_heads(col))
+
+
+def log_heads(col: Column) -> Column:
+    """``dt`` and ``argv`` of every event: all of a log that job, start and end need, in one parse."""
+    narrow = F.transform(
+        _elements(col, "struct<dt: string, note: struct<argv: array<string>>>"),
+        lambda e: F.struct(e["dt"].alias("dt"), e["note"]["argv"].alias("argv")),
+    )
+    tolerant = F.transform(
+        _elements(col, "variant"),
+        lambda e: F.struct(
+            F.try_variant_get(e, "$.dt", "string").alias("dt"),
+            F.try_variant_get(e, "$.note.argv", "array<string>").alias("argv"),
+        ),
+    )
+    return F.coalesce(narrow, tolerant, F.array().cast("array<struct<dt: string, argv: array<string>>>"))
+
 
-    The list is cut out first and then read: a path down to the item would render a JSON
-    null as the text ``null``.
-    """
-    argv = F.from_json(F.get_json_object(col, "$[0].note.argv"), "array<string>")
-    raw = F.try_element_at(argv, F.lit(3))
+def job_of(heads: Column) -> Column:
+    """The job, over an array from ``log_heads``."""
+    raw = F.try_element_at(F.try_element_at(heads, F.lit(1))["argv"], F.lit(3))
     return F.coalesce(F.nullif(trim_text(raw), F.lit("")), F.lit(DEFAULT_JOB))
 
 

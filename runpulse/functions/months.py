@@ -1,4 +1,4 @@
-"""Month folders of the run-log table."""
+"""Month and day folders of stored tables."""
 
 from __future__ import annotations
 
@@ -19,16 +19,28 @@ def month_label(value: datetime | str) -> str:
     return as_instant(value).astimezone(timezone.utc).strftime("%Y-%m")
 
 
-def within_months(runs: DataFrame, since: datetime | str | None = None, until: datetime | str | None = None) -> DataFrame:
-    """Restrict ``runs`` to the month folders that can hold ``[since, until]``.
+def day_of(ts: Column) -> Column:
+    """The UTC day as ``yyyy-MM-dd``, whatever the zone of the session."""
+    return F.date_from_unix_date(F.floor(F.unix_seconds(ts) / 86400).cast("int")).cast("string")
+
+
+def day_label(value: datetime | str) -> str:
+    return as_instant(value).astimezone(timezone.utc).strftime("%Y-%m-%d")
+
+
+def within_days(runs: DataFrame, since: datetime | str | None = None, until: datetime | str | None = None) -> DataFrame:
+    """Restrict ``runs`` to the month and day folders that can hold ``[since, until]``.
 
     Spark cannot derive this from a bound on ``inserted_at``, so every bounded operator says
-    it explicitly. A table without the column passes unchanged.
+    it explicitly. A table without these columns passes unchanged; months without day folders
+    have a null day.
     """
-    if "month" not in runs.columns:
-        return runs
-    if since is not None:
-        runs = runs.where(F.col("month") >= month_label(since))
-    if until is not None:
-        runs = runs.where(F.col("month") <= month_label(until))
+    for column, label in (("month", month_label), ("day", day_label)):
+        if column not in runs.columns:
+            continue
+        folder = F.col(column)
+        if since is not None:
+            runs = runs.where(folder.isNull() | (folder >= label(since)))
+        if until is not None:
+            runs = runs.where(folder.isNull() | (folder <= label(until)))
     return runs

@@ -39,8 +39,8 @@ def acquisition_systems(
     systems = distinct.groupBy("system_id", "data_source").agg(
         blank_to_null(F.max("manufacturer")).alias("manufacturer"),
         blank_to_null(F.max("modality")).alias("modality"),
-        F.sum("_runs").cast("int").alias("runs"),
-        F.sum("_failed").cast("int").alias("failed"),
+        F.sum("_runs").alias("runs"),
+        F.sum("_failed").alias("failed"),
         iso_seconds(F.max("_last")).alias("last_seen"),
     )
     order = systems_order(collation)

@@ -2,42 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runpulse.functions.events import DEFAULT_JOB, event_dts, first_and_last, job_name
-
-# Fixed value: shape of a run id.
-RUN_ID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\z"
+from runpulse.functions.events import DEFAULT_JOB, first_and_last, is_array, job_of, log_heads, parse_events
+from runpulse.params import RUN_ID
 
 
 def contract_audit(runs: DataFrame) -> DataFrame:
-    """Per app, how many runs break each rule of the contract."""
+    """Per app, how many runs break each rule of the contract.
+
+    Arrays are read as everywhere else in the library, so a text that the grid takes for an empty
+    array counts as none here. Issues are compared with the log event by event, whatever the order of
+    an event's keys; one that occurs more often among the issues than in the log is not in the log.
+    """
     verbose, issues = F.col("verbose_log"), F.col("warn_error_logs")
-    # The whole log is compared only for runs that have issues.
-    any_issue = F.json_array_length(issues) > 0
-    extra_issues = F.array_except(F.from_json(issues, "array<string>"), F.from_json(verbose, "array<string>"))
     parsed = runs.select(
         "app_name",
-        F.col("run_id").rlike(RUN_ID).alias("_id_ok"),
-        event_dts(verbose).alias("_dts"),
-        F.json_array_length(verbose).isNull().alias("_no_log"),
-        (issues.isNotNull() & F.json_array_length(issues).isNull()).alias("_no_issues"),
-        (job_name(verbose) == DEFAULT_JOB).alias("_no_job"),
-        F.when(any_issue, F.size(extra_issues) > 0).alias("_extra"),
+        "run_id",
+        log_heads(verbose).alias("_heads"),
+        F.coalesce(is_array(verbose), F.lit(False)).alias("_log_ok"),
+        F.coalesce(is_array(issues), F.lit(True)).alias("_issues_ok"),
+        _canonical(issues).alias("_issues"),
+        # The whole log is compared only for runs that have issues.
+        F.when(F.size(_canonical(issues)) > 0, _canonical(verbose)).alias("_log"),
     )
-    started, ended = first_and_last(F.col("_dts"))
+    started, ended = first_and_last(F.col("_heads")["dt"])
     timed = parsed.withColumns({"_start": started, "_end": ended})
+    well_formed = F.col("run_id").rlike(f"^{RUN_ID}\\z")
     rules = {
-        "bad_run_id": ~F.col("_id_ok"),
+        "bad_run_id": ~well_formed,
+        "upper_case_run_id": well_formed & (F.col("run_id") != F.lower("run_id")),
         "bad_first_dt": F.col("_start").isNull(),
         "bad_last_dt": F.col("_end").isNull(),
-        "log_not_array": F.col("_no_log"),
-        "issues_not_array": F.col("_no_issues"),
-        "default_job": F.col("_no_job"),
+        "log_not_array": ~F.col("_log_ok"),
+        "issues_not_array": ~F.col("_issues_ok"),
+        "default_job": job_of(F.col("_heads")) == DEFAULT_JOB,
         "out_of_order": F.col("_end") < F.col("_start"),
-        "issues_not_in_log": F.col("_extra"),
+        "issues_not_in_log": F.when(F.size("_issues") > 0, _not_within(F.col("_issues"), F.col("_log"))),
     }
     return timed.groupBy("app_name").agg(
         F.count("*").alias("runs"), *[F.count_if(broken).alias(name) for name, broken in rules.items()]
     )
+
+
+def _canonical(col: Column) -> Column:
+    """The array's elements as JSON text with sorted keys."""
+    return F.transform(parse_events(col), lambda e: F.to_json(e))
+
+
+def _not_within(part: Column, whole: Column) -> Column:
+    """Does ``part`` hold an element more often than ``whole``? Counting is left to repeated elements."""
+    times = lambda texts, text: F.size(F.filter(texts, lambda t: t == text))
+    kinds = F.array_distinct(part)
+    repeated = F.size(kinds) < F.size(part)
+    more = F.exists(kinds, lambda text: times(part, text) > times(whole, text))
+    return (F.size(F.array_except(part, whole)) > 0) | (repeated & more)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from runpulse.functions.events import job_name
 from runpulse.functions.instants import instant
-from runpulse.functions.months import within_months
+from runpulse.functions.months import within_days
 from runpulse.params import as_instant
 
 PERCENTILES = {"median_gap_min": 0.5, "p90_gap_min": 0.9, "p99_gap_min": 0.99}
@@ -26,9 +26,10 @@ def gap_counts(runs: DataFrame, since: datetime | str) -> DataFrame:
     the last instant of one to the first of the next, over one row per minute. Rows without
     a gap carry the run counts.
     """
-    recent = within_months(runs, since).where(F.col("inserted_at") > instant(since))
+    recent = within_days(runs, since).where(F.col("inserted_at") > instant(since))
+    job = F.col("job") if "job" in runs.columns else job_name(F.col("verbose_log"))
     instants = (
-        recent.select("app_name", job_name(F.col("verbose_log")).alias("job"), "inserted_at")
+        recent.select("app_name", job.alias("job"), "inserted_at")
         .groupBy(*JOB, "inserted_at")
         .agg(F.count("*").alias("n"))
         .withColumn("minute", F.date_trunc("minute", "inserted_at"))

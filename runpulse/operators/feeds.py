@@ -18,39 +18,52 @@ from runpulse.functions.events import (
     status_from,
 )
 from runpulse.functions.instants import instant, iso_micros, safe_ts
-from runpulse.functions.months import within_months
-from runpulse.params import as_instant, feed_limit, normalize_status, page_limit, require_uuid
+from runpulse.functions.months import within_days
+from runpulse.params import FEED_LIMIT, PAGE_LIMIT, as_instant, require_uuid, row_limit, status_filter
 
-HINT_REACH = timedelta(hours=1)
+# A run is stored after its last event, and no run takes longer than this.
+LONGEST_RUN = timedelta(days=1)
+# Clocks of writers may differ by so much.
+CLOCK_SLACK = timedelta(hours=1)
 
 
-def error_feed(runs: DataFrame, now: datetime | str, lookback_days: int = 2, limit: object = 100) -> DataFrame:
+def error_feed(runs: DataFrame, now: datetime | str, lookback_days: int = 2, limit: int = FEED_LIMIT) -> DataFrame:
     """Newest WARN/ERROR events of runs with ``inserted_at > now - lookback_days``.
 
     An event whose ``dt`` is no instant sorts first, where it is noticed. Ties go by run id
-    and place in the run.
+    and place in the run. Returns ``limit`` events, if there are so many.
     """
     since = as_instant(now) - timedelta(days=lookback_days)
-    recent = within_months(runs, since).where(F.col("inserted_at") > instant(since))
+    recent = within_days(runs, since).where(F.col("inserted_at") > instant(since))
     fields = ("dt", "type", "func", "tag", "err_msg", "note")
     events = recent.select(
         "app_name", "run_id", F.posexplode(event_fields(F.col("warn_error_logs"), *fields)).alias("_pos", "_event")
     ).select("app_name", "run_id", *[F.col("_event")[f].alias(f) for f in fields], "_pos")
     newest = events.orderBy(safe_ts(F.col("dt")).desc_nulls_first(), "run_id", "_pos")
-    return newest.limit(feed_limit(limit)).drop("_pos")
+    return newest.limit(row_limit(limit)).drop("_pos")
 
 
-def run_by_id(runs: DataFrame, run_id: str, hint: datetime | str | None = None) -> DataFrame:
-    """The newest row of a run id, or none.
+def run_by_id(
+    runs: DataFrame,
+    run_id: str,
+    hint: datetime | str | None = None,
+    longest_run: timedelta = LONGEST_RUN,
+    clock_slack: timedelta = CLOCK_SLACK,
+) -> DataFrame:
+    """The newest row of a run id, or none. Letters may be in either case, here and in the table.
 
-    ``hint`` is the run's ``inserted_at`` or any of its event times: only ``[hint - 1 h,
-    hint + 1 h)`` is searched, which leaves one or two month folders.
+    ``hint`` is the run's ``inserted_at`` or any of its event times. A row is stored at most
+    ``longest_run`` after any of its events, so only ``[hint - clock_slack, hint + longest_run +
+    clock_slack)`` is searched: a few day folders. Rows stored outside of it are not found by
+    that hint.
     """
     if hint is not None:
-        low, high = as_instant(hint) - HINT_REACH, as_instant(hint) + HINT_REACH
-        runs = within_months(runs, low, high)
+        low, high = as_instant(hint) - clock_slack, as_instant(hint) + longest_run + clock_slack
+        runs = within_days(runs, low, high)
         runs = runs.where((F.col("inserted_at") >= instant(low)) & (F.col("inserted_at") < instant(high)))
-    found = runs.where(F.col("run_id") == require_uuid(run_id))
+    known = require_uuid(run_id)
+    # Plain values reach the row groups' bounds and bloom filters, which lower(run_id) would not.
+    found = runs.where(F.col("run_id").isin(*dict.fromkeys([known, known.upper(), run_id])))
     return found.select("app_name", "run_id", "inserted_at", "verbose_log").orderBy(F.desc("inserted_at")).limit(1)
 
 
@@ -77,16 +90,22 @@ def run_events(runs: DataFrame) -> DataFrame:
     ).select("*", "_event.*").drop("_event")
 
 
-def run_timeline(runs: DataFrame, run_id: str, hint: datetime | str | None = None) -> DataFrame:
-    """All events of one run, ordered."""
-    return run_events(run_by_id(runs, run_id, hint)).orderBy("pos")
+def run_timeline(
+    runs: DataFrame,
+    run_id: str,
+    hint: datetime | str | None = None,
+    longest_run: timedelta = LONGEST_RUN,
+    clock_slack: timedelta = CLOCK_SLACK,
+) -> DataFrame:
+    """All events of one run, ordered. Arguments as in ``run_by_id``."""
+    return run_events(run_by_id(runs, run_id, hint, longest_run, clock_slack)).orderBy("pos")
 
 
-def app_runs(runs: DataFrame, app: str, since: datetime | str, status: str | None = "all") -> DataFrame:
+def app_runs(runs: DataFrame, app: str, since: datetime | str, status: str = "all") -> DataFrame:
     """One application's runs with ``inserted_at > since``, unordered. Never reads ``verbose_log``."""
-    mine = within_months(runs, since).where((F.col("app_name") == app) & (F.col("inserted_at") > instant(since)))
+    mine = within_days(runs, since).where((F.col("app_name") == app) & (F.col("inserted_at") > instant(since)))
     typed = mine.select("run_id", "inserted_at", severities(F.col("warn_error_logs")).alias("_types"))
-    wanted = _status_predicate(normalize_status(status))
+    wanted = _status_predicate(status_filter(status))
     if wanted is not None:
         typed = typed.where(wanted)
     return typed.select(
@@ -107,11 +126,11 @@ def app_runs_page(
     runs: DataFrame,
     app: str,
     since: datetime | str,
-    limit: object = 200,
+    limit: int = PAGE_LIMIT,
     cursor: tuple[datetime | str | None, str | None] | None = None,
-    status: str | None = "all",
+    status: str = "all",
 ) -> DataFrame:
-    """One page of ``app_runs``, newest first.
+    """One page of ``app_runs``, newest first; runs of one instant by id, in whatever case it is stored.
 
     ``cursor`` is the last row of the page before, ``(inserted_at, run_id)`` to the
     microsecond; half a cursor is none. The bound on ``inserted_at`` is implied by the row
@@ -119,11 +138,11 @@ def app_runs_page(
     """
     if cursor and cursor[0] and cursor[1]:
         before, before_id = as_instant(cursor[0]), require_uuid(cursor[1])
-        runs = within_months(runs, until=before).where(F.col("inserted_at") <= instant(before))
-        position = F.struct("inserted_at", "run_id")
+        runs = within_days(runs, until=before).where(F.col("inserted_at") <= instant(before))
+        position = F.struct("inserted_at", F.lower("run_id").alias("run_id"))
         runs = runs.where(position < F.struct(instant(before).alias("inserted_at"), F.lit(before_id).alias("run_id")))
-    newest = app_runs(runs, app, since, status).orderBy(F.desc("inserted_at"), F.desc("run_id"))
-    return newest.limit(page_limit(limit))
+    newest = app_runs(runs, app, since, status).orderBy(F.desc("inserted_at"), F.lower("run_id").desc())
+    return newest.limit(row_limit(limit))
 
 
 class Page(NamedTuple):
@@ -131,8 +150,8 @@ class Page(NamedTuple):
     cursor: tuple[str, str] | None
 
 
-def fetch_page(page: DataFrame, limit: object = 200) -> Page:
-    """Run one page (at most 500 rows) and give the cursor of the next, if this one is full."""
-    rows = page.collect()
-    full = len(rows) > 0 and len(rows) >= page_limit(limit)
-    return Page(rows, (rows[-1]["inserted_at_iso"], rows[-1]["run_id"]) if full else None)
+def fetch_page(page: DataFrame, limit: int = PAGE_LIMIT) -> Page:
+    """Run one page, at most ``limit`` rows. A page of exactly ``limit`` may have a next one, by its cursor."""
+    rows = page.limit(row_limit(limit)).collect()
+    last = rows[-1] if len(rows) == limit else None
+    return Page(rows, (last["inserted_at_iso"], last["run_id"]) if last else None)

@@ -7,9 +7,9 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runpulse.functions.events import duration_ms, event_dts, first_and_last, job_name, severities, status_from
+from runpulse.functions.events import duration_ms, first_and_last, job_of, log_heads, severities, status_from
 from runpulse.functions.instants import age_ms, instant
-from runpulse.functions.months import within_months
+from runpulse.functions.months import within_days
 from runpulse.schemas import LATEST_RUNS
 
 MINUTE_MS = 60_000
@@ -18,17 +18,19 @@ MINUTE_MS = 60_000
 def run_summaries(runs: DataFrame) -> DataFrame:
     """One narrow row per run: job, status, issue count, start, end, duration.
 
-    Both documents are parsed where they are read, so that no later shuffle carries them.
+    Each document is parsed once, where it is read, so that no later shuffle carries it. Rows that
+    are summaries already, as of ``read_summaries``, pass as they are.
     """
+    if set(LATEST_RUNS.names) <= set(runs.columns):
+        return runs.select(*LATEST_RUNS.names)
     parsed = runs.select(
         "app_name",
-        job_name(F.col("verbose_log")).alias("job"),
         "run_id",
         "inserted_at",
-        event_dts(F.col("verbose_log")).alias("_dts"),
+        log_heads(F.col("verbose_log")).alias("_heads"),
         severities(F.col("warn_error_logs")).alias("_types"),
-    )
-    started, ended = first_and_last(F.col("_dts"))
+    ).withColumn("job", job_of(F.col("_heads")))
+    started, ended = first_and_last(F.col("_heads")["dt"])
     status, issues = status_from(F.col("_types")), F.size("_types")
     return (
         parsed.withColumns({"started_at": started, "ended_at": ended, "status": status, "issue_count": issues})
@@ -50,7 +52,7 @@ def latest_of(rows: DataFrame, *order: Column) -> DataFrame:
 def latest_runs(runs: DataFrame, since: datetime | str | None = None) -> DataFrame:
     """Newest run per (app, job) with ``inserted_at >= since``; a tie goes to the larger run id."""
     if since is not None:
-        runs = within_months(runs, since).where(F.col("inserted_at") >= instant(since))
+        runs = within_days(runs, since).where(F.col("inserted_at") >= instant(since))
     return latest_of(run_summaries(runs), F.desc("inserted_at"), F.desc("run_id"))
 
 

@@ -9,17 +9,17 @@ from pyspark.sql import functions as F
 
 from runpulse.functions.events import has_type, severities
 from runpulse.functions.instants import instant
-from runpulse.functions.months import within_months
+from runpulse.functions.months import within_days
 
 
 def app_health(runs: DataFrame, since: datetime | str) -> DataFrame:
     """Per app: runs, runs with an ERROR, runs with a WARN (a run can be both), ``inserted_at > since``."""
-    recent = within_months(runs, since).where(F.col("inserted_at") > instant(since))
+    recent = within_days(runs, since).where(F.col("inserted_at") > instant(since))
     typed = recent.select("app_name", severities(F.col("warn_error_logs")).alias("_types"))
     return typed.groupBy("app_name").agg(
-        F.count("*").cast("int").alias("runs"),
-        F.count_if(has_type(F.col("_types"), "ERROR")).cast("int").alias("errored"),
-        F.count_if(has_type(F.col("_types"), "WARN")).cast("int").alias("warned"),
+        F.count("*").alias("runs"),
+        F.count_if(has_type(F.col("_types"), "ERROR")).alias("errored"),
+        F.count_if(has_type(F.col("_types"), "WARN")).alias("warned"),
     )
 
 

@@ -18,9 +18,10 @@ def with_position(df: DataFrame, order: Sequence[Column], name: str = "pos") ->
 
     A row number over the whole table would be one task's work. Instead the rows are range
     partitioned and sorted, numbered inside their task and shifted by the number of rows in
-    earlier tasks. Those counts are one row per task. The sorted rows are checkpointed in
-    the shared folder in between, so the count and the numbering see the same task borders
-    even when an executor is lost.
+    earlier tasks. Those counts are one row per task; how they are joined is left to the optimizer. The
+    sorted rows are checkpointed in the shared folder in between, so the count and the numbering see
+    the same task borders even when an executor is lost. So the call itself runs jobs, and the stored
+    copy stays until the result is dropped (``spark.cleaner.referenceTracking.cleanCheckpoints``).
     """
     shared_folder(df.sparkSession)
     local = F.monotonically_increasing_id()
@@ -33,5 +34,5 @@ def with_position(df: DataFrame, order: Sequence[Column], name: str = "pos") ->
         .select("_task", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     )
     row = F.col("_slot").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
-    numbered = placed.join(F.broadcast(offsets), "_task")
+    numbered = placed.join(offsets, "_task")
     return numbered.withColumn(name, F.col("_before") + row + 1).drop("_task", "_slot", "_before")

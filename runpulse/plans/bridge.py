@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from runpulse.functions.instants import iso_micros
-from runpulse.functions.months import month_of
+from runpulse.functions.months import day_of, month_of
 from runpulse.sources.assemble import assemble_runs
 from runpulse.sources.schedules import load_schedules
 
@@ -75,7 +75,8 @@ def run_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The run-log table. A run is written one second after its last event."""
     written = F.max("ts") + F.expr("INTERVAL 1 SECOND")
     runs = assemble_runs(flat_events(spark, sf_dir), *RUN_OF, inserted_at=written)
-    return runs.withColumn("month", month_of(F.col("inserted_at")))
+    written_at = F.col("inserted_at")
+    return runs.withColumns({"month": month_of(written_at), "day": day_of(written_at)})
 
 
 def schedules(spark: SparkSession) -> DataFrame:
@@ -153,6 +154,27 @@ def dirty_dts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select("event_id", dt.alias("dt"))
 
 
+def dirty_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The run-log table with a defect of the issues, or of the id, chosen by the last digit of the run id."""
+    runs = run_logs(spark, sf_dir)
+    defect = F.ascii(F.substring("run_id", 36, 1)) % 7
+    issues = F.col("warn_error_logs")
+    keys_turned = F.regexp_replace(issues, r'"run_id":"([^"]*)","dt":"([^"]*)","type":"([A-Z]*)"', '"type":"$3","dt":"$2","run_id":"$1"')
+    every_one_twice = F.concat(F.substring(issues, F.lit(1), F.length(issues) - 1), F.lit(","), F.substring(issues, 2, 1 << 30))
+    return runs.withColumns(
+        {
+            "run_id": F.when(defect == 5, F.upper("run_id")).otherwise(F.col("run_id")),
+            "verbose_log": F.when(defect == 2, "{bad").otherwise(F.col("verbose_log")),
+            "warn_error_logs": F.when(defect == 0, keys_turned)
+            .when((defect == 1) & (F.length(issues) > 2), every_one_twice)
+            .when(defect == 3, "['a',{'type':'ERROR'}]")
+            .when(defect == 4, F.concat(issues, F.lit(" junk")))
+            .when(defect == 6, '[{"type":"ERROR","n":NaN}]')
+            .otherwise(issues),
+        }
+    )
+
+
 def dirty_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The run-log table with a defect chosen by the last digit of the run id."""
     runs = run_logs(spark, sf_dir)

@@ -136,8 +136,8 @@ def _page(limit: str, since: str = RETENTION_START, where: str = "true") -> str:
 
 HEALTH = f"""
 health AS (
-  SELECT app_name, CAST(count(*) AS INTEGER) AS runs, CAST(count(*) FILTER (WHERE errored) AS INTEGER) AS errored,
-         CAST(count(*) FILTER (WHERE warned) AS INTEGER) AS warned
+  SELECT app_name, count(*) AS runs, count(*) FILTER (WHERE errored) AS errored,
+         count(*) FILTER (WHERE warned) AS warned
   FROM runs WHERE inserted_at > {DAY_AGO} GROUP BY app_name
 )"""
 HEALTH_SQL = f"WITH {RUNS}, {HEALTH} SELECT * FROM health"
@@ -198,7 +198,7 @@ acq AS (
 recent AS (SELECT * FROM acq WHERE inserted_at > TIMESTAMP '1996-01-01 00:00:00'),
 systems AS (
   SELECT system_id, data_source, nullif(max(manufacturer), '') AS manufacturer, nullif(max(modality), '') AS modality,
-         CAST(count(*) AS INTEGER) AS runs, CAST(count(*) FILTER (WHERE NOT successful_acquisition) AS INTEGER) AS failed,
+         count(*) AS runs, count(*) FILTER (WHERE NOT successful_acquisition) AS failed,
          strftime(max(inserted_at), '%Y-%m-%dT%H:%M:%SZ') AS last_seen
   FROM recent GROUP BY system_id, data_source
 )"""
@@ -210,12 +210,13 @@ KIND = "CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'purchase' THEN 'WARN' EL
 DT = "strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ')"
 
 ORACLE: dict[str, str] = {
-    "assemble_runs": f"WITH {EVENTS}, {DOCUMENTS} SELECT *, strftime(inserted_at, '%Y-%m') AS month FROM docs",
+    "assemble_runs": f"WITH {EVENTS}, {DOCUMENTS} SELECT *, strftime(inserted_at, '%Y-%m') AS month, strftime(inserted_at, '%Y-%m-%d') AS day FROM docs",
     "read_run_logs": f"""WITH {EVENTS}, {DOCUMENTS}
-      SELECT app_name, run_id, inserted_at, warn_error_logs, strftime(inserted_at, '%Y-%m') AS month FROM docs
+      SELECT app_name, run_id, inserted_at, warn_error_logs, strftime(inserted_at, '%Y-%m') AS month,
+        strftime(inserted_at, '%Y-%m-%d') AS day FROM docs
       WHERE inserted_at >= TIMESTAMP '2024-01-05 00:00:00' AND inserted_at < TIMESTAMP '2024-01-25 00:00:00'""",
     "append_run_rows": f"""WITH {EVENTS}, {DOCUMENTS}
-      SELECT 'monitor' AS app_name, run_id, {NOW} AS inserted_at, warn_error_logs, '2024-01' AS month FROM docs""",
+      SELECT 'monitor' AS app_name, run_id, {NOW} AS inserted_at, warn_error_logs, '2024-01' AS month, '2024-01-31' AS day FROM docs""",
     "read_run_files": f"WITH {EVENTS}, {DOCUMENTS} SELECT app_name, 'dev' AS logger, run_id, verbose_log FROM docs",
     "read_acquisitions": f"WITH {ACQUISITIONS} SELECT * FROM recent",
     "read_connectivity": f"WITH {CONNECTIVITY} SELECT * FROM conn",
@@ -243,14 +244,30 @@ ORACLE: dict[str, str] = {
     "contract_audit": f"""WITH {RUNS}, broken AS (SELECT *, ascii(substr(run_id, 36, 1)) % 8 AS defect FROM runs)
       SELECT app_name, count(*) AS runs,
         count(*) FILTER (WHERE defect = 0) AS bad_run_id,
+        0 AS upper_case_run_id,
         count(*) FILTER (WHERE defect IN (1, 3, 4)) AS bad_first_dt,
         count(*) FILTER (WHERE defect IN (1, 3, 4)) AS bad_last_dt,
         count(*) FILTER (WHERE defect = 1) AS log_not_array,
         count(*) FILTER (WHERE defect = 6) AS issues_not_array,
         count(*) FILTER (WHERE job = '(default)' OR defect IN (1, 4, 7)) AS default_job,
         count(*) FILTER (WHERE defect = 7) AS out_of_order,
-        count(*) FILTER (WHERE defect = 2 OR (defect IN (3, 4) AND issue_count > 0)) AS issues_not_in_log
+        count(*) FILTER (WHERE defect = 2 OR (defect IN (1, 3, 4) AND issue_count > 0)) AS issues_not_in_log
       FROM broken GROUP BY app_name""",
+    "contract_audit_issues": f"""WITH {RUNS}, broken AS (SELECT *, ascii(substr(run_id, 36, 1)) % 7 AS defect FROM runs)
+      SELECT app_name, count(*) AS runs, 0 AS bad_run_id,
+        count(*) FILTER (WHERE defect = 5 AND upper(run_id) <> run_id) AS upper_case_run_id,
+        count(*) FILTER (WHERE defect = 2) AS bad_first_dt,
+        count(*) FILTER (WHERE defect = 2) AS bad_last_dt,
+        count(*) FILTER (WHERE defect = 2) AS log_not_array,
+        count(*) FILTER (WHERE defect IN (3, 4, 6)) AS issues_not_array,
+        count(*) FILTER (WHERE job = '(default)' OR defect = 2) AS default_job,
+        0 AS out_of_order,
+        count(*) FILTER (WHERE defect IN (1, 2) AND issue_count > 0) AS issues_not_in_log
+      FROM broken GROUP BY app_name""",
+    "stored_summaries": f"""WITH {RUNS} SELECT {SUMMARY}, strftime(inserted_at, '%Y-%m') AS month,
+        strftime(inserted_at, '%Y-%m-%d') AS day FROM runs
+      WHERE inserted_at >= TIMESTAMP '2024-01-05 00:00:00' AND inserted_at < TIMESTAMP '2024-01-25 00:00:00'""",
+    "latest_of_summaries": LATEST,
     "latest_runs": LATEST,
     "staleness": f"WITH {GRID} SELECT app_name, job, age_ms, budget_ms, age_ms > budget_ms AS stale FROM judged",
     "job_grid": f"WITH {GRID} SELECT * EXCLUDE (status_rank) FROM grid",
@@ -269,6 +286,7 @@ ORACLE: dict[str, str] = {
       count(*) FILTER (WHERE stale) AS stale, count(*) FILTER (WHERE stale IS NULL) AS unknown FROM grid""",
     "error_feed": _feed(2, 100),
     "error_feed_week": _feed(7, 500),
+    "error_feed_month": _feed(31, 1000),
     "run_by_id": f"""WITH {EVENTS}, {DOCUMENTS}
       SELECT app_name, run_id, inserted_at, verbose_log FROM docs WHERE run_id = {RUN_7}""",
     "run_by_id_hinted": f"""WITH {EVENTS}, {DOCUMENTS}
@@ -282,6 +300,11 @@ ORACLE: dict[str, str] = {
     "app_runs_next_page": _page("LIMIT 50 OFFSET 50"),
     "app_runs_error_page": _page("LIMIT 200", where="errored"),
     "app_runs_issue_page": _page("LIMIT 200", where="(errored OR warned)"),
+    "app_runs_pages_to_the_end": _page(""),
+    "app_runs_upper_case_pages": f"""WITH {RUNS} SELECT upper(run_id) AS run_id, inserted_at, status, issue_count FROM runs
+      WHERE app_name = 'app_1' AND inserted_at > {RETENTION_START}""",
+    "run_by_first_event": f"""WITH {EVENTS}, {DOCUMENTS}
+      SELECT app_name, upper(run_id) AS run_id, inserted_at, verbose_log FROM docs WHERE run_id = {RUN_7}""",
     "app_runs_peek": _page("LIMIT 50", since=f"{NOW} - INTERVAL 12 HOUR"),
     "app_health": HEALTH_SQL,
     "health_label": f"""WITH {RUNS}, {HEALTH} SELECT app_name, '24h: ' || errored || '/' || runs || ' err' ||
@@ -304,6 +327,25 @@ ORACLE: dict[str, str] = {
     "evict": f"{LATEST} WHERE inserted_at >= {NOW} - INTERVAL 1 HOUR",
     "refresh_latest": LATEST,
     "refresh_reconcile": LATEST,
+    "refresh_steps": f"""WITH {RUNS},
+      split AS (SELECT TIMESTAMP '2024-01-20 00:00:00' AS split_at),
+      boot AS (SELECT runs.* FROM runs, split
+        WHERE inserted_at >= split_at - INTERVAL 30 DAY AND inserted_at < split_at
+          AND NOT (app_name = 'app_3' AND inserted_at >= TIMESTAMP '2024-01-10 00:00:00' AND inserted_at < split_at - INTERVAL 6 MINUTE)),
+      mark1 AS (SELECT max(inserted_at) AS w FROM boot),
+      tick AS (SELECT * FROM boot UNION SELECT runs.* FROM runs, split, mark1
+        WHERE inserted_at >= w - INTERVAL 5 MINUTE AND inserted_at < split_at + INTERVAL 1 HOUR),
+      mark2 AS (SELECT max(inserted_at) AS w FROM tick),
+      whole AS (SELECT runs.* FROM runs, split
+        WHERE inserted_at >= split_at + INTERVAL 7 HOUR - INTERVAL 30 DAY AND inserted_at < split_at + INTERVAL 7 HOUR),
+      mark4 AS (SELECT greatest(w, max(inserted_at)) AS w FROM whole, mark2 GROUP BY w),
+      steps AS (
+        SELECT '1 bootstrap' AS step, 'bootstrap' AS phase, split_at - INTERVAL 30 DAY AS since, w AS watermark, boot.* FROM boot, split, mark1
+        UNION ALL SELECT '2 tick', 'tick', mark1.w - INTERVAL 5 MINUTE, mark2.w, tick.* FROM tick, mark1, mark2
+        UNION ALL SELECT '3 failed', 'tick', w - INTERVAL 5 MINUTE, NULL, tick.* FROM tick, mark2
+        UNION ALL SELECT '4 reconcile', 'reconcile', split_at + INTERVAL 7 HOUR - INTERVAL 30 DAY, w, whole.* FROM whole, split, mark4)
+      SELECT step, phase, since, watermark, app_name, job, run_id, inserted_at FROM steps
+      QUALIFY row_number() OVER (PARTITION BY step, app_name, job ORDER BY inserted_at DESC, run_id DESC) = 1""",
     "refresh_health": HEALTH_SQL,
     "maintain_latest": LATEST,
     "stream_latest_runs": LATEST,
@@ -312,7 +354,7 @@ ORACLE: dict[str, str] = {
         SELECT {_uuid("'beat'")} AS run_id, count(*) AS jobs, count(*) - count(budget_ms) AS unknown FROM grid),
       head AS (SELECT *, '{{"run_id":"' || run_id || '","dt":"2024-01-31T00:00:00.000Z","type":' AS h FROM beat),
       parts AS (SELECT *,
-        h || '"ERROR","func":"refreshOnce","tag":"CATCH","note":{{"phase":"grid refresh"}},"err_msg":"connection refused"}}' AS failed
+        h || '"ERROR","func":"refresh","tag":"CATCH","note":{{"phase":"grid refresh"}},"err_msg":"connection refused"}}' AS failed
         FROM head)
       SELECT 'monitor' AS app_name, run_id,
         '[' || h || '"INFO","func":"on_boot","tag":"CALL","note":{{"argv":["python","runpulse","heartbeat"]}}}},' ||

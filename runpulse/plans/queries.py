@@ -5,8 +5,8 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Callable, Iterator
-from datetime import timedelta
-from functools import wraps
+from datetime import datetime, timedelta
+from functools import reduce, wraps
 
 import pandas as pd
 from pyarrow.fs import FileSystem
@@ -21,6 +21,7 @@ from runpulse import streaming as st
 from runpulse.functions.labels import status_rank
 from runpulse.operators.feeds import run_events
 from runpulse.operators.grid import run_summaries
+from runpulse.params import as_instant
 from runpulse.plans import bridge
 from runpulse.plans.bridge import ACQUISITIONS_SINCE, NOW
 from runpulse.session import prepare, scratch_path
@@ -78,20 +79,17 @@ def assemble_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bridge.run_logs(spark, sf_dir)
 
 
-def _stored_logs(spark: SparkSession, sf_dir: str, days_apart: bool = False) -> str:
-    """The run-log table as month folders in the shared scratch folder."""
+def _stored_logs(spark: SparkSession, sf_dir: str) -> str:
+    """The run-log table as day folders in the shared scratch folder."""
     path = scratch_path(spark, "run-logs")
-    runs = bridge.run_logs(spark, sf_dir)
-    if days_apart:
-        runs = runs.repartitionByRange(8, "inserted_at")
-    runs.write.partitionBy("month").parquet(path)
+    src.write_days(bridge.run_logs(spark, sf_dir).repartitionByRange("inserted_at"), path)
     return path
 
 
 @query
 def read_run_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _stored_logs(spark, sf_dir)
-    columns = ["app_name", "run_id", "inserted_at", "warn_error_logs", "month"]
+    columns = ["app_name", "run_id", "inserted_at", "warn_error_logs", "month", "day"]
     return src.read_run_logs(spark, path, "2024-01-05", "2024-01-25", columns)
 
 
@@ -110,8 +108,11 @@ def _write_run_files(folder: str) -> Callable:
         files, root = FileSystem.from_uri(folder)
         for batch in batches:
             for row in batch.itertuples():
-                with files.open_output_stream(f"{root}/{row.app_name}-log.dev.{row.run_id}.json") as out:
+                # A reader never sees half a file, whatever becomes of the task.
+                begun = f"{root}/.{row.run_id}-{uuid.uuid4().hex}"
+                with files.open_output_stream(begun) as out:
                     out.write(row.verbose_log.encode())
+                files.move(begun, f"{root}/{row.app_name}-log.dev.{row.run_id}.json")
             yield batch[["run_id"]]
 
     return write
@@ -203,6 +204,26 @@ def contract_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.contract_audit(bridge.dirty_runs(spark, sf_dir))
 
 
+@query
+def contract_audit_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.contract_audit(bridge.dirty_issues(spark, sf_dir))
+
+
+@query
+def stored_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs parsed once and stored, read back for a part of the month."""
+    path = scratch_path(spark, "summaries")
+    src.append_summaries(bridge.run_logs(spark, sf_dir).repartitionByRange("inserted_at"), path)
+    return src.read_summaries(spark, path, "2024-01-05", "2024-01-25")
+
+
+@query
+def latest_of_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "summaries")
+    src.append_summaries(bridge.run_logs(spark, sf_dir).repartitionByRange("inserted_at"), path)
+    return op.latest_runs(src.read_summaries(spark, path, RETENTION_START), RETENTION_START)
+
+
 # --- the grid --------------------------------------------------------------------------------
 
 @query
@@ -296,6 +317,12 @@ def error_feed_week(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.error_feed(bridge.run_logs(spark, sf_dir), NOW, lookback_days=7, limit=500)
 
 
+@query
+def error_feed_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """More events than any page would show."""
+    return op.error_feed(bridge.run_logs(spark, sf_dir), NOW, lookback_days=31, limit=1000)
+
+
 @query
 def run_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.run_by_id(bridge.run_logs(spark, sf_dir), RUN_ID)
@@ -309,6 +336,14 @@ def run_by_id_hinted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.run_by_id(runs, RUN_ID, found[0] if found else f"{RUN_DAY}T00:00:00Z")
 
 
+@query
+def run_by_first_event(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run of hours, stored under an upper-case id, by the lower-case id and the time of its first event."""
+    runs = bridge.run_logs(spark, sf_dir).withColumn("run_id", F.upper("run_id"))
+    started = run_summaries(runs.where(F.lower("run_id") == RUN_ID)).select(fn.iso_micros(F.col("started_at"))).head()
+    return op.run_by_id(runs, RUN_ID, started[0] if started else f"{RUN_DAY}T00:00:00Z")
+
+
 @query
 def run_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.run_timeline(bridge.run_logs(spark, sf_dir), RUN_ID)
@@ -332,6 +367,28 @@ def app_runs_next_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.app_runs_page(runs, APP, RETENTION_START, limit=50, cursor=first.cursor)
 
 
+def _all_pages(runs: DataFrame, limit: int) -> DataFrame:
+    """Page after page by the cursor, until there is none."""
+    pages, cursor = [], None
+    while not pages or cursor:
+        page = op.app_runs_page(runs, APP, RETENTION_START, limit, cursor)
+        pages.append(page)
+        cursor = op.fetch_page(page, limit).cursor
+    return reduce(DataFrame.unionByName, pages)
+
+
+@query
+def app_runs_pages_to_the_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _all_pages(bridge.run_logs(spark, sf_dir), 600)
+
+
+@query
+def app_runs_upper_case_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids stored in upper case, half of the runs at one instant with others."""
+    runs = bridge.run_logs(spark, sf_dir).withColumn("run_id", F.upper("run_id"))
+    return _all_pages(runs, 300).drop("inserted_at_iso")
+
+
 @query
 def app_runs_error_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.app_runs_page(bridge.run_logs(spark, sf_dir), APP, RETENTION_START, status="error")
@@ -406,7 +463,7 @@ def acquisition_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- incremental and streaming ---------------------------------------------------------------
 
-def _source(spark: SparkSession, path: str, until: str | None = None) -> Callable:
+def _source(spark: SparkSession, path: str, until: datetime | str | None = None) -> Callable:
     return lambda since: src.read_run_logs(spark, path, since, until)
 
 
@@ -446,6 +503,34 @@ def refresh_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.read_latest(spark, root)
 
 
+@query
+def refresh_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state and the scan after each of four refreshes: bootstrap, tick, a failed one, reconcile.
+
+    The bootstrap misses the later rows of one application. The tick reads from its watermark
+    less the overlap, so it misses most of them too; the reconcile finds them all.
+    """
+    path, root = _stored_logs(spark, sf_dir), scratch_path(spark, "state")
+    split = as_instant(SPLIT)
+    late = (F.col("app_name") == "app_3") & (F.col("inserted_at") >= fn.instant("2024-01-10"))
+    late = late & (F.col("inserted_at") < fn.instant(split - timedelta(minutes=6)))
+    steps = {
+        "1 bootstrap": (split, lambda since: _source(spark, path, SPLIT)(since).where(~late)),
+        "2 tick": (split + timedelta(hours=1), _source(spark, path, split + timedelta(hours=1))),
+        "3 failed": (split + timedelta(hours=2), lambda since: spark.read.parquet(f"{path}-missing")),
+        "4 reconcile": (split + timedelta(hours=7), _source(spark, path, split + timedelta(hours=7))),
+    }
+    states = []
+    for name, (now, source) in steps.items():
+        done = st.refresh(spark, source, root, now)
+        assert (done.error is not None) == (name == "3 failed")
+        said = [F.lit(name).alias("step"), F.lit(done.phase).alias("phase"), fn.instant(done.since).alias("since")]
+        watermark = fn.instant(done.watermark) if done.watermark else F.lit(None).cast("timestamp")
+        state = st.read_latest(spark, root).select("app_name", "job", "run_id", "inserted_at")
+        states.append(state.select(*said, watermark.alias("watermark"), "*"))
+    return reduce(DataFrame.unionByName, states)
+
+
 @query
 def refresh_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, root = _stored_logs(spark, sf_dir), scratch_path(spark, "state")
@@ -456,7 +541,7 @@ def refresh_health(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def maintain_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The run logs as a file stream, merged batch by batch into the state table."""
-    path, root = _stored_logs(spark, sf_dir, days_apart=True), scratch_path(spark, "state")
+    path, root = _stored_logs(spark, sf_dir), scratch_path(spark, "state")
     stream = src.stream_run_logs(spark, path, max_files=3)
     writer = st.maintain_latest(stream, root, scratch_path(spark, "progress"), clock=lambda: NOW)
     writer.trigger(availableNow=True).start().awaitTermination()
@@ -466,7 +551,7 @@ def maintain_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def stream_latest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stateful form, drained in update mode; the last update of each key is the result."""
-    path, out = _stored_logs(spark, sf_dir, days_apart=True), scratch_path(spark, "updates")
+    path, out = _stored_logs(spark, sf_dir), scratch_path(spark, "updates")
     updates = st.stream_latest_runs(src.stream_run_logs(spark, path, max_files=3))
 
     def keep(batch: DataFrame, batch_id: int) -> None:

@@ -12,6 +12,7 @@ RUN_LOGS = T.StructType(
         T.StructField("verbose_log", T.StringType(), True),
         T.StructField("warn_error_logs", T.StringType(), True),
         T.StructField("month", T.StringType(), True),
+        T.StructField("day", T.StringType(), True),
     ]
 )
 
@@ -29,6 +30,10 @@ LATEST_RUNS = T.StructType(
     ]
 )
 
+RUN_SUMMARIES = T.StructType(
+    [*LATEST_RUNS.fields, T.StructField("month", T.StringType()), T.StructField("day", T.StringType())]
+)
+
 SCHEDULES = T.StructType(
     [
         T.StructField("app_name", T.StringType(), False),

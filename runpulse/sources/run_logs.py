@@ -1,16 +1,17 @@
-"""The run-log table: one row per run, Parquet, one folder per UTC month of ``inserted_at``."""
+"""The run-log table: one row per run, Parquet, a folder per UTC month and day of ``inserted_at``."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import datetime, timedelta, timezone
+from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from runpulse.functions.instants import instant
-from runpulse.functions.months import month_label, month_of, within_months
-from runpulse.params import as_instant
+from runpulse.functions.months import day_label, day_of, month_label, month_of, within_days
 from runpulse.schemas import RUN_LOGS
 
 
@@ -20,39 +21,61 @@ def read_run_logs(
     since: datetime | str,
     until: datetime | str | None = None,
     columns: Sequence[str] | None = None,
-    stamped_on_write: bool = False,
 ) -> DataFrame:
-    """Runs with ``since <= inserted_at < until``; prunes month folders and row groups.
+    """Runs with ``since <= inserted_at < until``; prunes month and day folders and row groups.
 
-    Only the folders of those months are listed, so the cost of a short read does not grow
-    with the age of the table. Where every row got its ``inserted_at`` while its file was
-    being written, as by ``append_run_rows``, say ``stamped_on_write``: files last modified
-    before ``since`` are then not even opened, which keeps a tick independent of the size
-    of the month.
+    Only the folders of those days are listed and opened, so the cost of a short read grows
+    neither with the age of the table nor with the day of the month.
     """
-    folders = month_folders(spark, path, since, until)
-    if not folders:
-        runs = spark.createDataFrame([], RUN_LOGS)
-    else:
-        reader = spark.read.schema(RUN_LOGS).option("basePath", path)
-        if stamped_on_write:
-            # The option excludes its own instant and knows whole seconds only.
-            before = as_instant(since).astimezone(timezone.utc) - timedelta(seconds=1)
-            reader = reader.option("modifiedAfter", f"{before:%Y-%m-%dT%H:%M:%S}").option("timeZone", "UTC")
-        runs = reader.parquet(*folders)
-    runs = within_months(runs, since, until).where(F.col("inserted_at") >= instant(since))
-    if until is not None:
-        runs = runs.where(F.col("inserted_at") < instant(until))
+    runs = read_days(spark, path, RUN_LOGS, since, until)
     return runs.select(*columns) if columns else runs
 
 
-def month_folders(spark: SparkSession, path: str, since: datetime | str, until: datetime | str | None = None) -> list[str]:
-    """The existing month folders from ``since`` to ``until``, from one listing of the top folder."""
-    top = spark._jvm.org.apache.hadoop.fs.Path(path)
-    entries = top.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(top)
-    months = [name.removeprefix("month=") for name in (e.getPath().getName() for e in entries) if name.startswith("month=")]
-    last = month_label(until) if until is not None else "9999-12"
-    return [f"{path}/month={month}" for month in sorted(months) if month_label(since) <= month <= last]
+def read_days(
+    spark: SparkSession, path: str, schema: T.StructType, since: datetime | str, until: datetime | str | None = None
+) -> DataFrame:
+    """Rows of a table of ``write_days`` with ``since <= inserted_at < until``."""
+    folders = day_folders(spark, path, since, until)
+    # Folders of days and of months are not read at once: their partition columns differ.
+    layouts = [f for f in folders if "/day=" in f], [f for f in folders if "/day=" not in f]
+    reader = spark.read.schema(schema).option("basePath", path)
+    found = [reader.parquet(*same) for same in layouts if same] or [spark.createDataFrame([], schema)]
+    rows = within_days(reduce(DataFrame.unionByName, found), since, until).where(F.col("inserted_at") >= instant(since))
+    return rows if until is None else rows.where(F.col("inserted_at") < instant(until))
+
+
+def day_folders(spark: SparkSession, path: str, since: datetime | str, until: datetime | str | None = None) -> list[str]:
+    """The existing folders from ``since`` to ``until``: of days, or of months that have none for days.
+
+    A table without month folders is its own folder.
+
+    One listing of the top folder and one of each month in the bounds.
+    """
+    files = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def below(folder: str, key: str, first: str, last: str) -> list[str]:
+        names = [e.getPath().getName() for e in files.listStatus(spark._jvm.org.apache.hadoop.fs.Path(folder))]
+        labels = sorted(name.removeprefix(f"{key}=") for name in names if name.startswith(f"{key}="))
+        kept = [f"{folder}/{key}={label}" for label in labels if first <= label <= last]
+        return kept if labels else [folder]
+
+    last_month, last_day = ("9999-12", "9999-12-31") if until is None else (month_label(until), day_label(until))
+    months = below(path, "month", month_label(since), last_month)
+    if months == [path]:
+        return months
+    return [day for month in months for day in below(month, "day", day_label(since), last_day)]
+
+
+def write_days(rows: DataFrame, path: str) -> None:
+    """Append ``rows`` in a folder per UTC month and day of ``inserted_at``.
+
+    Rows stay in the tasks they are in, so a task writes a file per day that it holds; range
+    partition many days by ``inserted_at`` first. A run looked up without a hint skips the row groups
+    whose Bloom filter shows that they cannot hold its id.
+    """
+    at = F.col("inserted_at")
+    dated = rows.withColumns({"month": month_of(at), "day": day_of(at)}).write.mode("append").partitionBy("month", "day")
+    dated.option("parquet.bloom.filter.enabled#run_id", "true").parquet(path)
 
 
 def months_from(label: str) -> str:
@@ -78,7 +101,7 @@ def stream_run_logs(
         reader = reader.option("maxFilesPerTrigger", max_files)
     if since is None:
         return reader.parquet(path)
-    recent = reader.parquet(f"{path}/{months_from(month_label(since))}")
+    recent = within_days(reader.parquet(f"{path}/{months_from(month_label(since))}"), since)
     return recent.where(F.col("inserted_at") >= instant(since))
 
 
@@ -88,7 +111,7 @@ def append_run_rows(df: DataFrame, path: str, app_name: str, now: datetime | str
     The caller supplies ``run_id, verbose_log, warn_error_logs`` and nothing else: the name
     is forced to ``app_name`` and the clock is the write time, so a self-logging writer
     cannot touch another application's rows. Rows stay in the tasks they are in; one write
-    time means one month folder, hence one file per task.
+    time means one day folder, hence one file per task.
     """
     written_at = F.current_timestamp() if now is None else instant(now)
     rows = df.select(
@@ -98,6 +121,4 @@ def append_run_rows(df: DataFrame, path: str, app_name: str, now: datetime | str
         "verbose_log",
         "warn_error_logs",
     )
-    writer = rows.withColumn("month", month_of(F.col("inserted_at"))).write.mode("append").partitionBy("month")
-    # A run looked up without a hint skips the row groups that cannot hold its id.
-    writer.option("parquet.bloom.filter.enabled#run_id", "true").parquet(path)
+    write_days(rows, path)

@@ -19,7 +19,7 @@ from runpulse.streaming.state import Refresh
 
 # Fixed values of the beat's events: job, functions, phase of a failure, and note keys.
 JOB = "heartbeat"
-BOOT_FUNC, BEAT_FUNC, FAILED_FUNC = "on_boot", "heartbeat", "refreshOnce"
+BOOT_FUNC, BEAT_FUNC, FAILED_FUNC = "on_boot", "heartbeat", "refresh"
 FAILED_PHASE = "grid refresh"
 ARGV = ("python", "runpulse", JOB)
 

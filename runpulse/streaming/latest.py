@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime, timedelta, timezone
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +38,7 @@ def maintain_latest(
     root: str,
     checkpoint: str,
     clock: Clock = _utc_now,
-    retention: timedelta = RefreshConfig.retention,
+    config: RefreshConfig = RefreshConfig(),
 ) -> DataStreamWriter:
     """A writer that merges every micro-batch into the latest-run table below ``root``.
 
@@ -48,8 +48,8 @@ def maintain_latest(
     """
 
     def merge(batch: DataFrame, _batch_id: int) -> None:
-        table = VersionedTable(batch.sparkSession, f"{root}/latest")
-        publish_merge(table, latest_runs(batch), as_instant(clock()), retention)
+        table = VersionedTable(batch.sparkSession, f"{root}/latest", config.keep)
+        publish_merge(table, latest_runs(batch), as_instant(clock()), config)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 
@@ -60,7 +60,7 @@ def stream_app_health(
     root: str,
     checkpoint: str,
     clock: Clock = _utc_now,
-    window: timedelta = RefreshConfig.health_window,
+    config: RefreshConfig = RefreshConfig(),
 ) -> DataStreamWriter:
     """A writer that recomputes the trailing-window health whenever runs arrive.
 
@@ -70,6 +70,6 @@ def stream_app_health(
     spark = stream.sparkSession
 
     def recompute(_batch: DataFrame, _batch_id: int) -> None:
-        refresh_health(spark, source, root, clock(), window)
+        refresh_health(spark, source, root, clock(), config)
 
     return stream.select("run_id").writeStream.foreachBatch(recompute).option("checkpointLocation", checkpoint)

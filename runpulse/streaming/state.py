@@ -9,11 +9,12 @@ twice changes nothing.
 
 from __future__ import annotations
 
+import random
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timedelta
-from typing import NamedTuple
+from typing import NamedTuple, TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,14 +30,13 @@ from runpulse.streaming.versions import Conflict, Version, VersionedTable
 HEALTH = T.StructType(
     [
         T.StructField("app_name", T.StringType()),
-        T.StructField("runs", T.IntegerType()),
-        T.StructField("errored", T.IntegerType()),
-        T.StructField("warned", T.IntegerType()),
+        T.StructField("runs", T.LongType()),
+        T.StructField("errored", T.LongType()),
+        T.StructField("warned", T.LongType()),
     ]
 )
 
-# Tries of a merge that other writers get in the way of.
-ATTEMPTS = 5
+T_ = TypeVar("T_")
 
 # Reads the run logs inserted at or after the given instant.
 Source = Callable[[datetime], DataFrame]
@@ -48,13 +48,21 @@ class RefreshConfig:
     overlap: timedelta = timedelta(minutes=5)
     reconcile_every: timedelta = timedelta(hours=6)
     health_window: timedelta = timedelta(hours=24)
+    # Tries of a merge that other writers get in the way of, and the pause before the second, which doubles.
+    attempts: int = 10
+    pause: timedelta = timedelta(milliseconds=100)
+    # How long readers may use a version after the next one is there.
+    keep: timedelta = timedelta(days=1)
 
 
 class Refresh(NamedTuple):
-    """Outcome of one refresh; an error leaves the last good version in place."""
+    """Outcome of one refresh; an error leaves the last good version in place.
 
-    phase: str
-    since: datetime
+    Without a phase, not even the state of the table could be read.
+    """
+
+    phase: str | None
+    since: datetime | None
     jobs: int | None
     watermark: datetime | None
     took_ms: int
@@ -108,21 +116,36 @@ def _later(*values: datetime | None) -> datetime | None:
     return max((v for v in values if v is not None), default=None)
 
 
+def _until_published(step: Callable[[], T_], config: RefreshConfig) -> T_:
+    """``step`` again, after a growing random pause, as long as other writers are faster."""
+    for attempt in range(config.attempts - 1):
+        try:
+            return step()
+        except Conflict:
+            time.sleep(config.pause.total_seconds() * 2**attempt * random.random())
+    return step()
+
+
 def publish_merge(
-    table: VersionedTable, batch: DataFrame, now: datetime, retention: timedelta, last_full: datetime | None = None
+    table: VersionedTable,
+    batch: DataFrame,
+    now: datetime,
+    config: RefreshConfig = RefreshConfig(),
+    last_full: datetime | None = None,
 ) -> tuple[int, datetime | None]:
     """Merge, write and commit. Returns the number of jobs and the new watermark.
 
-    If another writer was faster, the merge is done again on top of its version. The
-    watermark never moves back. A row that is evicted at once does not move it, which
-    changes no scan: they all start at the retention floor or later.
+    The batch, a row per job, is computed once and kept aside. If another writer was faster, only
+    the merge is done again on top of its version. The watermark never moves back. A row that
+    is evicted at once does not move it, which changes no scan: they all start at the retention
+    floor or later.
     """
-    for _ in range(ATTEMPTS - 1):
-        try:
-            return _publish_once(table, batch, now, retention, last_full)
-        except Conflict:
-            continue
-    return _publish_once(table, batch, now, retention, last_full)
+    aside = table.stage(batch)
+    rows = table.staged(aside, LATEST_RUNS)
+    try:
+        return _until_published(lambda: _publish_once(table, rows, now, config.retention, last_full), config)
+    finally:
+        table.drop(aside)
 
 
 def _publish_once(
@@ -141,13 +164,22 @@ def refresh_latest(
     spark: SparkSession, source: Source, root: str, now: datetime | str, config: RefreshConfig = RefreshConfig()
 ) -> Refresh:
     """One bootstrap, reconcile or tick. Raises on failure, with the table as it was."""
-    started = time.monotonic()
     now = as_instant(now)
-    table = VersionedTable(spark, f"{root}/latest")
-    phase, since = plan_refresh(table.current(), now, config)
+    table = VersionedTable(spark, f"{root}/latest", config.keep)
+    return _refresh_planned(table, source, now, config, *plan_refresh(table.current(), now, config))
+
+
+def _refresh_planned(
+    table: VersionedTable, source: Source, now: datetime, config: RefreshConfig, phase: str, since: datetime
+) -> Refresh:
+    started = time.monotonic()
     batch = latest_runs(source(since), since)
-    jobs, watermark = publish_merge(table, batch, now, config.retention, None if phase == "tick" else now)
-    return Refresh(phase, since, jobs, watermark, round((time.monotonic() - started) * 1000))
+    jobs, watermark = publish_merge(table, batch, now, config, None if phase == "tick" else now)
+    return Refresh(phase, since, jobs, watermark, _millis_since(started))
+
+
+def _millis_since(started: float) -> int:
+    return round((time.monotonic() - started) * 1000)
 
 
 def plan_refresh(before: Version | None, now: datetime, config: RefreshConfig) -> tuple[str, datetime]:
@@ -161,14 +193,27 @@ def plan_refresh(before: Version | None, now: datetime, config: RefreshConfig) -
 
 
 def refresh_health(
-    spark: SparkSession, source: Source, root: str, now: datetime | str, window: timedelta = RefreshConfig.health_window
+    spark: SparkSession, source: Source, root: str, now: datetime | str, config: RefreshConfig = RefreshConfig()
 ) -> None:
-    """Recompute the health of the trailing window and publish it beside the grid."""
-    since = as_instant(now) - window
-    table = VersionedTable(spark, f"{root}/health")
-    before = table.current()
-    data = table.stage(app_health(source(since), since).select(*HEALTH.names))
-    table.commit(data, {"since": since.isoformat()}, before)
+    """Recompute the health of the trailing window and publish it beside the grid.
+
+    It is computed once. Where another writer was faster, the later of the two windows stays.
+    """
+    since = as_instant(now) - config.health_window
+    table = VersionedTable(spark, f"{root}/health", config.keep)
+    computed = app_health(source(since), since).select(*HEALTH.names)
+    aside = table.stage(computed)
+
+    def publish() -> None:
+        before = table.current()
+        if before is None or _instant_of(before, "since") <= since:
+            data = table.stage(table.staged(aside, HEALTH))
+            table.commit(data, {"since": since.isoformat()}, before)
+
+    try:
+        _until_published(publish, config)
+    finally:
+        table.drop(aside)
 
 
 def refresh(
@@ -177,13 +222,15 @@ def refresh(
     """Grid and health, each failing on its own; errors are reported, not raised."""
     now = as_instant(now)
     started = time.monotonic()
+    phase = since = None
     try:
-        result = refresh_latest(spark, source, root, now, config)
+        table = VersionedTable(spark, f"{root}/latest", config.keep)
+        phase, since = plan_refresh(table.current(), now, config)
+        result = _refresh_planned(table, source, now, config, phase, since)
     except Exception as failure:
-        phase, since = plan_refresh(VersionedTable(spark, f"{root}/latest").current(), now, config)
-        result = Refresh(phase, since, None, None, round((time.monotonic() - started) * 1000), error=str(failure))
+        result = Refresh(phase, since, None, None, _millis_since(started), error=str(failure))
     try:
-        refresh_health(spark, source, root, now, config.health_window)
+        refresh_health(spark, source, root, now, config)
     except Exception as failure:
         result = result._replace(health_error=str(failure))
     return result

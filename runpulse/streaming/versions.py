@@ -4,19 +4,30 @@ Plain Parquet has neither MERGE nor transactions. Each version is written to a f
 own and becomes current when its commit file appears; the commit file is renamed into place
 and never replaced. So a failed write leaves the last good version, and of two concurrent
 writers one gets a ``Conflict``.
+
+That takes a file system whose rename is atomic and fails if the target is there (HDFS, a local or
+mounted file system, ABFS with a hierarchical namespace). Object stores copy instead, so their
+schemes are refused; the run logs themselves may lie there.
 """
 
 from __future__ import annotations
 
 import json
+import logging
 import uuid
+from collections.abc import Callable
+from datetime import timedelta
 from typing import NamedTuple
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-KEEP = 3
+#: Superseded versions, and what failed writers left, stay so long for readers that still use them.
+KEEP = timedelta(days=1)
+#: Schemes of stores where a rename is a copy.
+OBJECT_STORES = {"s3", "s3a", "s3n", "gs", "oss", "cos", "cosn", "obs", "wasb", "wasbs", "swift", "oci"}
+
+log = logging.getLogger(__name__)
 
 
 class Version(NamedTuple):
@@ -30,12 +41,15 @@ class Conflict(RuntimeError):
 
 
 class VersionedTable:
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, keep: timedelta = KEEP):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.keep = keep
         self._jvm = spark._jvm
         self._conf = spark._jsc.hadoopConfiguration()
         self._fs = self._path(self.root).getFileSystem(self._conf)
+        if (scheme := self._fs.getUri().getScheme()) in OBJECT_STORES:
+            raise ValueError(f"a versioned table needs an exclusive rename, which {scheme} has not")
 
     def _path(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(name)
@@ -79,7 +93,11 @@ class VersionedTable:
         return self.spark.read.schema(schema).parquet(f"{self.root}/{data}")
 
     def commit(self, data: str, meta: dict, after: Version | None) -> Version:
-        """Make a staged version current, if ``after`` still is; otherwise fail and drop it."""
+        """Make a staged version current, if ``after`` still is; otherwise fail and drop it.
+
+        Data is deleted only when the commit file there is another's. Once the version is current,
+        nothing that follows can make this fail.
+        """
         number = after.number + 1 if after else 1
         pending = self._path(f"{self.root}/pending/{uuid.uuid4().hex}.json")
         out = self._fs.create(pending, False)
@@ -89,22 +107,53 @@ class VersionedTable:
             out.close()
         target = self._path(self._commit_file(number))
         self._fs.mkdirs(target.getParent())
+        try:
+            self._rename(pending, target)
+        except Exception as failure:
+            # The reply may be lost although the rename took effect: what is there decides.
+            if not self._fs.exists(target):
+                raise
+            if self._load(number).data != data:
+                self._tidy(lambda: self._fs.delete(pending, False))
+                self.drop(data)
+                raise Conflict(f"version {number} of {self.root} is already there") from failure
+        self._tidy(self._forget)
+        return Version(number, data, meta)
+
+    def _rename(self, pending, target) -> None:
+        """Fails if the target is there."""
         context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._conf)
         no_options = self.spark._sc._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        context.rename(pending, target, no_options)
+
+    def drop(self, data: str) -> None:
+        """Delete a staged folder that no commit names."""
+        self._tidy(lambda: self._fs.delete(self._path(f"{self.root}/{data}"), True))
+
+    def _tidy(self, step: Callable[[], object]) -> None:
+        """Cleaning up may fail, as when another writer does the same; the next commit tries again."""
         try:
-            context.rename(pending, target, no_options)
-        except Py4JJavaError as failure:
-            self._fs.delete(pending, False)
-            self._fs.delete(self._path(f"{self.root}/{data}"), True)
-            if "FileAlreadyExists" in failure.java_exception.getClass().getName():
-                raise Conflict(f"version {number} of {self.root} is already there") from None
-            raise
-        self._forget(number - KEEP)
-        return Version(number, data, meta)
+            step()
+        except Exception as failure:
+            log.warning("cleaning up below %s: %s", self.root, failure)
 
-    def _forget(self, up_to: int) -> None:
-        """Drop versions too old for any reader."""
-        for number in [n for n in self._commits() if n <= up_to]:
-            old = self._load(number)
-            self._fs.delete(self._path(self._commit_file(number)), False)
-            self._fs.delete(self._path(f"{self.root}/{old.data}"), True)
+    def _forget(self) -> None:
+        """Drop what was superseded, or left by a failed writer, longer than ``keep`` before the newest commit.
+
+        All times are the file system's own.
+        """
+        commits = self._commits()
+        written = {n: self._fs.getFileStatus(self._path(self._commit_file(n))).getModificationTime() for n in commits}
+        limit = written[commits[-1]] - self.keep.total_seconds() * 1000
+        named = {n: self._load(n).data for n in commits}
+        for number, successor in zip(commits, commits[1:]):
+            if written[successor] < limit:
+                self._fs.delete(self._path(self._commit_file(number)), False)
+                self._fs.delete(self._path(f"{self.root}/{named.pop(number)}"), True)
+        for folder in ("data", "pending"):
+            if not self._fs.exists(self._path(f"{self.root}/{folder}")):
+                continue
+            for left in self._fs.listStatus(self._path(f"{self.root}/{folder}")):
+                name = f"{folder}/{left.getPath().getName()}"
+                if name not in named.values() and left.getModificationTime() < limit:
+                    self._fs.delete(left.getPath(), True)

@@ -3,6 +3,7 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from runpulse import functions as fn
@@ -199,7 +200,34 @@ def test_audit_counts_each_rule(spark):
     ]
     got = {r.app_name: r.asDict() for r in contract_audit(run_table(spark, rows)).collect()}
     assert got["a"] == {
-        "app_name": "a", "runs": 4, "bad_run_id": 1, "bad_first_dt": 1, "bad_last_dt": 1, "log_not_array": 1,
+        "app_name": "a", "runs": 4, "bad_run_id": 1, "upper_case_run_id": 0, "bad_first_dt": 1, "bad_last_dt": 1, "log_not_array": 1,
         "issues_not_array": 1, "default_job": 2, "out_of_order": 1, "issues_not_in_log": 1,
     }
     assert got["b"]["log_not_array"] == 1 and got["b"]["issues_not_array"] == 0
+
+
+EVENT = '{"type":"ERROR","dt":"2026-06-25T10:00:00Z","note":{"a":1,"b":2}}'
+
+
+@pytest.mark.parametrize(
+    ("log", "issues", "extra", "bad_issues"),
+    [
+        (f"[{EVENT}]", '[{"note":{"b":2,"a":1},"dt":"2026-06-25T10:00:00Z","type":"ERROR"}]', 0, 0),
+        (f"[{EVENT}]", f"[{EVENT},{EVENT}]", 1, 0),
+        (f"[{EVENT},{EVENT}]", f"[{EVENT},{EVENT}]", 0, 0),
+        ("{bad", f"[{EVENT}]", 1, 0),
+        (f"[{EVENT}]", f"[{EVENT}] junk", 0, 1),
+        (f"[{EVENT}]", "['a',{'type':'ERROR'}]", 0, 1),
+        (f"[{EVENT}]", '[{"type":NaN}]', 0, 1),
+        (f"[{EVENT}]", "[7]", 1, 0),
+    ],
+)
+def test_issues_against_the_log(spark, log, issues, extra, bad_issues):
+    row = contract_audit(run_table(spark, [run_row("a", uid(1).upper().replace("0", "A"), NOW, log, issues)])).head()
+    assert (row.issues_not_in_log, row.issues_not_array, row.upper_case_run_id) == (extra, bad_issues, 1)
+
+
+def test_text_after_the_array_makes_it_none(spark):
+    docs = ['[{"type":"ERROR"}] junk', '[{"type":"ERROR"}] [1]', '[{"type":"ERROR"}],[1]', '[{"type":"ERROR"}] \n']
+    df = spark.createDataFrame([(d,) for d in docs], "doc string")
+    assert [r[0] for r in df.select(fn.derive_status(F.col("doc"))).collect()] == ["SUCCESS", "SUCCESS", "SUCCESS", "ERROR"]

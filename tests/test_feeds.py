@@ -46,7 +46,8 @@ def test_run_by_id(spark):
     runs = run_table(spark, rows)
     assert op.run_by_id(runs, uid(1)).head().inserted_at == utc("2026-06-01T00:20:00").replace(tzinfo=None)
     assert op.run_by_id(runs, uid(9)).head() is None
-    at = lambda hint: [r.inserted_at.isoformat() for r in op.run_by_id(runs, uid(1), hint).collect()]
+    hour, none = timedelta(hours=1), timedelta(0)
+    at = lambda hint: [r.inserted_at.isoformat() for r in op.run_by_id(runs, uid(1), hint, none, hour).collect()]
     assert at("2026-06-01T00:00:00Z") == ["2026-06-01T00:20:00"]
     assert at("2026-05-31T23:00:00Z") == ["2026-05-31T23:30:00"]
     assert at("2026-06-01T01:20:00Z") == ["2026-06-01T00:20:00"]  # low bound included
@@ -55,6 +56,37 @@ def test_run_by_id(spark):
         op.run_by_id(runs, "1 OR 1")
 
 
+def test_hint_is_any_event_time(spark):
+    log = [{"dt": f"2026-06-25T{h:02d}:00:00.000Z", "type": "INFO"} for h in (3, 7, 10)]
+    runs = run_table(spark, [run_row("a", uid(1), "2026-06-25T10:00:01", log)])
+    for hint in ("2026-06-25T03:00:00Z", "2026-06-25T07:00:00Z", "2026-06-25T10:00:00Z", "2026-06-25T10:00:01Z"):
+        assert op.run_by_id(runs, uid(1), hint).count() == 1
+    assert op.run_by_id(runs, uid(1), "2026-06-25T03:00:00Z", timedelta(hours=5)).count() == 0
+
+
+@pytest.mark.parametrize("case", [str.upper, str.lower])
+def test_ids_in_either_case(spark, case):
+    ids = ["aaaaaaaa-0000-4000-8000-00000000000" + d for d in "bcdefa"]
+    rows = [run_row("a", case(i) if n % 2 else i, NOW, log_of("J"), []) for n, i in enumerate(ids)]
+    runs, since = run_table(spark, rows), NOW - timedelta(days=1)
+    assert all(op.run_by_id(runs, i.upper()).count() == op.run_by_id(runs, i).count() == 1 for i in ids)
+    pages, cursor = [], None
+    while not pages or cursor:
+        page = op.fetch_page(op.app_runs_page(runs, "a", since, 2, cursor), 2)
+        pages += [r.run_id.lower() for r in page.runs]
+        cursor = page.cursor
+    assert pages == sorted(ids, reverse=True)
+
+
+def test_no_limit_is_cut(spark):
+    log = [issue(f"2026-06-25T10:00:00.{n:06d}Z") for n in range(800)]
+    runs = run_table(spark, [run_row("a", uid(1), NOW - timedelta(hours=1), None, log)])
+    assert len(op.error_feed(runs, NOW, limit=1000).collect()) == 800
+    assert len(op.error_feed(runs, NOW, limit=700).collect()) == 700
+    with pytest.raises(ValueError):
+        op.error_feed(runs, NOW, limit=0)
+
+
 def test_timeline_keeps_array_order(spark):
     log = '[{"dt":"2026-06-25T10:00:05Z","note":{"argv":["n","i","J"]},"type":"INFO"},7,{"dt":"2026-06-25T10:00:01Z","type":"WARN"}]'
     got = op.run_timeline(run_table(spark, [run_row("a", uid(1), NOW, log)]), uid(1)).collect()

@@ -1,6 +1,7 @@
 """Merge, eviction, watermark, refresh phases, publishing and the streams."""
 
 import json
+import os
 from datetime import timedelta
 
 import pytest
@@ -11,7 +12,8 @@ from runpulse import sources as src
 from runpulse import streaming as st
 from runpulse.schemas import HEARTBEAT_METRICS, LATEST_RUNS
 from runpulse.streaming.state import plan_refresh
-from runpulse.streaming.versions import KEEP, Version
+from runpulse.streaming import versions
+from runpulse.streaming.versions import Version
 from util import NOW, latest_table, log_of, run_row, run_table, uid
 
 DAY = timedelta(days=1)
@@ -127,13 +129,97 @@ def test_versions_conflict_and_forget(spark, tmp_path):
         table.commit(loser, {}, None)
     assert table.current() == first and not (tmp_path / loser).exists()
     version = first
-    for _ in range(KEEP + 2):
+    for _ in range(5):
         version = table.commit(table.stage(rows), {}, version)
-    assert table.current().number == KEEP + 3
-    assert len(list((tmp_path / "commits").glob("*.json"))) == KEEP
+    assert table.current().number == 6 and len(list((tmp_path / "commits").glob("*.json"))) == 6
     assert table.read(LATEST_RUNS).count() == 1
 
 
+def aged(folder, hours):
+    for path in [folder, *folder.rglob("*")]:
+        os.utime(path, (path.stat().st_mtime - hours * 3600,) * 2)
+
+
+def test_versions_are_kept_by_age(spark, tmp_path):
+    table = st.VersionedTable(spark, str(tmp_path), keep=timedelta(hours=1))
+    rows = latest_table(spark, [("a", "J", uid(1), NOW)])
+    first = table.commit(table.stage(rows), {}, None)
+    second = table.commit(table.stage(rows), {}, first)
+    reader, stray = table.read(LATEST_RUNS), table.stage(rows)
+    aged(tmp_path, 2)
+    third = table.commit(table.stage(rows), {}, second)
+    # The first was superseded long ago, the second just now; what a dead writer left goes too.
+    assert not (tmp_path / first.data).exists() and not (tmp_path / stray).exists()
+    assert (tmp_path / second.data).exists() and reader.count() == 1
+    assert [p.name[-6:] for p in sorted((tmp_path / "commits").glob("*.json"))] == ["2.json", "3.json"]
+    assert table.current() == third
+
+
+def test_failing_cleanup_fails_no_commit(spark, tmp_path, monkeypatch):
+    def broken(table):
+        raise OSError("no reply")
+
+    monkeypatch.setattr(st.VersionedTable, "_forget", broken)
+    rows = lambda since: run_table(spark, logs(("J", 1, timedelta(0))))
+    assert st.refresh(spark, rows, str(tmp_path), NOW).error is None
+    assert st.read_latest(spark, str(tmp_path)).count() == 1
+
+
+def test_commit_with_a_lost_reply_stands(spark, tmp_path, monkeypatch):
+    rename = st.VersionedTable._rename
+
+    def reply_lost(table, pending, target):
+        rename(table, pending, target)
+        raise OSError("no reply")
+
+    monkeypatch.setattr(st.VersionedTable, "_rename", reply_lost)
+    table = st.VersionedTable(spark, str(tmp_path))
+    done = table.commit(table.stage(latest_table(spark, [("a", "J", uid(1), NOW)])), {}, None)
+    assert table.current() == done and table.read(LATEST_RUNS).count() == 1
+
+
+def test_commit_that_did_not_happen_deletes_nothing(spark, tmp_path, monkeypatch):
+    def down(table, pending, target):
+        raise OSError("no reply")
+
+    monkeypatch.setattr(st.VersionedTable, "_rename", down)
+    table = st.VersionedTable(spark, str(tmp_path))
+    staged = table.stage(latest_table(spark, [("a", "J", uid(1), NOW)]))
+    with pytest.raises(OSError):
+        table.commit(staged, {}, None)
+    assert table.current() is None and (tmp_path / staged).exists()
+
+
+def test_unreadable_state_is_reported(spark, tmp_path):
+    (tmp_path / "latest" / "commits").mkdir(parents=True)
+    (tmp_path / "latest" / "commits" / "000000000001.json").write_text("{")
+    got = st.refresh(spark, lambda since: run_table(spark, logs(("J", 1, timedelta(0)))), str(tmp_path), NOW)
+    assert got.error and got.phase is None and got.health_error is None
+    assert st.read_health(spark, str(tmp_path)).count() == 1
+
+
+def test_two_health_writers(spark, tmp_path, monkeypatch):
+    root, calls, stage = str(tmp_path), [], st.VersionedTable.stage
+    source = lambda since: run_table(spark, logs(("J", 1, timedelta(0))))
+
+    def slow_stage(table, df):
+        staged = stage(table, df)
+        calls.append(staged)
+        if len(calls) == 2:
+            st.refresh_health(spark, source, root, NOW)
+        return staged
+
+    monkeypatch.setattr(st.VersionedTable, "stage", slow_stage)
+    st.refresh_health(spark, source, root, NOW)
+    assert st.read_health(spark, root).count() == 1
+
+
+def test_object_stores_are_refused(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(versions, "OBJECT_STORES", {"file"})
+    with pytest.raises(ValueError):
+        st.VersionedTable(spark, str(tmp_path))
+
+
 def test_concurrent_writers_lose_nothing(spark, tmp_path, monkeypatch):
     """Another refresh commits between this one's read and its commit."""
     root = str(tmp_path)
@@ -144,13 +230,18 @@ def test_concurrent_writers_lose_nothing(spark, tmp_path, monkeypatch):
     def slow_stage(table, df):
         staged = stage(table, df)
         calls.append(staged)
-        if len(calls) == 1:
+        if len(calls) == 2:
             st.refresh_latest(spark, other, root, NOW)
         return staged
 
+    scanned = spark.sparkContext.accumulator(0)
+    count = F.udf(lambda text: scanned.add(1) or text)
+    mine_counted = lambda since: mine(since).withColumn("verbose_log", count("verbose_log"))
+
     monkeypatch.setattr(st.VersionedTable, "stage", slow_stage)
-    assert st.refresh_latest(spark, mine, root, NOW).jobs == 2
-    assert set(ids(st.read_latest(spark, root))) == {"J", "K"} and len(calls) == 3
+    assert st.refresh_latest(spark, mine_counted, root, NOW).jobs == 2
+    assert set(ids(st.read_latest(spark, root))) == {"J", "K"}
+    assert len(calls) == 5 and scanned.value == 1  # the merge was done again, the scan was not
 
 
 def stored(spark, tmp_path, rows, files=4):
@@ -212,7 +303,7 @@ def test_stream_from_a_month_on(spark, tmp_path):
     query.awaitTermination()
     got = sorted(map(tuple, spark.table("recent").collect()))
     assert got == [(uid(2), "2026-05"), (uid(3), "2026-06"), (uid(4), "2027-01")]
-    assert sum(p["numInputRows"] for p in query.recentProgress) == 4  # the folder of 2025 was not read
+    assert sum(p["numInputRows"] for p in query.recentProgress) == 3  # neither the folder of 2025 nor the day before
 
 
 def test_stream_health(spark, tmp_path):

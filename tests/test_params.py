@@ -1,4 +1,3 @@
-import math
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -6,27 +5,27 @@ import pytest
 from runpulse import params
 
 
-def test_page_limit():
-    cases = {None: 200, "": 200, " ": 200, "abc": 200, "0": 1, "-5": 1, "10.9": 10, "9999": 500, 7: 7, math.inf: 200}
-    assert {k: params.page_limit(k) for k in cases} == cases
-
-
-def test_feed_limit():
-    cases = {None: 100, "0": 100, "x": 100, "-3": 1, "250": 250, 10_000: 500, math.inf: 500}
-    assert {k: params.feed_limit(k) for k in cases} == cases
-
-
-def test_window_hours():
-    assert [params.window_hours(v) for v in (None, 0, 48, 9999)] == [24, 1, 48, 720]
+def test_row_limit():
+    assert [params.row_limit(n) for n in (1, 100, 501, 10**9)] == [1, 100, 501, 10**9]
+    for bad in (0, -5, 1.5, "10", None, True):
+        with pytest.raises(ValueError):
+            params.row_limit(bad)
 
 
 def test_window_start():
     now = datetime(2026, 1, 2, tzinfo=timezone.utc)
-    assert params.window_start(now) == params.window_start("2026-01-02", "24") == now - timedelta(days=1)
+    assert params.window_start(now) == params.window_start("2026-01-02", 24) == now - timedelta(days=1)
+    assert params.window_start(now, 9999) == now - timedelta(hours=9999)
+    for bad in (0, -1, float("nan")):
+        with pytest.raises(ValueError):
+            params.window_start(now, bad)
 
 
 def test_status_filter():
-    assert [params.normalize_status(s) for s in (None, " Error ", "ISSUES", "warn", "")] == ["all", "error", "issues", "all", "all"]
+    assert [params.status_filter(s) for s in ("all", " Error ", "ISSUES")] == ["all", "error", "issues"]
+    for bad in ("warn", ""):
+        with pytest.raises(ValueError):
+            params.status_filter(bad)
 
 
 def test_uuid():

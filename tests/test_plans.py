@@ -16,7 +16,7 @@ from util import NOW, latest_table, log_of, plan_of, run_row, run_table, uid
 def path(spark, tmp_path_factory):
     rows = [run_row(f"app{i % 3}", uid(i), NOW - timedelta(days=i), log_of(f"J{i % 4}"), [{"type": "WARN"}]) for i in range(120)]
     where = str(tmp_path_factory.mktemp("plans") / "logs")
-    run_table(spark, rows).write.partitionBy("month").parquet(where)
+    run_table(spark, rows).transform(lambda df: src.write_days(df.drop("month", "day"), where) or df)
     return where
 
 
@@ -49,7 +49,7 @@ def bounded(spark, path):
 def test_bounds_reach_folders_and_row_groups(spark, path):
     for name, df in bounded(spark, path).items():
         for scan in scans(df):
-            assert re.search(r"PartitionFilters: \[[^\]]*month", scan), name
+            assert re.search(r"PartitionFilters: \[[^\n]*month[^\n]*day", scan), name
             assert re.search(r"PushedFilters: \[[^\n]*inserted_at", scan), name
 
 
@@ -74,7 +74,26 @@ def test_latest_keeps_one_row_per_task_before_the_shuffle(spark, path):
     after, before = plan.split("Exchange")
     assert "WindowGroupLimit" in after and "WindowGroupLimit" in before
     sorted_rows = before[before.index("Sort [") : before.index("Project")]
-    assert "verbose_log" not in sorted_rows and "_dts" not in sorted_rows
+    assert "verbose_log" not in sorted_rows and "_heads" not in sorted_rows
+
+
+def test_a_tick_a_page_and_a_feed_read_their_days(spark, path):
+    def days(df):
+        return {f.split("/day=")[1][:10] for f in df.inputFiles()}
+
+    tick = src.read_run_logs(spark, path, NOW - timedelta(minutes=5))
+    page = op.app_runs_page(src.read_run_logs(spark, path, NOW - timedelta(days=1)), "app1", NOW - timedelta(days=1))
+    feed = op.error_feed(src.read_run_logs(spark, path, NOW - timedelta(days=2)), NOW)
+    assert days(tick) == {"2026-06-25"}
+    assert days(page) == {"2026-06-24", "2026-06-25"}
+    assert days(feed) == {"2026-06-23", "2026-06-24", "2026-06-25"}
+
+
+def test_a_log_is_parsed_once(spark, path):
+    plan = plan_of(op.latest_runs(whole_table(spark, path), NOW - timedelta(days=1)))
+    readers = re.findall(r"(?:from_json|get_json_object|json_array_length)\([^\n]{0,60}?verbose_log", plan)
+    # The narrow reader, and the tolerant one for the rows that the first gives up on.
+    assert "get_json_object" not in plan and len(readers) <= 2
 
 
 def test_top_rows_without_a_global_sort(spark, path):

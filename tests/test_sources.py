@@ -1,7 +1,6 @@
 """Readers, writers and assembly."""
 
 import json
-import os
 from datetime import timedelta
 from fnmatch import fnmatch
 
@@ -24,20 +23,34 @@ def test_bounds_and_columns(spark, tmp_path):
     assert src.read_run_logs(spark, path, "2026-05-31").count() == 2
 
 
-def test_files_older_than_the_bound_are_not_opened(spark, tmp_path):
-    path, stamped = str(tmp_path / "logs"), set()
-    for i, minutes in enumerate([90, 30]):
-        at = NOW - timedelta(minutes=minutes)
-        src.append_run_rows(run_table(spark, [run_row("x", uid(i), NOW)]), path, "monitor", at)
-        written = set((tmp_path / "logs").glob("month=*/*.parquet"))
-        for file in written - stamped:
-            os.utime(file, (at.timestamp(), at.timestamp()))
-        stamped = written
-    read = lambda since: src.read_run_logs(spark, path, since, stamped_on_write=True)
-    assert read(NOW - timedelta(hours=2)).count() == 2
-    recent = read(NOW - timedelta(minutes=30))
-    assert recent.count() == 1 and len(recent.inputFiles()) == 1
-    assert src.read_run_logs(spark, path, NOW - timedelta(minutes=30)).count() == 1
+def test_only_the_days_asked_for_are_opened(spark, tmp_path):
+    path = str(tmp_path / "logs")
+    for i in range(40):
+        src.append_run_rows(run_table(spark, [run_row("x", uid(i), NOW)]).coalesce(1), path, "monitor", NOW - timedelta(days=i))
+    day = lambda df: sorted(f.split("/day=")[1][:10] for f in df.inputFiles())
+    assert day(src.read_run_logs(spark, path, NOW - timedelta(minutes=5))) == ["2026-06-25"]
+    assert day(src.read_run_logs(spark, path, NOW - timedelta(days=2), NOW - timedelta(days=1))) == ["2026-06-23", "2026-06-24"]
+    assert src.read_run_logs(spark, path, NOW - timedelta(days=25)).count() == 26
+
+
+def test_months_without_day_folders(spark, tmp_path):
+    path = str(tmp_path / "logs")
+    old = run_table(spark, [run_row("x", uid(i), NOW - timedelta(days=i)) for i in range(40)]).drop("day")
+    old.write.partitionBy("month").parquet(path)
+    src.append_run_rows(run_table(spark, [run_row("x", uid(99), NOW)]), path, "monitor", NOW + timedelta(days=10))
+    assert src.read_run_logs(spark, path, NOW - timedelta(days=25)).count() == 27
+
+
+def test_summaries_are_parsed_once(spark, tmp_path):
+    from runpulse import operators as op
+
+    path = str(tmp_path / "summaries")
+    rows = [run_row("a", uid(i), NOW - timedelta(hours=i), log_of(f"J{i % 3}"), [{"type": "WARN"}] * (i % 2)) for i in range(50)]
+    runs, since = run_table(spark, rows), NOW - timedelta(days=1)
+    src.append_summaries(runs, path)
+    stored = src.read_summaries(spark, path, since)
+    assert sorted(op.latest_runs(stored, since).collect()) == sorted(op.latest_runs(runs, since).collect())
+    assert sorted(op.cadence_profile(stored, NOW, 1).collect()) == sorted(op.cadence_profile(runs, NOW, 1).collect())
 
 
 def test_months_are_utc_in_any_session(spark):
@@ -72,7 +85,7 @@ def test_append_forces_name_and_clock(spark, tmp_path):
 def test_appended_files_carry_a_bloom_filter_on_the_run_id(spark, tmp_path):
     path = str(tmp_path / "logs")
     src.append_run_rows(run_table(spark, [run_row("x", uid(i), NOW) for i in range(50)]), path, "monitor", NOW)
-    [file, *_] = [str(f) for f in (tmp_path / "logs").glob("month=*/*.parquet")]
+    [file, *_] = [str(f) for f in (tmp_path / "logs").glob("month=*/day=*/*.parquet")]
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     source = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(file), conf)
     reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(source)

@@ -15,7 +15,7 @@ def utc(text):
 def run_row(app, run_id, inserted_at, verbose=None, issues=None):
     as_text = lambda doc: doc if doc is None or isinstance(doc, str) else json.dumps(doc)
     at = utc(inserted_at) if isinstance(inserted_at, str) else inserted_at
-    return (app, run_id, at, as_text(verbose), as_text(issues), f"{at:%Y-%m}")
+    return (app, run_id, at, as_text(verbose), as_text(issues), f"{at:%Y-%m}", f"{at:%Y-%m-%d}")
 
 
 def run_table(spark, rows):
