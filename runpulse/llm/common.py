@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Hashable, Iterator, Mapping, Sequence
 from pathlib import Path
+from typing import TypeVar
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,6 +16,8 @@ from runpulse.session import scratch_path
 #: Texts are worked on in slices of about so many bytes, whatever the size of an Arrow batch.
 SLICE_BYTES = 2_000_000
 
+T = TypeVar("T")
+
 
 def importable(spark: SparkSession) -> None:
     """Lets Python workers find this package where it is not installed but lies in a folder they can read."""
@@ -99,9 +102,57 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """UTF-8 bytes of the texts, a null as an empty one."""
-    return [raw or b"" for raw in batch[column].to_pylist()]
+    texts = batch[column]
+    if pa.types.is_large_string(texts.type):
+        texts = texts.cast(pa.large_binary())
+    elif pa.types.is_string(texts.type):
+        texts = texts.cast(pa.binary())
+    return [raw or b"" for raw in texts.to_pylist()]
 
 
 def utf8(column: str) -> Column:
     """The text's bytes, as the Python side takes them; keeps the column's name."""
     return F.col(column).cast("binary").alias(column)
+
+
+def add_columns(
+    df: DataFrame,
+    text: str,
+    fields: Mapping[str, str],
+    compute: Callable[[list[bytes]], list[pa.Array]],
+    keep_text: bool = True,
+) -> DataFrame:
+    """``df`` with the columns ``fields`` (name to type) that ``compute`` makes of each whole text.
+
+    Columns of ``df`` with such a name are replaced. The text goes to the Python worker once.
+    """
+    at = df.columns.index(text)
+    kept = [i for i, name in enumerate(df.columns) if name not in fields and (keep_text or i != at)]
+    mark = [f"_c{i}" for i in range(len(df.columns))]
+    marked = df.toDF(*mark)
+    kinds = [f"`{mark[i]}` {marked.schema[i].dataType.simpleString()}" for i in kept]
+    kinds += [f"`_new{n}` {kind}" for n, kind in enumerate(fields.values())]
+    names = [mark[i] for i in kept] + [f"_new{n}" for n in range(len(fields))]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, mark[at]):
+            found = compute(texts_of(batch, mark[at]))
+            yield pa.RecordBatch.from_arrays([*(batch[mark[i]] for i in kept), *found], names)
+
+    sent = marked.select(*[mark[i] for i in sorted({*kept, at})])
+    return sent.mapInArrow(add, ", ".join(kinds)).toDF(*[df.columns[i] for i in kept], *fields)
+
+
+_REMEMBERED: dict[Hashable, object] = {}
+
+
+def remembered(key: Hashable, build: Callable[[], T]) -> T:
+    """What ``build`` made, kept by this Python worker from task to task.
+
+    Only the last thing is kept: a worker serves one stage after another, and their memories of words
+    must not add up.
+    """
+    if key not in _REMEMBERED:
+        _REMEMBERED.clear()
+        _REMEMBERED[key] = build()
+    return _REMEMBERED[key]

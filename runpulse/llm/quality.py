@@ -10,18 +10,16 @@ number of robust standard deviations. Words are encoded one by one, each distinc
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runpulse.llm.common import slices, store, texts_of
+from runpulse.llm.common import add_columns, remembered, store
 from runpulse.llm.tokenizing import _room, segments
 
-KEPT_WORDS = 800_000
+KEPT_WORDS = 500_000
 KEPT_WORD_BYTES = 200
 
 # Rules on words and lines, fixed values.
@@ -177,10 +175,9 @@ def script_of(raw: bytes) -> str:
     return max(counts, key=counts.get)
 
 
-@lru_cache(maxsize=1)
 def fertility(path: str) -> Fertility:
-    """This worker's measures, kept from task to task."""
-    return Fertility(path)
+    """This worker's measures."""
+    return remembered(("fertility", path), lambda: Fertility(path))
 
 
 def with_quality(df: DataFrame, model: str, *, text: str = "text", keep_text: bool = True) -> DataFrame:
@@ -190,23 +187,14 @@ def with_quality(df: DataFrame, model: str, *, text: str = "text", keep_text: bo
     of them in repeated windows of three words. Ratios of a text without words are 0. Repeated rows
     each get theirs.
     """
-    kept = [i for i, name in enumerate(df.columns) if name not in MEASURES and (keep_text or name != text)]
-    marked = df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
-    sent = marked.select(
-        *[F.col(f"_c{i}") for i in kept], F.col(f"_c{df.columns.index(text)}").cast("binary").alias("_text")
-    )
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in sent.schema.fields[:-1]]
     types = {"long": pa.int64(), "boolean": pa.bool_(), "string": pa.string(), "double": pa.float64()}
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def measure(texts: list[bytes]) -> list[pa.Array]:
         scale = fertility(model)
-        for batch in slices(batches, "_text"):
-            rows = [scale.measure(raw) for raw in texts_of(batch, "_text")]
-            found = [pa.array(values, types[kind]) for values, kind in zip(zip(*rows), MEASURES.values())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *found], [*batch.schema.names[:-1], *MEASURES])
+        rows = [scale.measure(raw) for raw in texts]
+        return [pa.array(values, types[kind]) for values, kind in zip(zip(*rows), MEASURES.values())]
 
-    out = sent.mapInArrow(add, ", ".join([*fields, *[f"`{n}` {kind}" for n, kind in MEASURES.items()]]))
-    return out.toDF(*[df.columns[i] for i in kept], *MEASURES)
+    return add_columns(df, text, MEASURES, measure, keep_text)
 
 
 def bands(measured: DataFrame, group: Column) -> DataFrame:

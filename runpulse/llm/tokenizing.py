@@ -14,12 +14,13 @@ from __future__ import annotations
 
 import os
 import re
-from functools import lru_cache
 
 import numpy as np
 
-#: Words kept per worker; beyond it the memory starts afresh. About 250 MB.
-KEPT_WORDS = 1_200_000
+from runpulse.llm.common import remembered
+
+#: Words kept per worker; beyond it the memory starts afresh. About 170 MB.
+KEPT_WORDS = 800_000
 #: Longer texts are cut at a space between two words, so that one text's word list stays small.
 SEGMENT_BYTES = 4_000_000
 #: Longer words are encoded but not kept.
@@ -197,7 +198,6 @@ def _room(array: np.ndarray, size: int) -> np.ndarray:
     return np.concatenate([array, np.zeros(max(size, 2 * len(array)) - len(array), array.dtype)])
 
 
-@lru_cache(maxsize=2)
 def token_ids(path: str) -> TokenIds:
-    """This worker's encoder, kept from task to task."""
-    return TokenIds(path)
+    """This worker's encoder."""
+    return remembered(("token ids", path), lambda: TokenIds(path))

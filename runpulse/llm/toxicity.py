@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runpulse.llm.common import pick, slices, store, texts_of
+from runpulse.llm.common import add_columns, pick, remembered, slices, store, texts_of
 from runpulse.llm.licenses import normalize
 from runpulse.llm.tokenizing import segments
 
@@ -30,7 +30,7 @@ SAMPLE_PER_LABEL = 5000
 TERMS, LEAST_TEXTS = 2048, 4
 FACTORS = 8
 EPOCHS, BATCH, RATE, DECAY, SEED = 40, 256, 0.02, 2e-3, 7
-KEPT_WORDS = 800_000
+KEPT_WORDS = 500_000
 
 
 def terms(word: bytes) -> list[int]:
@@ -45,14 +45,14 @@ def terms(word: bytes) -> list[int]:
 
 
 class _Numbers(dict):
-    """Word to number, and the buckets of each word's terms in rows of three; -1 is no term."""
+    """Word to number, and the buckets of new words' terms in rows of three; -1 is no term."""
 
     def __init__(self):
-        self.rows: list[list[int]] = []
+        self.fresh: list[list[int]] = []
 
     def __missing__(self, word: bytes) -> int:
-        self.rows.append((terms(word) + [-1, -1])[:3])
-        number = self[word] = len(self.rows) - 1
+        self.fresh.append((terms(word) + [-1, -1])[:3])
+        number = self[word] = len(self)
         return number
 
 
@@ -62,19 +62,20 @@ class Terms:
     def __init__(self, wanted: np.ndarray | None = None):
         self.place = None
         if wanted is not None:
-            self.place = np.full(BUCKETS + 1, -1, np.int64)
+            self.place = np.full(BUCKETS + 1, -1, np.int32)
             self.place[wanted] = np.arange(len(wanted))
-        self.words, self.table = _Numbers(), np.zeros((0, 3), np.int64)
+        self.words, self.table = _Numbers(), np.zeros((0, 3), np.int32)
 
     def of(self, raw: bytes) -> np.ndarray:
         """The text's buckets, or their places among the wanted ones, ascending."""
         if len(self.words) > KEPT_WORDS:
-            self.words, self.table = _Numbers(), np.zeros((0, 3), np.int64)
+            self.words, self.table = _Numbers(), np.zeros((0, 3), np.int32)
         lookup, found = self.words.__getitem__, []
         for part in segments(raw):
             numbers = np.unique(np.array([*map(lookup, normalize(part).split())], np.int64))
-            if new := self.words.rows[len(self.table) :]:
-                fresh = np.array(new, np.int64)
+            if self.words.fresh:
+                fresh = np.array(self.words.fresh, np.int32)
+                self.words.fresh = []
                 fresh = fresh if self.place is None else self.place[fresh]
                 self.table = _grown(self.table, fresh)
             buckets = self.table[numbers].ravel()
@@ -87,7 +88,7 @@ def _grown(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
     size = len(table) + len(rows)
     whole = table.base if table.base is not None and len(table.base) >= size else None
     if whole is None:
-        whole = np.empty((2 * size + 1024, 3), np.int64)
+        whole = np.empty((2 * size + 1024, 3), np.int32)
         whole[: len(table)] = table
     whole[len(table) : size] = rows
     return whole[:size]
@@ -203,42 +204,20 @@ def _g_statistic(n0: int, n1: int) -> Column:
     )
 
 
-_LAST: dict[str, Terms] = {}
-
-
-def _memory(machine: Machine) -> Terms:
-    """This worker's words for ``machine``, kept from task to task."""
-    if machine.name not in _LAST:
-        _LAST.clear()
-        _LAST[machine.name] = Terms(machine.buckets)
-    return _LAST[machine.name]
-
-
 def with_toxicity(df: DataFrame, machine: Machine | None, *, text: str = "text", name: str = "score", keep_text: bool = True) -> DataFrame:
     """``df`` with the probability that each whole text is toxic, from its text alone.
 
     A null or empty text has no terms and gets the machine's bias; without a machine all get 0. A column
     called ``name`` is replaced. Repeated rows each get theirs.
     """
-    kept = [i for i, c in enumerate(df.columns) if c != name and (keep_text or c != text)]
-    marked = df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
-    sent = marked.select(
-        *[F.col(f"_c{i}") for i in kept], F.col(f"_c{df.columns.index(text)}").cast("binary").alias("_text")
-    )
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in sent.schema.fields[:-1]]
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text"):
-            if machine is None:
-                scores = [0.0] * batch.num_rows
-            else:
-                memory = _memory(machine)
-                scores = [machine.score(memory.of(raw)) for raw in texts_of(batch, "_text")]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(scores, pa.float64())], [*batch.schema.names[:-1], "_score"]
-            )
 
-    return sent.mapInArrow(add, ", ".join([*fields, "_score double"])).toDF(*[df.columns[i] for i in kept], name)
+    def score(texts: list[bytes]) -> list[pa.Array]:
+        if machine is None:
+            return [pa.array([0.0] * len(texts))]
+        memory = remembered(("toxic terms", machine.name), lambda: Terms(machine.buckets))
+        return [pa.array([machine.score(memory.of(raw)) for raw in texts], pa.float64())]
+
+    return add_columns(df, text, {name: "double"}, score, keep_text)
 
 
 def filtered(docs: DataFrame, machine: Machine | None, *, text: str = "text", limit: float = 0.5) -> DataFrame:

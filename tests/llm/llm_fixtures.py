@@ -4,10 +4,12 @@ import random
 
 WORDS = "the of and river stone light under morning paper glass window winter garden quiet letter".split()
 
+ENDINGS = ["", "s", "ed", "ing", "ly"]
+
 
 def prose(seed, n):
     rng = random.Random(seed)
-    return " ".join(rng.choice(WORDS) + ("." if rng.random() < 0.1 else "") for _ in range(n))
+    return " ".join(rng.choice(WORDS) + rng.choice(ENDINGS) + ("." if rng.random() < 0.1 else "") for _ in range(n))
 
 
 LONG = prose(1, 40_000) + "\n" + prose(2, 10)
