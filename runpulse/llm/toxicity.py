@@ -27,7 +27,7 @@ STEMS = (4, 5)
 #: Labelled rows per label that are learned from: those with the smallest hash of their id.
 SAMPLE_PER_LABEL = 5000
 #: Terms in the machine: those with the highest G statistic, found in at least so many sampled texts.
-TERMS, LEAST_TEXTS = 2048, 4
+TERMS, LEAST_TEXTS = 1024, 4
 FACTORS = 8
 EPOCHS, BATCH, RATE, DECAY, SEED = 40, 256, 0.02, 2e-3, 7
 KEPT_WORDS = 500_000
