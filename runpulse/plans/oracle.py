@@ -99,17 +99,41 @@ def _sort(order: str) -> str:
       app, job, status, age_ms, duration_ms, issue_count FROM grid"""
 
 
+SORT_KEYS = {
+    "app": "app",
+    "job": "job",
+    "status": "status_rank",
+    "lastrun": _ms("last_run"),
+    "age": "age_ms",
+    "duration": "duration_ms",
+    "issues": "issue_count",
+}
 SORT_ORDERS = {
-    "app_desc": "app DESC",
-    "job_asc": "job",
-    "status_asc": "status_rank, age_ms DESC NULLS LAST",
-    "status_desc": "status_rank DESC, age_ms DESC NULLS LAST",
-    "lastrun_desc": f"{_ms('last_run')} DESC NULLS LAST",
-    "age_asc": "age_ms NULLS LAST",
-    "duration_desc": "duration_ms DESC NULLS LAST",
-    "issues_desc": "issue_count DESC NULLS LAST",
+    f"{key}_{direction}": f"{by} {direction} NULLS LAST" + (", age_ms DESC NULLS LAST" if key == "status" else "")
+    for key, by in SORT_KEYS.items()
+    for direction in ("asc", "desc")
 }
 
+# The runs of ``bridge.dirty_runs``, each as a job of its own.
+WIDE = f"""
+broken AS (SELECT *, ascii(substr(run_id, 36, 1)) % 8 AS defect FROM runs),
+wide AS (
+  SELECT app_name AS app, CASE WHEN defect = 0 THEN 'x' || substr(run_id, 2) ELSE run_id END AS job,
+         CASE WHEN defect = 2 THEN 'ERROR' WHEN defect IN (5, 6) THEN 'SUCCESS' ELSE status END AS status,
+         CAST(CASE WHEN defect = 2 THEN 1 WHEN defect IN (5, 6) THEN 0 ELSE issue_count END AS INTEGER) AS issue_count,
+         CASE WHEN defect NOT IN (1, 3, 4, 7) THEN duration_ms END AS duration_ms,
+         {NOW_MS} - {_ms('inserted_at')} AS age_ms
+  FROM broken
+)"""
+
+
+def _sort_wide(order: str) -> str:
+    return f"""WITH {RUNS}, {WIDE} SELECT row_number() OVER (ORDER BY {order}, app, job) AS pos,
+      app, job, status, age_ms, duration_ms, issue_count FROM wide"""
+
+
+STATUS_RANK = "CASE status WHEN 'ERROR' THEN 0 WHEN 'WARN' THEN 1 ELSE 2 END"
+
 
 def _group(by: str) -> str:
     return f"""WITH {GRID}, placed AS (
@@ -223,6 +247,12 @@ ORACLE: dict[str, str] = {
     "parse_events": f"""WITH {EVENTS}
       SELECT app_name, job, run_id, pos, dt, type, func, tag, note, err_msg FROM noted""",
     "run_contract": f"WITH {RUNS} SELECT {SUMMARY} FROM runs",
+    "run_timing": f"""WITH {RUNS}, broken AS (SELECT *, ascii(substr(run_id, 36, 1)) % 8 AS defect FROM runs)
+      SELECT CASE WHEN defect = 0 THEN 'x' || substr(run_id, 2) ELSE run_id END AS run_id,
+        CASE WHEN defect = 7 THEN TIMESTAMP '2030-01-01 00:00:00' WHEN defect NOT IN (1, 3, 4) THEN started_at END AS started_at,
+        CASE WHEN defect NOT IN (1, 3, 4) THEN ended_at END AS ended_at,
+        CASE WHEN defect NOT IN (1, 3, 4, 7) THEN duration_ms END AS duration_ms
+      FROM broken""",
     "issue_subset": f"""WITH {EVENTS}
       SELECT run_id, coalesce(string_agg(dt, ',' ORDER BY pos) FILTER (WHERE type <> 'INFO'), '') AS issue_dts
       FROM noted GROUP BY run_id""",
@@ -275,6 +305,15 @@ ORACLE: dict[str, str] = {
       count(*) - count(budget_ms) AS unknown FROM grid""",
     "unknown_jobs": f"WITH {GRID} SELECT app, job, app || '/' || job AS unknown_job FROM grid WHERE budget_ms IS NULL",
     **{f"sort_jobs_{name}": _sort(order) for name, order in SORT_ORDERS.items()},
+    **{f"sort_jobs_other_{direction}": _sort("1") for direction in ("asc", "desc")},
+    "sort_runs_duration_asc": _sort_wide("duration_ms NULLS LAST"),
+    "sort_runs_duration_desc": _sort_wide("duration_ms DESC NULLS LAST"),
+    "sort_runs_issues_asc": _sort_wide("issue_count"),
+    "sort_runs_status_asc": _sort_wide(f"{STATUS_RANK}, age_ms DESC"),
+    "group_jobs_by_nothing": f"""WITH {GRID} SELECT CAST(NULL AS VARCHAR) AS group_key, CAST(1 AS BIGINT) AS group_pos,
+      row_number() OVER (ORDER BY status_rank, age_ms DESC NULLS LAST, app, job) AS pos, app, job, status FROM grid""",
+    "filter_jobs_overdue": f"""WITH {GRID} SELECT app, job, run_id, status, stale FROM grid
+      WHERE status = 'ERROR' OR stale IS TRUE""",
     "group_jobs_by_app": _group("app"),
     "group_jobs_by_job": _group("job"),
     "group_rollup_status": f"""WITH {GRID} SELECT app AS group_key,

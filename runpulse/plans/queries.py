@@ -161,6 +161,12 @@ def run_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_summaries(bridge.run_logs(spark, sf_dir))
 
 
+@query
+def run_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    timing = fn.run_timing(F.col("verbose_log"))
+    return bridge.dirty_runs(spark, sf_dir).select("run_id", timing.alias("t")).select("run_id", "t.*")
+
+
 @query
 def issue_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     issues = fn.issue_subset(fn.event_fields(F.col("verbose_log"), "dt", "type"))
@@ -261,18 +267,26 @@ def _sorted(key: str, direction: str) -> None:
     query(build)
 
 
-SORTS = [
-    ("app", "desc"),
-    ("job", "asc"),
-    ("status", "asc"),
-    ("status", "desc"),
-    ("lastRun", "desc"),
-    ("age", "asc"),
-    ("duration", "desc"),
-    ("issues", "desc"),
-]
-for _key, _direction in SORTS:
-    _sorted(_key, _direction)
+KEYS = ("app", "job", "status", "lastRun", "age", "duration", "issues")
+for _key in (*KEYS, "other"):
+    for _direction in ("asc", "desc"):
+        _sorted(_key, _direction)
+
+
+def _sorted_runs(key: str, direction: str) -> None:
+    """Every broken run as a job of its own: thousands of rows, with nulls and ties."""
+
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        runs = run_summaries(bridge.dirty_runs(spark, sf_dir)).withColumn("job", F.col("run_id"))
+        grid = op.sort_jobs(op.job_grid(runs, bridge.schedules(spark), NOW), key, direction, position="pos")
+        return grid.select("pos", "app", "job", "status", "age_ms", "duration_ms", "issue_count")
+
+    build.__name__ = f"sort_runs_{key}_{direction}"
+    query(build)
+
+
+for _key, _direction in (("duration", "asc"), ("duration", "desc"), ("issues", "asc"), ("status", "asc")):
+    _sorted_runs(_key, _direction)
 
 
 def _grouped(spark: SparkSession, sf_dir: str, by: str) -> DataFrame:
@@ -290,6 +304,16 @@ def group_jobs_by_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _grouped(spark, sf_dir, "job")
 
 
+@query
+def group_jobs_by_nothing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _grouped(spark, sf_dir, "none")
+
+
+@query
+def filter_jobs_overdue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.filter_jobs(_grid(spark, sf_dir), None, ["ERROR", "STALE"]).select("app", "job", "run_id", "status", "stale")
+
+
 @query
 def group_rollup_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.group_rollup_status(_grid(spark, sf_dir), "app")
@@ -542,7 +566,7 @@ def refresh_health(spark: SparkSession, sf_dir: str) -> DataFrame:
 def maintain_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The run logs as a file stream, merged batch by batch into the state table."""
     path, root = _stored_logs(spark, sf_dir), scratch_path(spark, "state")
-    stream = src.stream_run_logs(spark, path, max_files=3)
+    stream = src.stream_run_logs(spark, path, max_files=12)
     writer = st.maintain_latest(stream, root, scratch_path(spark, "progress"), clock=lambda: NOW)
     writer.trigger(availableNow=True).start().awaitTermination()
     return st.read_latest(spark, root)
@@ -552,7 +576,7 @@ def maintain_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_latest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stateful form, drained in update mode; the last update of each key is the result."""
     path, out = _stored_logs(spark, sf_dir), scratch_path(spark, "updates")
-    updates = st.stream_latest_runs(src.stream_run_logs(spark, path, max_files=3))
+    updates = st.stream_latest_runs(src.stream_run_logs(spark, path, max_files=12))
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch", F.lit(batch_id)).write.mode("append").parquet(out)

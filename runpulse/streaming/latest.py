@@ -27,7 +27,8 @@ def stream_latest_runs(stream: DataFrame) -> DataFrame:
 
     The key holds no event time, so late rows are never dropped and an old row cannot
     replace a newer one. State is one row per job and is not evicted here; where jobs come
-    and go, use ``maintain_latest``.
+    and go, use ``maintain_latest``. A row with texts has no place in a hash aggregate, so each
+    micro-batch is sorted by job; ``maintain_latest`` keeps one row per job and task before that.
     """
     newest = F.max_by(F.struct(*LATEST_RUNS.names), F.struct("inserted_at", "run_id"))
     return run_summaries(stream).groupBy("app_name", "job").agg(newest.alias("run")).select("run.*")
