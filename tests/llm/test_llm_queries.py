@@ -82,3 +82,13 @@ def test_pipeline(spark, texts):
     for r in rows:
         tokens[r.sequence_id] += r.length
     assert max(tokens.values()) <= 1024
+
+
+@pytest.mark.parametrize("at", range(5))
+def test_stages_take_odd_and_no_documents(spark, odd, empty, at):
+    name, stage = corpus_pipeline.STAGES[at]
+    out = stage(spark, odd, SF_DIR)
+    rows = out.collect()
+    assert rows and stage(spark, empty, SF_DIR).collect() == []
+    if at < 4:
+        assert out.columns == odd.columns

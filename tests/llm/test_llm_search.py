@@ -51,6 +51,12 @@ def test_large_components(spark, size):
     assert search(spark, rows, 4) == brute(rows, 4)
 
 
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(i, [i, 1], "a", "b", "c") for i in range(30)], "vec_id long, vector array<long>, v string, row string, s string")
+    found = topk_search.top_k(df.toDF("vec_id", "vector", "VEC_ID", "score", "cand"), F.col("vec_id") % 20 == 0, 2)
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in found.collect()) == brute([(i, [i, 1]) for i in range(30)], 2)
+
+
 def test_quantized(spark):
     cases = [[0.5, -0.01], [1.0, None], [math.nan], [math.inf], [-math.inf], None, [], [0.99999, -1.0]]
     df = spark.createDataFrame([(c,) for c in cases], "v array<float>")
