@@ -15,6 +15,8 @@ from runpulse.session import scratch_path
 
 #: Texts are worked on in slices of about so many bytes, whatever the size of an Arrow batch.
 SLICE_BYTES = 2_000_000
+#: Parts in which a sample's groups are thinned out.
+SAMPLE_PARTS = 32
 
 T = TypeVar("T")
 
@@ -143,6 +145,19 @@ def add_columns(
     return sent.mapInArrow(add, ", ".join(kinds)).toDF(*[df.columns[i] for i in kept], *fields)
 
 
+def hashed_sample(rows: DataFrame, group: str, number: int, key: str = "doc_id") -> DataFrame:
+    """At most ``number`` rows of each ``group``: those with the smallest hash of ``key``.
+
+    A group is first thinned out in ``SAMPLE_PARTS`` parts, so what meets in one task in the end is at
+    most that many times ``number`` rows, however large the group is and however many tasks there are.
+    """
+    order = [F.xxhash64(key), F.col(key)]
+    part = F.pmod(F.xxhash64(key), F.lit(SAMPLE_PARTS))
+    for window in (Window.partitionBy(group, part), Window.partitionBy(group)):
+        rows = rows.withColumn("_n", F.row_number().over(window.orderBy(*order))).where(F.col("_n") <= number)
+    return rows.drop("_n")
+
+
 _REMEMBERED: dict[Hashable, object] = {}
 
 

@@ -15,10 +15,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runpulse.llm.common import pick, slices, texts_of, utf8
+from runpulse.llm.common import hashed_sample, pick, slices, texts_of, utf8
 
 DIMENSIONS = 512
 SEED = 20
@@ -129,9 +129,7 @@ def learn(
     bundles by language before anything is shuffled; what arrives here is one vector per language.
     """
     rows = pick(docs, doc_id, text, lang).toDF("doc_id", "text", "lang").where(F.col("lang").isNotNull() & usable)
-    hashed = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select("doc_id", "lang").withColumn("_n", F.row_number().over(hashed)).where(F.col("_n") <= sample)
-    ids = ids.select("doc_id", "lang").distinct()
+    ids = hashed_sample(rows.select("doc_id", "lang"), "lang", sample).distinct()
     chosen = rows.join(ids, ["doc_id", "lang"], "left_semi").select("lang", utf8("text"))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,10 +14,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runpulse.llm.common import add_columns, pick, remembered, slices, store, texts_of
+from runpulse.llm.common import add_columns, hashed_sample, pick, remembered, slices, store, texts_of
 from runpulse.llm.licenses import normalize
 from runpulse.llm.tokenizing import segments
 
@@ -159,8 +159,7 @@ def learn(
     """
     marked = pick(labels, doc_id, label).toDF("doc_id", "label").where(F.col("label").isin(0, 1) & usable)
     marked = marked.groupBy("doc_id").agg(F.max("label").alias("label"))
-    hashed = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = marked.withColumn("_n", F.row_number().over(hashed)).where(F.col("_n") <= sample).drop("_n")
+    chosen = hashed_sample(marked, "label", sample)
     texts = pick(docs, doc_id, text).toDF("doc_id", "text")
     taken = texts.join(F.broadcast(chosen), "doc_id").select("label", F.col("text").cast("binary").alias("text"))
 

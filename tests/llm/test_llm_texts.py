@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from llm_fixtures import LONG, ODD, documents, prose
 from runpulse.llm import language_id, licenses, quality, toxicity
-from runpulse.llm.common import pick
+from runpulse.llm.common import hashed_sample, pick
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORD = r"[^\x20\x09-\x0D]+"
@@ -64,6 +64,16 @@ def test_nothing_to_learn_a_language_from(odd, empty):
     assert language_id.identify(empty, profiles).collect() == []
 
 
+def test_hashed_sample(spark):
+    rows = spark.range(1000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("g"))
+    whole = {r.doc_id: r.h for r in rows.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    for n in (1, 40, 5000):
+        got = {(r.g, r.doc_id) for r in hashed_sample(rows, "g", n).collect()}
+        for g in "ab":
+            mine = sorted((i for i in range(1000) if (i % 3 == 0) == (g == "a")), key=whole.get)
+            assert {i for h, i in got if h == g} == set(mine[:n])
+
+
 # Quality
 
 
