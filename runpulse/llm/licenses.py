@@ -14,7 +14,6 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from runpulse.llm.common import pick, slices, texts_of, utf8
 

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from runpulse.llm.common import add_columns, remembered, store
 from runpulse.llm.tokenizing import _room, segments
 
+#: Words kept per worker; beyond it the memory starts afresh.
 KEPT_WORDS = 500_000
-KEPT_WORD_BYTES = 200
 
 # Rules on words and lines, fixed values.
 MIN_WORDS = 50
@@ -95,8 +95,7 @@ class Fertility:
         lookup = self.words.__getitem__
         numbers = np.concatenate([np.array([*map(lookup, part.split())], np.int64) for part in segments(raw)])
         if len(self.words) > self.known:
-            words = list(self.words)[self.known :] if self.known == 0 else _last(self.words, len(self.words) - self.known)
-            self._learn(words)
+            self._learn(_last(self.words, len(self.words) - self.known))
         n_words, repeated = len(numbers), repeat_words(numbers)
         data = np.frombuffer(raw, np.uint8)
         kinds = np.bincount(_BYTE_KINDS[data], minlength=3)

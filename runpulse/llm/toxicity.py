@@ -30,6 +30,7 @@ SAMPLE_PER_LABEL = 5000
 TERMS, LEAST_TEXTS = 1024, 4
 FACTORS = 8
 EPOCHS, BATCH, RATE, DECAY, SEED = 40, 256, 0.02, 2e-3, 7
+#: Words kept per worker; beyond it the memory starts afresh.
 KEPT_WORDS = 500_000
 
 
