@@ -37,7 +37,7 @@ def status_filter(name: str) -> str:
 def require_uuid(raw: str) -> str:
     """The id in the lower-case form that new rows hold."""
     if not re.fullmatch(RUN_ID, raw):
-        raise ValueError("invalid run id (expected a uuid)")
+        raise ValueError(f"{raw!r} has not the shape of a run id")
     return raw.lower()
 
 
