@@ -17,6 +17,8 @@ from runpulse.session import scratch_path
 SLICE_BYTES = 2_000_000
 #: Parts in which a sample's groups are thinned out.
 SAMPLE_PARTS = 32
+#: Narrow tables of so many rows are sent to every task, some 20 MB.
+BROADCAST_ROWS = 500_000
 
 T = TypeVar("T")
 
@@ -41,12 +43,17 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
 def store(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read again: lineage ends here, on files no executor owns."""
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     stored = df.sparkSession.read.schema(df.schema).parquet(path)
     stored.stored_at = path
     return stored
 
 
+def if_small(df: DataFrame) -> DataFrame:
+    """``df``, a stored table of a few numbers a row, to be sent to every task if it has few rows; else joined."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def discard(*stored: DataFrame) -> None:
     """Deletes tables of ``store`` that nothing reads any more."""
     for df in stored:

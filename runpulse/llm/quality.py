@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runpulse.llm.common import add_columns, remembered, store
+from runpulse.llm.common import add_columns, if_small, remembered, store
 from runpulse.llm.tokenizing import _room, segments
 
 #: Words kept per worker; beyond it the memory starts afresh.
@@ -39,8 +39,6 @@ BANDS = {
 #: absolute deviation) to either side of the median; classes of fewer texts have none.
 DEVIATIONS = 4.5
 CLASS_TEXTS = 30
-#: Tables of so many bands are sent to every task, larger ones are joined.
-BROADCAST_BANDS = 20_000
 # First and last code points of the scripts with bands of their own, fixed values.
 SCRIPTS = {"latin": (0x41, 0x24F), "greek": (0x370, 0x3FF), "cyrillic": (0x400, 0x52F)}
 
@@ -234,12 +232,12 @@ def judged(measured: DataFrame, lang: str | None = "lang") -> DataFrame:
     if lang in measured.columns:
         group = F.coalesce(F.concat(F.lit("language "), F.col(lang).cast("string")), group)
     found = bands(measured, group)
-    few = found.count() <= BROADCAST_BANDS
+    found = if_small(found)
     found = found.select(*[F.col(c).alias(f"_in_{c}") for c in found.columns])
     others = [c for c in measured.columns if c != "kept"]
     marked = measured.select(*others, group.alias("_group"), size_class().alias("_class"))
     joined = marked.join(
-        F.broadcast(found) if few else found,
+        found,
         (F.col("_group") == F.col("_in_group")) & (F.col("_class") == F.col("_in_size_class")), "left",
     )
     ratio, entropy = F.col("chars_per_token"), F.col("token_entropy")
