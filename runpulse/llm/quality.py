@@ -3,12 +3,13 @@
 A public vocabulary with byte fallback measures how well a text fits what it was built from: characters
 per token, the share of tokens that are bare bytes, and the entropy of the text's tokens.
 Texts outside the bands of their language or script are rejected. There are fixed bands per script,
-and bands around the median of all texts of the same language and size class, as wide as a
+and bands around the median of all distinct texts of the same language and size class, as wide as a
 number of robust standard deviations. Words are encoded one by one, each distinct word once per worker.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 
 import numpy as np
@@ -39,6 +40,11 @@ BANDS = {
 #: absolute deviation) to either side of the median; classes of fewer texts have none.
 DEVIATIONS = 4.5
 CLASS_TEXTS = 30
+#: A robust standard deviation counts as so much at least: a share of the median ratio, and bits of entropy. That
+#: is the spread of common classes, and keeps a band open where near copies fill most of a class.
+LEAST_SPREAD = {"ratio": 0.02, "entropy": 0.1}
+#: Equal texts have equal hashes; they count once in the bands.
+HASH = "_text_hash"
 # First and last code points of the scripts with bands of their own, fixed values.
 SCRIPTS = {"latin": (0x41, 0x24F), "greek": (0x370, 0x3FF), "cyrillic": (0x400, 0x52F)}
 
@@ -116,6 +122,10 @@ class Fertility:
                 entropy, bool(fits))
 
 
+def _hashed(raw: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
+
+
 def _last(words: dict, n: int) -> list:
     """The ``n`` keys that came last, oldest first."""
     found = [word for word, _ in zip(reversed(words), range(n))]
@@ -178,7 +188,7 @@ def fertility(path: str) -> Fertility:
 
 
 def with_quality(df: DataFrame, model: str, *, text: str = "text", keep_text: bool = True) -> DataFrame:
-    """``df`` with the ``MEASURES`` of each whole text; columns of ``df`` with such a name are dropped.
+    """``df`` with the ``MEASURES`` and the ``HASH`` of each whole text; columns of ``df`` with such a name are dropped.
 
     A null text counts as empty. A text fails the base rules with fewer than 50 words or with over half
     of them in repeated windows of three words. Ratios of a text without words are 0. Repeated rows
@@ -188,27 +198,32 @@ def with_quality(df: DataFrame, model: str, *, text: str = "text", keep_text: bo
 
     def measure(texts: list[bytes]) -> list[pa.Array]:
         scale = fertility(model)
-        rows = [scale.measure(raw) for raw in texts]
-        return [pa.array(values, types[kind]) for values, kind in zip(zip(*rows), MEASURES.values())]
+        rows = [(*scale.measure(raw), _hashed(raw)) for raw in texts]
+        return [pa.array(values, types[kind]) for values, kind in zip(zip(*rows), [*MEASURES.values(), "long"])]
 
-    return add_columns(df, text, MEASURES, measure, keep_text)
+    return add_columns(df, text, {**MEASURES, HASH: "long"}, measure, keep_text)
 
 
 def bands(measured: DataFrame, group: Column) -> DataFrame:
-    """(group, size_class, least_ratio, most_ratio, least_entropy) over all texts that pass the base rules.
+    """(group, size_class, least_ratio, most_ratio, least_entropy) over all distinct texts that pass the base rules.
 
     The size class is the power of two in the number of tokens, as entropy grows with a text's size.
+    However many copies a text has, it is one row before anything is sent for the medians.
     """
     ratio, entropy = F.col("chars_per_token"), F.col("token_entropy")
-    texts = measured.where(~F.col("base_failed")).select(group.alias("group"), size_class(), ratio, entropy)
+    texts = measured.where(~F.col("base_failed")).select(group.alias("group"), size_class(), HASH, ratio, entropy)
+    texts = store(texts.dropDuplicates(["group", "size_class", HASH]).drop(HASH), "distinct")
     middle = lambda x: F.percentile_approx(x, 0.5, 10_000)
     centre = texts.groupBy("group", "size_class").agg(
         F.count("*").alias("n"), middle(ratio).alias("mid_ratio"), middle(entropy).alias("mid_entropy")
     )
     centre = store(centre.where(F.col("n") >= CLASS_TEXTS), "centres")
     spread = texts.join(centre, ["group", "size_class"]).groupBy("group", "size_class", "mid_ratio", "mid_entropy")
-    reach = lambda x, mid: DEVIATIONS * 1.4826 * middle(F.abs(x - F.col(mid)))
-    spread = spread.agg(reach(ratio, "mid_ratio").alias("_r"), reach(entropy, "mid_entropy").alias("_e"))
+    wide = lambda x, mid, least: DEVIATIONS * F.greatest(1.4826 * middle(F.abs(x - F.col(mid))), least)
+    spread = spread.agg(
+        wide(ratio, "mid_ratio", LEAST_SPREAD["ratio"] * F.col("mid_ratio")).alias("_r"),
+        wide(entropy, "mid_entropy", F.lit(LEAST_SPREAD["entropy"])).alias("_e"),
+    )
     return store(
         spread.select(
             "group", "size_class", (F.col("mid_ratio") - F.col("_r")).alias("least_ratio"),
@@ -234,7 +249,7 @@ def judged(measured: DataFrame, lang: str | None = "lang") -> DataFrame:
     found = bands(measured, group)
     found = if_small(found)
     found = found.select(*[F.col(c).alias(f"_in_{c}") for c in found.columns])
-    others = [c for c in measured.columns if c != "kept"]
+    others = [c for c in measured.columns if c not in ("kept", HASH)]
     marked = measured.select(*others, group.alias("_group"), size_class().alias("_class"))
     joined = marked.join(
         found,

@@ -129,6 +129,24 @@ def test_bands_reject_what_differs_from_its_class(spark):
     assert 99 not in ids and len(ids) >= 58
 
 
+def varied(i):
+    return " ".join(f"{w}{(i * 7 + n) % 90}" for n, w in enumerate(prose(i, 90).split()))
+
+
+def test_copies_do_not_narrow_the_bands(spark):
+    rows = [(i, varied(i), "en", "a", 1) for i in range(45)]
+    copies = [(100 + i, varied(77), "en", "a", 1) for i in range(55)]
+    ids = {r[0] for r in quality.filtered(documents(spark, rows + copies), PIECES).collect()}
+    assert len(ids & set(range(45))) >= 43 and ids >= set(range(100, 155))
+
+
+def test_near_copies_leave_the_bands_open(spark):
+    rows = [(i, varied(i), "en", "a", 1) for i in range(45)]
+    near = [(100 + i, varied(77) + f" {i + 10}", "en", "a", 1) for i in range(55)]
+    ids = {r[0] for r in quality.filtered(documents(spark, rows + near), PIECES).collect()}
+    assert len(ids & set(range(45))) >= 43
+
+
 # Licenses
 
 
