@@ -8,6 +8,9 @@ bounded number of them) and sends only new words to the ``tokenizers`` library.
 * ``spaced_words``: byte-level BPE, where a word takes the one space in front of it along. A text
   with any other white space than single spaces and single line ends is cut by ``_CHUNK``, which
   states the tokenizer's own rule for runs of white space.
+
+Added tokens such as ``<|endoftext|>`` are found before that, as the library does by default: a text is
+cut at them, and what lies between is encoded like texts of its own.
 """
 
 from __future__ import annotations
@@ -79,14 +82,24 @@ class _SpacedWords(_Words):
 
 
 class TokenIds:
-    """Token ids by the ``tokenizers`` file at ``path``."""
+    """Token ids by the ``tokenizers`` file at ``path``.
+
+    With ``added`` the ids are those of the library's defaults, where the contents of an added token become
+    its id; without, such contents are words like others (``encode_special_tokens``).
+    """
 
-    def __init__(self, path: str, kept: int = KEPT_WORDS):
+    def __init__(self, path: str, kept: int = KEPT_WORDS, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = True  # between added tokens there is none
+        tokens = self.tokenizer.get_added_tokens_decoder() if added else {}
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in tokens.values()):
+            raise ValueError(f"{path} has added tokens that are not matched by their bare contents")
+        self.added = {t.content.encode(): number for number, t in tokens.items()}
+        longest_first = sorted(map(re.escape, self.added), key=len, reverse=True)
+        self._cuts = re.compile(b"(" + b"|".join(longest_first) + b")")
         self.spaced = self.tokenizer.normalizer is None
         self.kept = kept
         alone = {m.encode(): self.tokenizer.encode(m, add_special_tokens=False).ids for m in ".,;:!?\n"}
@@ -173,6 +186,24 @@ class TokenIds:
 
         An empty text has no ids but ``end_id``. Bytes that are no UTF-8 count as U+FFFD.
         """
+        parts = [self._cuts.split(raw) if any(token in raw for token in self.added) else [raw] for raw in texts]
+        # Every second part of a text is an added token.
+        found = [(at, part) for at, part in enumerate(p for cut in parts for p in cut) if part in self.added]
+        if found:
+            ids, counts = self._encode([b"" if n % 2 else part for cut in parts for n, part in enumerate(cut)])
+            places = np.array([at for at, _ in found], np.int64)
+            ids = np.insert(ids, np.cumsum(counts)[places], [self.added[part] for _, part in found])
+            counts[places] += 1
+            each = np.array([*map(len, parts)], np.int64)
+            counts = np.add.reduceat(counts, np.cumsum(each) - each)
+        else:
+            ids, counts = self._encode(texts)
+        if end_id is not None:
+            ids, counts = np.insert(ids, np.cumsum(counts), end_id), counts + 1
+        return ids.astype("<u4", copy=False), counts
+
+    def _encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of ``texts``, none with an added token, in a row, and the number of ids of each."""
         if len(self.words) > self.kept or self.used > 8 * self.kept:
             self._forget()
         numbers = [self._numbers(raw) for raw in texts]
@@ -187,9 +218,7 @@ class TokenIds:
         counts = np.diff(text_ends, prepend=0)
         for word in long_words:
             del self.words[word]
-        if end_id is not None:
-            ids, counts = np.insert(ids, text_ends, end_id), counts + 1
-        return ids.astype("<u4", copy=False), counts
+        return ids, counts
 
 
 def _room(array: np.ndarray, size: int) -> np.ndarray:
@@ -199,5 +228,5 @@ def _room(array: np.ndarray, size: int) -> np.ndarray:
 
 
 def token_ids(path: str) -> TokenIds:
-    """This worker's encoder."""
-    return remembered(("token ids", path), lambda: TokenIds(path))
+    """This worker's encoder, which gives the ids of the library's defaults."""
+    return remembered(("token ids", path), lambda: TokenIds(path, added=True))

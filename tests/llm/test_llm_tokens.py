@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from llm_fixtures import ODD, prose
+from llm_fixtures import ODD, documents, prose
 from runpulse.llm import packing, token_orc
 from runpulse.llm.tokenizing import TokenIds, segments
 from runpulse.session import scratch_path
@@ -50,6 +50,31 @@ def test_long_texts_and_a_small_memory(name):
         assert ids.tolist() == direct(name, text)
 
 
+UNTOUCHED = {name: Tokenizer.from_file(path) for name, path in PATHS.items()}
+ADDING = {name: TokenIds(path, added=True) for name, path in PATHS.items()}
+
+
+@pytest.mark.parametrize("name", PATHS)
+@settings(max_examples=300, deadline=None)
+@given(texts=st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|end", "oftext|>", "one", " ", "\n", "é", "́", "<|ENDOFTEXT|>"])).map("".join), max_size=4))
+def test_added_tokens_are_found_as_by_default(name, texts):
+    ids, counts = ADDING[name].encode([t.encode() for t in texts], 2)
+    ends = np.cumsum(counts)
+    assert [ids[e - n : e].tolist() for e, n in zip(ends, counts)] == [
+        [*UNTOUCHED[name].encode(t, add_special_tokens=False).ids, 2] for t in texts
+    ]
+
+
+def test_queries_operators_find_added_tokens(spark):
+    text = "one <|endoftext|> two <|startoftext|>"
+    docs, path = documents(spark, [(1, text, "en", "a", 1)]), scratch_path(spark, "orc")
+    token_orc.write_token_orc(docs, path, PATHS["word_bpe_49k"], 2)
+    (row,) = token_orc.read_token_orc(spark, path).collect()
+    assert list(row.ids) == [*UNTOUCHED["word_bpe_49k"].encode(text, add_special_tokens=False).ids, 2]
+    (piece,) = packing.token_pieces(docs, PATHS["byte_bpe_50k"], 2).collect()
+    assert list(piece.ids) == [*UNTOUCHED["byte_bpe_50k"].encode(text, add_special_tokens=False).ids, 2]
+
+
 def test_segments_join_to_the_text():
     raw = prose(3, 5000).encode()
     parts = segments(raw, 1000)
