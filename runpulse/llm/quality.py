@@ -4,7 +4,8 @@ A public vocabulary with byte fallback measures how well a text fits what it was
 per token, the share of tokens that are bare bytes, and the entropy of the text's tokens.
 Texts outside the bands of their language or script are rejected. There are fixed bands per script,
 and bands around the median of all distinct texts of the same language and size class, as wide as a
-number of robust standard deviations. Words are encoded one by one, each distinct word once per worker.
+number of robust standard deviations. Where a class has few texts, those of its language of any size judge it,
+and else those of its script. Words are encoded one by one, each distinct word once per worker.
 """
 
 from __future__ import annotations
@@ -36,13 +37,15 @@ BANDS = {
     "greek": (0.8, 8.0, 0.40, 3.5),
     "other": (0.25, 8.0, 1.00, 3.0),
 }
-#: Bands of a language and size class reach so many robust standard deviations (1.4826 times the median
-#: absolute deviation) to either side of the median; classes of fewer texts have none.
+#: Bands of a pool reach so many robust standard deviations (1.4826 times the median absolute deviation) to
+#: either side of the median; pools of fewer texts have none.
 DEVIATIONS = 4.5
 CLASS_TEXTS = 30
-#: A robust standard deviation counts as so much at least: a share of the median ratio, and bits of entropy. That
-#: is the spread of common classes, and keeps a band open where near copies fill most of a class.
-LEAST_SPREAD = {"ratio": 0.02, "entropy": 0.1}
+#: A robust standard deviation counts as so much at least: a share of the median ratio, bits of entropy, and byte share.
+#: That is the spread of common classes, and keeps a band open where near copies fill most of a class.
+LEAST_SPREAD = {"ratio": 0.02, "entropy": 0.1, "bytes": 0.01}
+#: Beyond this share of a pool's texts by size, entropy is not expected to grow any more.
+LONGEST = 0.9
 #: Equal texts have equal hashes; they count once in the bands.
 HASH = "_text_hash"
 # First and last code points of the scripts with bands of their own, fixed values.
@@ -205,59 +208,99 @@ def with_quality(df: DataFrame, model: str, *, text: str = "text", keep_text: bo
 
 
 def bands(measured: DataFrame, group: Column) -> DataFrame:
-    """(group, size_class, least_ratio, most_ratio, least_entropy) over all distinct texts that pass the base rules.
+    """Bands of each pool over all its distinct texts that pass the base rules.
 
-    The size class is the power of two in the number of tokens, as entropy grows with a text's size.
-    However many copies a text has, it is one row before anything is sent for the medians.
+    The pools are those of ``pools``. Columns are ``pool``, ``least_ratio``, ``most_ratio``, ``most_bytes`` and
+    ``least_entropy``; to the last comes ``slope`` times the text's ``size_beyond`` (``mid_size``, ``top_size``).
+    The slope is that between the medians of the smaller and the larger half of the pool's texts, as entropy
+    grows with a text's size; it is 0 inside a size class. However many copies a text has, it is one row before
+    anything is sent for the medians.
     """
-    ratio, entropy = F.col("chars_per_token"), F.col("token_entropy")
-    texts = measured.where(~F.col("base_failed")).select(group.alias("group"), size_class(), HASH, ratio, entropy)
-    texts = store(texts.dropDuplicates(["group", "size_class", HASH]).drop(HASH), "distinct")
+    size, ratio, entropy = size_of(), F.col("chars_per_token"), F.col("token_entropy")
+    names = F.array(*[F.struct(F.lit(n).alias("level"), pool.alias("pool")) for n, pool in enumerate(pools(group))])
+    texts = measured.where(~F.col("base_failed")).select(
+        names.alias("pools"), HASH, size.alias("size"), ratio, F.col("byte_share"), entropy
+    )
+    texts = store(texts.dropDuplicates(["pools", HASH]), "distinct").select(F.inline("pools"), "*").drop("pools")
+    # The same text under two languages is once in its script.
+    wide_ones = texts.where(F.col("level") == 2).dropDuplicates(["pool", HASH])
+    texts = store(texts.where(F.col("level") < 2).unionByName(wide_ones).drop(HASH), "pooled")
     middle = lambda x: F.percentile_approx(x, 0.5, 10_000)
-    centre = texts.groupBy("group", "size_class").agg(
-        F.count("*").alias("n"), middle(ratio).alias("mid_ratio"), middle(entropy).alias("mid_entropy")
+    centre = texts.groupBy("pool").agg(
+        F.count("*").alias("n"), middle("size").alias("mid_size"), F.percentile_approx("size", LONGEST, 10_000).alias("top_size"),
+        middle(ratio).alias("mid_ratio"), middle("byte_share").alias("mid_bytes"),
     )
-    centre = store(centre.where(F.col("n") >= CLASS_TEXTS), "centres")
-    spread = texts.join(centre, ["group", "size_class"]).groupBy("group", "size_class", "mid_ratio", "mid_entropy")
-    wide = lambda x, mid, least: DEVIATIONS * F.greatest(1.4826 * middle(F.abs(x - F.col(mid))), least)
-    spread = spread.agg(
-        wide(ratio, "mid_ratio", LEAST_SPREAD["ratio"] * F.col("mid_ratio")).alias("_r"),
-        wide(entropy, "mid_entropy", F.lit(LEAST_SPREAD["entropy"])).alias("_e"),
+    centre = store(centre.where(F.col("n") >= CLASS_TEXTS).drop("n"), "centres")
+    near = texts.join(if_small(centre), "pool")
+    away = lambda x, mid: middle(F.abs(F.col(x) - F.col(mid)))
+    low, high = F.col("size") <= F.col("mid_size"), F.col("size") > F.col("mid_size")
+    rise = middle(F.when(high, entropy)) - middle(F.when(low, entropy))
+    run = middle(F.when(high, F.col("size"))) - middle(F.when(low, F.col("size")))
+    # Twice as many tokens add one bit at most.
+    slope = F.when(F.max("level") == 0, 0.0).otherwise(F.coalesce(F.least(F.greatest(rise / run, F.lit(0.0)), F.lit(1.0)), F.lit(0.0)))
+    spread = near.groupBy("pool").agg(
+        away("chars_per_token", "mid_ratio").alias("off_ratio"), away("byte_share", "mid_bytes").alias("off_bytes"),
+        slope.alias("slope"),
     )
+    sloped = store(centre.join(spread, "pool"), "slopes")
+    level = texts.join(if_small(sloped), "pool").withColumn("_level", entropy - F.col("slope") * size_beyond("size"))
+    mids = store(level.groupBy("pool").agg(middle("_level").alias("mid_entropy")), "levels")
+    off = level.join(if_small(mids), "pool").groupBy("pool").agg(away("_level", "mid_entropy").alias("off_entropy"))
+    reach = lambda off, least: DEVIATIONS * F.greatest(1.4826 * F.col(off), least)
+    reach_ratio = reach("off_ratio", LEAST_SPREAD["ratio"] * F.col("mid_ratio"))
     return store(
-        spread.select(
-            "group", "size_class", (F.col("mid_ratio") - F.col("_r")).alias("least_ratio"),
-            (F.col("mid_ratio") + F.col("_r")).alias("most_ratio"),
-            (F.col("mid_entropy") - F.col("_e")).alias("least_entropy"),
+        sloped.join(mids, "pool").join(off, "pool").select(
+            "pool", (F.col("mid_ratio") - reach_ratio).alias("least_ratio"),
+            (F.col("mid_ratio") + reach_ratio).alias("most_ratio"),
+            (F.col("mid_bytes") + reach("off_bytes", F.lit(LEAST_SPREAD["bytes"]))).alias("most_bytes"),
+            (F.col("mid_entropy") - reach("off_entropy", F.lit(LEAST_SPREAD["entropy"]))).alias("least_entropy"),
+            "slope", "mid_size", "top_size",
         ), "bands",
     )
 
 
-def size_class() -> Column:
-    return F.floor(F.log2(F.greatest(F.col("n_tokens"), F.lit(1)))).cast("int").alias("size_class")
+def size_of() -> Column:
+    return F.log2(F.greatest(F.col("n_tokens"), F.lit(1)))
+
+
+def size_beyond(size: str, prefix: str = "") -> Column:
+    """How much larger than its pool's median a text is, up to the size from which entropy is not expected to grow."""
+    return F.least(F.col(size), F.col(f"{prefix}top_size")) - F.col(f"{prefix}mid_size")
+
+
+def pools(group: Column) -> list[Column]:
+    """The pools of a text, from narrow to wide: its group's texts of its size class (a power of two), its group's, its script's."""
+    return [
+        F.concat(F.floor(size_of()).cast("int").cast("string"), F.lit(" of "), group),
+        F.concat(F.lit("all of "), group),
+        F.concat(F.lit("all in "), F.col("script")),
+    ]
 
 
 def judged(measured: DataFrame, lang: str | None = "lang") -> DataFrame:
     """``measured`` (a stored table of ``with_quality``) with ``kept``, the verdict; a column of that name is replaced.
 
-    A text is kept if it passes the base rules, lies in its script's bands and in those of its language
-    (its script, where ``lang`` is null or no column) and size class, if these have enough texts.
+    A text is kept if it passes the base rules, lies in its script's fixed bands and in those of the narrowest
+    of its pools that has enough texts: its language (its script, where ``lang`` is null or no column) and size
+    class, its language, its script.
     """
     group = F.concat(F.lit("script "), F.col("script"))
     if lang in measured.columns:
         group = F.coalesce(F.concat(F.lit("language "), F.col(lang).cast("string")), group)
-    found = bands(measured, group)
-    found = if_small(found)
-    found = found.select(*[F.col(c).alias(f"_in_{c}") for c in found.columns])
+    found = if_small(bands(measured, group))
     others = [c for c in measured.columns if c not in ("kept", HASH)]
-    marked = measured.select(*others, group.alias("_group"), size_class().alias("_class"))
-    joined = marked.join(
-        found,
-        (F.col("_group") == F.col("_in_group")) & (F.col("_class") == F.col("_in_size_class")), "left",
-    )
-    ratio, entropy = F.col("chars_per_token"), F.col("token_entropy")
-    inside = (ratio >= F.col("_in_least_ratio")) & (ratio <= F.col("_in_most_ratio")) & (entropy >= F.col("_in_least_entropy"))
-    kept = ~F.col("base_failed") & F.col("in_script_bands") & F.coalesce(inside, F.lit(True))
+    joined = measured.select(*others, size_of().alias("_size"), *[p.alias(f"_pool{n}") for n, p in enumerate(pools(group))])
+    tests = []
+    for n in range(3):
+        pre = f"_in{n}_"
+        joined = joined.join(found.select(*[F.col(c).alias(pre + c) for c in found.columns]), F.col(f"_pool{n}") == F.col(f"{pre}pool"), "left")
+        ratio, entropy = F.col("chars_per_token"), F.col("token_entropy") - F.col(f"{pre}slope") * size_beyond("_size", pre)
+        tests.append(
+            (ratio >= F.col(f"{pre}least_ratio")) & (ratio <= F.col(f"{pre}most_ratio"))
+            & (F.col("byte_share") <= F.col(f"{pre}most_bytes")) & (entropy >= F.col(f"{pre}least_entropy"))
+        )
+    known = [F.when(F.col(f"_in{n}_pool").isNotNull(), test) for n, test in enumerate(tests)]
+    kept = ~F.col("base_failed") & F.col("in_script_bands") & F.coalesce(*known, F.lit(True))
     return joined.select(*others, kept.alias("kept"))
 
 

@@ -147,6 +147,27 @@ def test_near_copies_leave_the_bands_open(spark):
     assert len(ids & set(range(45))) >= 43
 
 
+def test_a_small_class_is_judged_by_wider_pools(spark):
+    rows = [(i, varied(i), "en", "a", 1) for i in range(60)]
+    long_garbage = " ".join(f"aa{n % 3}{'b' * (n % 17)}" for n in range(1500))
+    some = [(99, long_garbage, "en", "a", 1), (98, " ".join(varied(200 + i) for i in range(9)), "en", "a", 1)]
+    some += [(97, long_garbage, "fr", "a", 1), (96, varied(300), "fr", "a", 1)]
+    ids = {r[0] for r in quality.filtered(documents(spark, rows + some), PIECES).collect()}
+    assert {98, 96} <= ids and not {97, 99} & ids and len(ids) >= 59
+
+
+@pytest.mark.parametrize("script", ["latin", "other"])
+def test_byte_share_has_a_learned_band(spark, script):
+    row = dict.fromkeys(quality.MEASURES, 100) | {"base_failed": False, "script": script, "in_script_bands": True}
+    row |= {"chars_per_token": 2.0, "token_entropy": 6.0}
+    shares = [0.02 + i % 5 / 1000 for i in range(60)] + [0.09]
+    names = ["doc_id", "lang", *quality.MEASURES, quality.HASH]
+    kinds = ["long", "string", *quality.MEASURES.values(), "long"]
+    rows = [tuple(({"doc_id": i, "lang": "xx", quality.HASH: i} | row | {"byte_share": x})[c] for c in names) for i, x in enumerate(shares)]
+    measured = spark.createDataFrame(rows, ", ".join(f"{n} {k}" for n, k in zip(names, kinds)))
+    assert {r.doc_id for r in quality.judged(measured).where("kept").collect()} == set(range(60))
+
+
 # Licenses
 
 
