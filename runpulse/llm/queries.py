@@ -8,12 +8,17 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runpulse.llm import language_id, licenses, mixing, packing, quality, sharding, simhash, token_orc, topk_search, toxicity
+from runpulse.llm import (
+    alignment, collocations, language_id, licenses, mixing, packing, quality, sharding, simhash, token_orc, topk_search,
+    toxicity, url_filter,
+)
 from runpulse.llm.common import pick, store, table
 from runpulse.session import scratch_path
 
 #: The id that ends a document in both token queries.
 END_ID = 2
+#: Rules of the URL filter, fixed values.
+URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
 
 def op3_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +84,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", is_held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = pick(table(spark, sf_dir, "pages"), "page_id", "url")
+    judged = url_filter.with_verdicts(pages, URL_RULES, url_filter.learn(pages, URL_RULES))
+    return judged.drop("url")
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a_path, b_path = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.alignment(table(spark, sf_dir, "documents"), a_path, b_path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_topk_search": op2_topk_search,
@@ -90,6 +110,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_licenses": op9_licenses,
     "op10_toxicity": op10_toxicity,
+    "op11_collocations": op11_collocations,
+    "op12_url_filter": op12_url_filter,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLE: dict[str, str] = {
@@ -158,4 +181,48 @@ ORACLE: dict[str, str] = {
                     + greatest(0, least(budget - budget // source_size * source_size - before, size)) END AS BIGINT) AS taken
         FROM placed
     """,
+    "op11_collocations": """
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang,
+                   unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents
+        ), listed AS (
+            SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+        ), totals AS (
+            SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM listed GROUP BY lang
+        ), placed AS (
+            SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM listed
+        ), counted AS (
+            SELECT lang, 1 AS size, w[i] AS phrase, count(*) AS f FROM placed GROUP BY ALL HAVING f >= 30
+            UNION ALL SELECT lang, 2, w[i] || ' ' || w[i + 1], count(*) AS f
+            FROM placed WHERE i < len(w) GROUP BY ALL HAVING f >= 30
+            UNION ALL SELECT lang, 3, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2], count(*) AS f
+            FROM placed WHERE i + 1 < len(w) GROUP BY ALL HAVING f >= 30
+            UNION ALL SELECT lang, 4, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3], count(*) AS f
+            FROM placed WHERE i + 2 < len(w) GROUP BY ALL HAVING f >= 30
+        ), parted AS (
+            SELECT *, string_split(phrase, ' ') AS words, unnest(range(1, size)) AS k FROM counted
+        ), scored AS (
+            SELECT p.lang, p.size, p.phrase, p.words, p.f AS a, p.k, l.f AS l, r.f AS r,
+                   CAST(2000000 AS HUGEINT) * p.f // (CAST(l.f AS HUGEINT) + r.f) AS score
+            FROM parted p JOIN counted l ON l.lang = p.lang AND l.phrase = array_to_string(p.words[1 : k], ' ')
+            JOIN counted r ON r.lang = p.lang AND r.phrase = array_to_string(p.words[k + 1 :], ' ')
+            QUALIFY row_number() OVER (PARTITION BY p.lang, p.phrase ORDER BY score, k) = 1
+        ), sides AS (
+            SELECT lang, array_to_string(words[2 :], ' ') AS phrase, f AS lefts, 0 AS rights FROM parted WHERE size > 2 AND k = 1
+            UNION ALL SELECT lang, array_to_string(words[: size - 1], ' '), 0, f FROM parted WHERE size > 2 AND k = 1
+        ), longer AS (
+            SELECT lang, phrase, CAST(max(lefts) AS BIGINT) AS left_most, CAST(max(rights) AS BIGINT) AS right_most
+            FROM sides GROUP BY ALL
+        ), kept AS (
+            SELECT s.lang, s.phrase, a, l, r, CAST(score AS BIGINT) AS score,
+                   coalesce(left_most, 0) AS left_most, coalesce(right_most, 0) AS right_most
+            FROM scored s LEFT JOIN longer g ON g.lang = s.lang AND g.phrase = s.phrase
+            WHERE 100 * greatest(coalesce(left_most, 0), coalesce(right_most, 0)) < 80 * a
+        )
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+               phrase, a, l, r, n, score, left_most, right_most
+        FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
+    """,
 }
