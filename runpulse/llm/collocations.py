@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from runpulse.llm.common import discard, pick, running_totals, slices, store, texts_of
 
 #: Words of a shard; a document that goes beyond it ends its shard. An index takes some 60 bytes a word while it is built.
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 2_500_000
+#: Places of an index that are worked on at a time.
+BLOCK_PLACES = 1 << 18
 #: Bits of the bitmap that every task gets, 8 MB.
 BITMAP_BITS = 1 << 26
 #: Bits of one row of Spark's bitmaps, a fixed value.
@@ -117,16 +119,14 @@ def sorted_to_depth(tokens: np.ndarray, depth: int) -> np.ndarray:
     reach = 1
     while True:
         step = min(reach, depth - reach)
-        behind = np.zeros(len(rank), np.int64)
-        behind[:-step] = rank[step:]
-        key = rank * (int(rank.max(initial=0)) + 1) + behind
+        key = rank * (int(rank.max(initial=0)) + 1)
+        key[:-step] += rank[step:]
         order = np.argsort(key)
         reach += step
         if reach >= depth:
             return order
-        new = np.empty(len(rank), np.int64)
-        new[order] = np.cumsum(np.diff(key[order], prepend=key[order[:1]]) != 0)
-        rank = new
+        key = key[order]
+        rank[order] = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]]))
 
 
 def transform(tokens: np.ndarray, depth: int) -> np.ndarray:
@@ -143,7 +143,7 @@ class Intervals:
     reverse: np.ndarray
     size: np.ndarray
 
-    def at(self, chosen: np.ndarray) -> Intervals:
+    def at(self, chosen: np.ndarray | slice) -> Intervals:
         return Intervals(self.words[chosen], self.first[chosen], self.reverse[chosen], self.size[chosen])
 
 
@@ -210,17 +210,31 @@ def slots(words: np.ndarray, bits: int) -> np.ndarray:
     return (mixed % np.uint64(bits)).astype(np.int64)
 
 
-def _phrases(index: FmIndex, symbols: np.ndarray, length: int, bitmaps: dict[int, np.ndarray], bits: int) -> Intervals:
-    """All phrases of ``length`` words whose parts one word shorter may be frequent; words by global number."""
-    found = index.words()
-    for size in range(2, length + 1):
-        found = index.extended(found, front=size % 2 == 0)
-        if size == length:
-            # The part that was extended is in the bitmap; the other one must be as well.
-            found = found if size == 2 else _passing(found, symbols, bitmaps[size - 1], bits, (slice(1, None), slice(0, -1)))
-        else:
-            found = _passing(found, symbols, bitmaps[size], bits, (slice(None),))
-    return found
+def _phrases(
+    index: FmIndex, symbols: np.ndarray, length: int, bitmaps: dict[int, np.ndarray], bits: int
+) -> Iterator[Intervals]:
+    """All phrases of ``length`` words whose parts one word shorter may be frequent, in blocks; words by shard number."""
+
+    def grow(found: Intervals, size: int) -> Iterator[Intervals]:
+        for block in _blocks(found):
+            longer = index.extended(block, front=size % 2 == 0)
+            if size < length:
+                yield from grow(_passing(longer, symbols, bitmaps[size], bits, (slice(None),)), size + 1)
+            elif size == 2:
+                yield longer
+            else:
+                # The part that was extended is in the bitmap; the other one must be as well.
+                yield _passing(longer, symbols, bitmaps[size - 1], bits, (slice(1, None), slice(0, -1)))
+
+    yield from grow(index.words(), 2)
+
+
+def _blocks(found: Intervals) -> Iterator[Intervals]:
+    """The phrases in runs of about ``BLOCK_PLACES`` places."""
+    block = (np.cumsum(found.size) - found.size) // BLOCK_PLACES
+    borders = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]])) if len(block) else []
+    for low, high in zip(borders[:-1], borders[1:]):
+        yield found.at(slice(low, high))
 
 
 def _passing(found: Intervals, symbols: np.ndarray, bitmap: np.ndarray, bits: int, parts: tuple) -> Intervals:
@@ -271,11 +285,9 @@ def _counted(indexes: DataFrame, length: int, bitmaps: dict[int, np.ndarray], bi
             for row in range(batch.num_rows):
                 symbols = np.frombuffer(batch["symbols"][row].as_buffer(), np.int64)
                 both = (np.frombuffer(batch[n][row].as_buffer(), np.int32) for n in ("bwt", "reverse_bwt"))
-                found = _phrases(FmIndex(*both), symbols, length, sent.value, bits)
-                for at in range(0, len(found.size), 1 << 17):
-                    some = found.at(np.arange(at, min(at + (1 << 17), len(found.size))))
-                    columns = [pa.array(symbols[some.words[:, i]]) for i in range(length)]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(some.size, pa.int64())], [*names, "n"])
+                for found in _phrases(FmIndex(*both), symbols, length, sent.value, bits):
+                    columns = [pa.array(symbols[found.words[:, i]]) for i in range(length)]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(found.size, pa.int64())], [*names, "n"])
 
     kinds = ", ".join(f"{name} long" for name in names)
     found = indexes.mapInArrow(count, f"{kinds}, n long")
