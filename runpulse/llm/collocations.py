@@ -1,6 +1,6 @@
 """Phrase collocations by an FM-index per shard over word ids.
 
-1. Each task numbers the words of its documents and cuts them into shards of about a million words.
+1. Each task numbers the words of its documents and cuts them into shards of some hundred thousand words.
 2. Words are summed over shards; those found often enough get a number of their own, rare ones end a piece.
 3. Each shard is indexed both ways: the Burrows-Wheeler transforms of its words and of its words reversed, sorted as
    deep as the longest phrase. A phrase is a pair of intervals, one in each. A word put in front narrows the first by
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from runpulse.llm.common import discard, pick, running_totals, slices, store, texts_of
 
 #: Words of a shard; a document that goes beyond it ends its shard. An index takes some 60 bytes a word while it is built.
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 500_000
 #: Places of an index that are worked on at a time.
 BLOCK_PLACES = 1 << 18
 #: Bits of the bitmap that every task gets, 8 MB.
