@@ -1,7 +1,6 @@
 """Merge, eviction, watermark, refresh phases, publishing and the streams."""
 
 import json
-import os
 from datetime import timedelta
 
 import pytest
@@ -10,11 +9,10 @@ from pyspark.sql import functions as F
 from runpulse import operators as op
 from runpulse import sources as src
 from runpulse import streaming as st
-from runpulse.schemas import HEARTBEAT_METRICS, LATEST_RUNS
-from runpulse.streaming.state import plan_refresh
-from runpulse.streaming import versions
-from runpulse.streaming.versions import Version
-from util import NOW, latest_table, log_of, run_row, run_table, uid
+from runpulse.schemas import HEARTBEAT_METRICS
+from runpulse.streaming import state as state_module
+from runpulse.streaming.state import State, plan_refresh
+from util import NOW, latest_table, log_of, plan_of, run_row, run_table, uid
 
 DAY = timedelta(days=1)
 
@@ -53,9 +51,8 @@ def test_since_bound():
 def test_phases():
     config = st.RefreshConfig()
     full = NOW - timedelta(hours=6)
-    meta = {"watermark": (NOW - timedelta(minutes=1)).isoformat(), "last_full": full.isoformat()}
-    before = Version(1, "data", meta)
-    assert plan_refresh(None, NOW, config) == ("bootstrap", NOW - 30 * DAY)
+    before = State("any", full, NOW - timedelta(minutes=1))
+    assert plan_refresh(State(), NOW, config) == ("bootstrap", NOW - 30 * DAY)
     assert plan_refresh(before, NOW, config) == ("reconcile", NOW - 30 * DAY)
     just = NOW - timedelta(seconds=1)
     assert plan_refresh(before, just, config) == ("tick", NOW - timedelta(minutes=6))
@@ -120,128 +117,82 @@ def test_failed_refresh_keeps_last_good(spark, tmp_path):
     assert half.error is None and "source is down" in half.health_error
 
 
-def test_versions_conflict_and_forget(spark, tmp_path):
-    table = st.VersionedTable(spark, str(tmp_path))
-    rows = latest_table(spark, [("a", "J", uid(1), NOW)])
-    first = table.commit(table.stage(rows), {}, None)
-    loser = table.stage(rows)
-    with pytest.raises(st.Conflict):
-        table.commit(loser, {}, None)
-    assert table.current() == first and not (tmp_path / loser).exists()
-    version = first
-    for _ in range(5):
-        version = table.commit(table.stage(rows), {}, version)
-    assert table.current().number == 6 and len(list((tmp_path / "commits").glob("*.json"))) == 6
-    assert table.read(LATEST_RUNS).count() == 1
-
-
-def aged(folder, hours):
-    for path in [folder, *folder.rglob("*")]:
-        os.utime(path, (path.stat().st_mtime - hours * 3600,) * 2)
-
-
-def test_versions_are_kept_by_age(spark, tmp_path):
-    table = st.VersionedTable(spark, str(tmp_path), keep=timedelta(hours=1))
-    rows = latest_table(spark, [("a", "J", uid(1), NOW)])
-    first = table.commit(table.stage(rows), {}, None)
-    second = table.commit(table.stage(rows), {}, first)
-    reader, stray = table.read(LATEST_RUNS), table.stage(rows)
-    aged(tmp_path, 2)
-    third = table.commit(table.stage(rows), {}, second)
-    # The first was superseded long ago, the second just now; what a dead writer left goes too.
-    assert not (tmp_path / first.data).exists() and not (tmp_path / stray).exists()
-    assert (tmp_path / second.data).exists() and reader.count() == 1
-    assert [p.name[-6:] for p in sorted((tmp_path / "commits").glob("*.json"))] == ["2.json", "3.json"]
-    assert table.current() == third
-
-
-def test_failing_cleanup_fails_no_commit(spark, tmp_path, monkeypatch):
-    def broken(table):
-        raise OSError("no reply")
+def one(job, n, age=timedelta(0)):
+    return lambda spark: lambda since: run_table(spark, logs((job, n, age)))
 
-    monkeypatch.setattr(st.VersionedTable, "_forget", broken)
-    rows = lambda since: run_table(spark, logs(("J", 1, timedelta(0))))
-    assert st.refresh(spark, rows, str(tmp_path), NOW).error is None
-    assert st.read_latest(spark, str(tmp_path)).count() == 1
 
+def generations(root):
+    return sorted(p.name for p in (root / "latest").iterdir())
 
-def test_commit_with_a_lost_reply_stands(spark, tmp_path, monkeypatch):
-    rename = st.VersionedTable._rename
 
-    def reply_lost(table, pending, target):
-        rename(table, pending, target)
-        raise OSError("no reply")
+def test_generations_are_kept_by_age(spark, tmp_path):
+    root, times = str(tmp_path), [NOW, NOW + timedelta(hours=7), NOW + timedelta(hours=30), NOW + timedelta(hours=60)]
+    readers = []
+    for at in times[:3]:
+        assert st.refresh_latest(spark, one("J", 1)(spark), root, at).phase in ("bootstrap", "reconcile")
+        readers.append(st.read_latest(spark, root))
+    assert len(generations(tmp_path)) == 3 and all(ids(r) == {"J": uid(1)} for r in readers)
+    st.refresh_latest(spark, one("J", 1)(spark), root, times[3])
+    # Of those older than a day the newest stays: a reader may have begun with it.
+    assert [g[4:15] for g in generations(tmp_path)] == ["20260626T18", "20260628T00"]
+    assert ids(readers[2]) == {"J": uid(1)}
 
-    monkeypatch.setattr(st.VersionedTable, "_rename", reply_lost)
-    table = st.VersionedTable(spark, str(tmp_path))
-    done = table.commit(table.stage(latest_table(spark, [("a", "J", uid(1), NOW)])), {}, None)
-    assert table.current() == done and table.read(LATEST_RUNS).count() == 1
 
+def test_half_written_scan_is_not_read(spark, tmp_path):
+    root = str(tmp_path)
+    st.refresh_latest(spark, one("J", 1)(spark), root, NOW)
+    before = st.current_state(spark, root)
+    later = tmp_path / "latest" / "gen=20990101T000000.000000" / "at=20990101T000000.000000" / "_temporary"
+    later.mkdir(parents=True)
+    assert st.current_state(spark, root) == before and ids(st.read_latest(spark, root)) == {"J": uid(1)}
 
-def test_commit_that_did_not_happen_deletes_nothing(spark, tmp_path, monkeypatch):
-    def down(table, pending, target):
-        raise OSError("no reply")
 
-    monkeypatch.setattr(st.VersionedTable, "_rename", down)
-    table = st.VersionedTable(spark, str(tmp_path))
-    staged = table.stage(latest_table(spark, [("a", "J", uid(1), NOW)]))
-    with pytest.raises(OSError):
-        table.commit(staged, {}, None)
-    assert table.current() is None and (tmp_path / staged).exists()
+def test_refresh_run_twice_changes_nothing(spark, tmp_path):
+    root = str(tmp_path)
+    done = [st.refresh_latest(spark, one(job, n)(spark), root, NOW).jobs for _ in range(2) for n, job in enumerate("JK", 1)]
+    assert done == [1, 2, 2, 2]
+    assert ids(st.read_latest(spark, root)) == {"J": uid(1), "K": uid(2)}
 
 
-def test_unreadable_state_is_reported(spark, tmp_path):
-    (tmp_path / "latest" / "commits").mkdir(parents=True)
-    (tmp_path / "latest" / "commits" / "000000000001.json").write_text("{")
-    got = st.refresh(spark, lambda since: run_table(spark, logs(("J", 1, timedelta(0)))), str(tmp_path), NOW)
+def test_unreadable_state_is_reported(spark, tmp_path, monkeypatch):
+    def down(*_):
+        raise OSError("no reply")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(state_module, "_generation", down)
+        got = st.refresh(spark, one("J", 1)(spark), str(tmp_path), NOW)
     assert got.error and got.phase is None and got.health_error is None
     assert st.read_health(spark, str(tmp_path)).count() == 1
 
 
-def test_two_health_writers(spark, tmp_path, monkeypatch):
-    root, calls, stage = str(tmp_path), [], st.VersionedTable.stage
-    source = lambda since: run_table(spark, logs(("J", 1, timedelta(0))))
-
-    def slow_stage(table, df):
-        staged = stage(table, df)
-        calls.append(staged)
-        if len(calls) == 2:
-            st.refresh_health(spark, source, root, NOW)
-        return staged
-
-    monkeypatch.setattr(st.VersionedTable, "stage", slow_stage)
-    st.refresh_health(spark, source, root, NOW)
+def test_the_later_health_window_stays(spark, tmp_path):
+    root = str(tmp_path)
+    st.refresh_health(spark, one("J", 1)(spark), root, NOW)
+    st.refresh_health(spark, lambda since: run_table(spark, []), root, NOW - timedelta(hours=1))
     assert st.read_health(spark, root).count() == 1
+    st.refresh_health(spark, lambda since: run_table(spark, []), root, NOW + timedelta(hours=1))
+    assert st.read_health(spark, root).count() == 0
 
 
-def test_object_stores_are_refused(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(versions, "OBJECT_STORES", {"file"})
-    with pytest.raises(ValueError):
-        st.VersionedTable(spark, str(tmp_path))
-
+@pytest.mark.parametrize("after", [timedelta(0), timedelta(seconds=1), -timedelta(seconds=1)])
+@pytest.mark.parametrize("first", [True, False])
+def test_concurrent_writers_lose_nothing(spark, tmp_path, monkeypatch, after, first):
+    """Another refresh begins and ends between this one's read and its write, as first scan or as tick."""
+    root, write, calls = str(tmp_path), state_module.add_rows, []
+    whole = lambda since: run_table(spark, logs(("J", 1, timedelta(0)), ("K", 2, timedelta(0))))
+    start = NOW if first else NOW + timedelta(minutes=1)
+    if not first:
+        st.refresh_latest(spark, one("OLD", 3, DAY)(spark), root, NOW)
 
-def test_concurrent_writers_lose_nothing(spark, tmp_path, monkeypatch):
-    """Another refresh commits between this one's read and its commit."""
-    root = str(tmp_path)
-    mine = lambda since: run_table(spark, logs(("J", 1, timedelta(0))))
-    other = lambda since: run_table(spark, logs(("K", 2, timedelta(0))))
-    stage, calls = st.VersionedTable.stage, []
-
-    def slow_stage(table, df):
-        staged = stage(table, df)
-        calls.append(staged)
-        if len(calls) == 2:
-            st.refresh_latest(spark, other, root, NOW)
-        return staged
-
-    scanned = spark.sparkContext.accumulator(0)
-    count = F.udf(lambda text: scanned.add(1) or text)
-    mine_counted = lambda since: mine(since).withColumn("verbose_log", count("verbose_log"))
+    def slow(*args, **kwargs):
+        calls.append(args)
+        if len(calls) == 1:
+            st.refresh_latest(spark, whole if first else one("K", 2)(spark), root, start + after)
+        write(*args, **kwargs)
 
-    monkeypatch.setattr(st.VersionedTable, "stage", slow_stage)
-    assert st.refresh_latest(spark, mine_counted, root, NOW).jobs == 2
-    assert set(ids(st.read_latest(spark, root))) == {"J", "K"}
-    assert len(calls) == 5 and scanned.value == 1  # the merge was done again, the scan was not
+    monkeypatch.setattr(state_module, "add_rows", slow)
+    assert st.refresh_latest(spark, whole if first else one("J", 1)(spark), root, start).jobs == (2 if first else 3)
+    assert set(ids(st.read_latest(spark, root))) == ({"J", "K"} if first else {"J", "K", "OLD"})
 
 
 def stored(spark, tmp_path, rows, files=4):
@@ -272,9 +223,37 @@ def test_streams_equal_batch(spark, tmp_path):
     assert full.phase == "bootstrap"
     assert sorted(map(tuple, st.read_latest(spark, str(tmp_path / "state")).collect())) == want
 
-    writer = st.stream_latest_runs(stream).writeStream.outputMode("complete").format("memory").queryName("drained")
+    last = {}
+
+    def keep(batch, batch_id):
+        last.update({(r.app_name, r.job): tuple(r)[:-1] for r in batch.collect() if not r.evicted})
+
+    writer = st.stream_latest_runs(stream).writeStream.outputMode("update").foreachBatch(keep)
     writer.option("checkpointLocation", str(tmp_path / "p2")).trigger(availableNow=True).start().awaitTermination()
-    assert sorted(map(tuple, spark.table("drained").collect())) == want
+    assert sorted(last.values()) == want
+
+
+def test_dormant_jobs_leave_the_stream(spark, tmp_path):
+    """Four appended slices: late rows count while they are young enough, and a job without news is told to go."""
+    path, told = str(tmp_path / "logs"), []
+
+    def feed(*runs):
+        run_table(spark, logs(*runs)).write.mode("append").partitionBy("month").parquet(path)
+        told.clear()
+        stream = st.stream_latest_runs(src.stream_run_logs(spark, path), retention=5 * DAY)
+        keep = lambda batch, _id: told.extend(tuple(r) for r in batch.select("job", "run_id", "evicted").collect())
+        writer = stream.writeStream.outputMode("update").foreachBatch(keep)
+        writer.option("checkpointLocation", str(tmp_path / "p")).trigger(availableNow=True).start().awaitTermination()
+        return sorted(told)
+
+    assert feed(("A", 1, 20 * DAY), ("B", 2, 19 * DAY), ("B", 3, 18 * DAY)) == [("A", uid(1), False), ("B", uid(3), False)]
+    # Two days late, and older than what is known of B; a job that is new, though its row is late.
+    assert feed(("B", 4, 20 * DAY), ("C", 5, 20 * DAY), ("A", 6, 16 * DAY)) == [("A", uid(6), False), ("C", uid(5), False)]
+    got = feed(("D", 7, 12 * DAY))
+    assert ("D", uid(7), False) in got and ("B", uid(3), True) in got and ("C", uid(5), True) in got
+    # Too late for the state; B comes back as a new job.
+    got = feed(("C", 8, 18 * DAY), ("B", 9, 12 * DAY), ("A", 10, 16 * DAY))
+    assert got == [("A", uid(10), False), ("B", uid(9), False)]
 
 
 def test_stream_goes_on_where_it_stopped(spark, tmp_path):
@@ -317,6 +296,32 @@ def test_stream_health(spark, tmp_path):
     assert sorted(map(tuple, st.read_health(spark, root).collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_panes_equal_the_scan(spark, tmp_path):
+    path = str(tmp_path / "panes")
+    table = run_table(spark, stream_rows()).cache()
+    for n in range(3):
+        some = table.where(F.crc32(F.col("run_id").cast("binary")) % 3 == n)
+        for _ in range(2):  # a micro-batch that is run again
+            st.add_panes(some, path, n)
+    for since in (NOW - DAY, NOW - DAY + timedelta(seconds=17), NOW - timedelta(hours=49, minutes=59, microseconds=1), NOW + DAY,
+                  stream_rows()[7][2], stream_rows()[7][2] - timedelta(microseconds=1)):
+        got = st.sliding_health(st.read_panes(spark, path, since), table, since)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, op.app_health(table, since).collect()))
+
+
+def test_window_reads_one_minute_and_its_days(spark, tmp_path):
+    path, root = str(tmp_path / "logs"), str(tmp_path / "panes")
+    rows = [run_row("a", uid(i), NOW - timedelta(hours=i), log_of("J"), []) for i in range(96)]
+    src.write_days(run_table(spark, rows).drop("month", "day"), path)
+    st.add_panes(run_table(spark, rows), root, 0)
+    since = NOW - DAY
+    panes, raw = st.read_panes(spark, root, since), src.read_run_logs(spark, path, since)
+    assert {f.split("day=")[1][:10] for f in panes.inputFiles()} == {"2026-06-24", "2026-06-25"}
+    assert st.sliding_health(panes, raw, since).head()["runs"] == 24
+    plan = plan_of(st.sliding_health(panes, raw, since))
+    assert "(day" in plan and "2026-06-24" in plan and "2026-06-24T12:01" in plan.replace(" ", "T")
+
+
 METRICS = (NOW, 23, 0, 42, None)
 
 
