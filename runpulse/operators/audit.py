@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,9 +54,46 @@ def _canonical(col: Column) -> Column:
 
 
 def _not_within(part: Column, whole: Column) -> Column:
-    """Does ``part`` hold an element more often than ``whole``? Counting is left to repeated elements."""
-    times = lambda texts, text: F.size(F.filter(texts, lambda t: t == text))
-    kinds = F.array_distinct(part)
-    repeated = F.size(kinds) < F.size(part)
-    more = F.exists(kinds, lambda text: times(part, text) > times(whole, text))
-    return (F.size(F.array_except(part, whole)) > 0) | (repeated & more)
+    """Does ``part`` hold an element more often than ``whole``? Sorting both is the most that it takes.
+
+    Each side becomes its distinct elements with their counts. Sorted together, an element of ``part`` stands
+    right before the same one of ``whole``, if there is one.
+    """
+
+    def more(both: Column) -> Column:
+        def lacking(i: Column) -> Column:
+            here, there = F.element_at(both, i), F.try_element_at(both, i + 1)
+            found = (there["text"] == here["text"]) & (there["times"] >= here["times"])
+            return (here["side"] == 0) & ~F.coalesce(found, F.lit(False))
+
+        return F.exists(F.sequence(F.lit(1), F.size(both)), lacking)
+
+    return _bound(F.array_sort(F.concat(_counted(part, 0), _counted(whole, 1))), more)
+
+
+def _counted(texts: Column, side: int) -> Column:
+    """The distinct elements as ``struct<text, side, times>``."""
+
+    def runs(ordered: Column) -> Column:
+        size = F.size(ordered)
+        first = F.filter(
+            F.sequence(F.lit(1), size), lambda i: (i == 1) | (F.element_at(ordered, i) != F.element_at(ordered, F.greatest(i - 1, F.lit(1))))
+        )
+
+        def lengths(starts: Column) -> Column:
+            # The index of a lambda counts from 0: the next start is at that index plus 2.
+            def one(start: Column, i: Column) -> Column:
+                end = F.coalesce(F.try_element_at(starts, i + 2), size + 1)
+                return F.struct(F.element_at(ordered, start).alias("text"), F.lit(side).alias("side"), (end - start).alias("times"))
+
+            return F.transform(starts, one)
+
+        return _bound(first, lengths)
+
+    none = F.array().cast("array<struct<text: string, side: int, times: int>>")
+    return F.when(F.size(texts) > 0, _bound(F.array_sort(texts), runs)).otherwise(none)
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once: a lambda computes what it refers to again for every element."""
+    return F.transform(F.array(value), use)[0]

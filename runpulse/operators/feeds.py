@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import datetime, timedelta
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from runpulse.functions.events import (
@@ -18,7 +18,8 @@ from runpulse.functions.events import (
     status_from,
 )
 from runpulse.functions.instants import instant, iso_micros, safe_ts
-from runpulse.functions.months import within_days
+from runpulse.functions.months import day_label, day_of, within_days
+from runpulse.operators.ordering import with_position
 from runpulse.params import FEED_LIMIT, PAGE_LIMIT, as_instant, require_uuid, row_limit, status_filter
 
 # A run is stored after its last event, and no run takes longer than this.
@@ -43,6 +44,32 @@ def error_feed(runs: DataFrame, now: datetime | str, lookback_days: int = 2, lim
     return newest.limit(row_limit(limit)).drop("_pos")
 
 
+def feed_parts(runs: DataFrame) -> DataFrame:
+    """Per UTC day of ``inserted_at`` and hour of ``dt``: the WARN/ERROR ``events``; a null hour has those without an instant."""
+    dts = F.explode(event_fields(F.col("warn_error_logs"), "dt")["dt"]).alias("dt")
+    hour = F.date_trunc("hour", safe_ts(F.col("dt"))).alias("hour")
+    return runs.select(day_of(F.col("inserted_at")).alias("day"), dts).groupBy("day", hour).agg(F.count("*").alias("events"))
+
+
+def feed_days(parts: DataFrame, now: datetime | str, lookback_days: int = 2, limit: int = FEED_LIMIT) -> list[str]:
+    """The days whose runs can hold any of ``error_feed``'s events, from ``feed_parts``; all others need no reading.
+
+    Whole days inside the window tell an hour from which on there are ``limit`` events. A day matters if it
+    has an event of that hour or later, or one without an instant, which sorts first.
+    """
+    first = day_label(as_instant(now) - timedelta(days=lookback_days))
+    known = parts.where(F.col("day") >= first)
+    # The window starts inside its first day, so that day's counts promise nothing.
+    hours = known.where((F.col("day") > first) & F.col("hour").isNotNull()).groupBy("hour").agg(F.sum("events").alias("n"))
+    # An hour per row, however many runs there are.
+    newer = F.sum("n").over(Window.orderBy(F.desc("hour")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    enough = hours.withColumn("newer", newer).where(F.col("newer") >= row_limit(limit)).agg(F.max("hour").cast("timestamp_ntz"))
+    cutoff = enough.head()[0]
+    if cutoff is not None:
+        known = known.where(F.col("hour").isNull() | (F.col("hour") >= instant(cutoff)))
+    return sorted(row["day"] for row in known.select("day").distinct().collect())
+
+
 def run_by_id(
     runs: DataFrame,
     run_id: str,
@@ -141,8 +168,35 @@ def app_runs_page(
         runs = within_days(runs, until=before).where(F.col("inserted_at") <= instant(before))
         position = F.struct("inserted_at", F.lower("run_id").alias("run_id"))
         runs = runs.where(position < F.struct(instant(before).alias("inserted_at"), F.lit(before_id).alias("run_id")))
-    newest = app_runs(runs, app, since, status).orderBy(F.desc("inserted_at"), F.lower("run_id").desc())
-    return newest.limit(row_limit(limit))
+    return app_runs(runs, app, since, status).orderBy(*_newest_first()).limit(row_limit(limit))
+
+
+def _newest_first() -> list[Column]:
+    return [F.desc("inserted_at"), F.lower("run_id").desc()]
+
+
+def app_runs_pages(
+    runs: DataFrame, app: str, since: datetime | str, limit: int = PAGE_LIMIT, status: str = "all"
+) -> DataFrame:
+    """Every page of ``app_runs_page`` at once: its rows with ``page`` and ``place`` in it, both from 1.
+
+    The pages are cut from one range-partitioned order, so no page waits for the one before.
+    """
+    rows = row_limit(limit)
+    placed = with_position(app_runs(runs, app, since, status), _newest_first(), "_pos")
+    at = F.col("_pos") - 1
+    page, place = F.floor(at / rows) + 1, at % rows + 1
+    return placed.select("*", page.alias("page"), place.alias("place")).drop("_pos")
+
+
+def page_cursors(pages: DataFrame, limit: int = PAGE_LIMIT) -> DataFrame:
+    """Per page of ``app_runs_pages``: ``runs`` in it, and the cursor of the next one; null after a page that is not full."""
+    last = lambda name: F.max_by(name, "place")
+    found = pages.groupBy("page").agg(
+        F.count("*").alias("runs"), last("inserted_at_iso").alias("_at"), last("run_id").alias("_id")
+    )
+    full = F.col("runs") == row_limit(limit)
+    return found.select("page", "runs", F.when(full, F.col("_at")).alias("next_at"), F.when(full, F.col("_id")).alias("next_id"))
 
 
 class Page(NamedTuple):

@@ -326,6 +326,12 @@ ORACLE: dict[str, str] = {
     "error_feed": _feed(2, 100),
     "error_feed_week": _feed(7, 500),
     "error_feed_month": _feed(31, 1000),
+    "error_feed_by_days": _feed(31, 300),
+    "feed_parts": f"""WITH {RUNS} SELECT strftime(r.inserted_at, '%Y-%m-%d') AS day, date_trunc('hour', e.ts) AS hour, count(*) AS events
+      FROM ev e JOIN runs r USING (run_id) WHERE e.type IN ('ERROR', 'WARN') GROUP BY ALL""",
+    "run_by_index": f"""WITH {EVENTS}, {DOCUMENTS}
+      SELECT app_name, run_id, inserted_at, verbose_log FROM docs WHERE run_id = {RUN_7}""",
+    "run_index": f"WITH {RUNS} SELECT run_id, inserted_at, substr(md5(run_id), 1, 2) AS bucket FROM runs",
     "run_by_id": f"""WITH {EVENTS}, {DOCUMENTS}
       SELECT app_name, run_id, inserted_at, verbose_log FROM docs WHERE run_id = {RUN_7}""",
     "run_by_id_hinted": f"""WITH {EVENTS}, {DOCUMENTS}
@@ -340,6 +346,17 @@ ORACLE: dict[str, str] = {
     "app_runs_error_page": _page("LIMIT 200", where="errored"),
     "app_runs_issue_page": _page("LIMIT 200", where="(errored OR warned)"),
     "app_runs_pages_to_the_end": _page(""),
+    "app_runs_pages": f"""WITH {RUNS}, placed AS (
+        SELECT *, row_number() OVER (ORDER BY inserted_at DESC, run_id DESC) - 1 AS nth FROM runs
+        WHERE app_name = 'app_1' AND inserted_at > {RETENTION_START} AND (errored OR warned))
+      SELECT nth // 50 + 1 AS page, nth % 50 + 1 AS place, run_id, inserted_at, status, issue_count FROM placed""",
+    "app_runs_page_cursors": f"""WITH {RUNS}, placed AS (
+        SELECT *, (row_number() OVER (ORDER BY inserted_at DESC, run_id DESC) - 1) // 50 + 1 AS page FROM runs
+        WHERE app_name = 'app_1' AND inserted_at > {RETENTION_START})
+      SELECT page, count(*) AS runs,
+        CASE WHEN count(*) = 50 THEN strftime(min(inserted_at), '%Y-%m-%dT%H:%M:%S.%fZ') END AS next_at,
+        CASE WHEN count(*) = 50 THEN arg_min(run_id, (inserted_at, run_id)) END AS next_id
+      FROM placed GROUP BY page""",
     "app_runs_upper_case_pages": f"""WITH {RUNS} SELECT upper(run_id) AS run_id, inserted_at, status, issue_count FROM runs
       WHERE app_name = 'app_1' AND inserted_at > {RETENTION_START}""",
     "run_by_first_event": f"""WITH {EVENTS}, {DOCUMENTS}
@@ -349,6 +366,7 @@ ORACLE: dict[str, str] = {
     "health_label": f"""WITH {RUNS}, {HEALTH} SELECT app_name, '24h: ' || errored || '/' || runs || ' err' ||
       CASE WHEN warned > 0 THEN ' · ' || warned || ' warn' ELSE '' END AS label FROM health""",
     "cadence_profile": f"WITH {RUNS}, {PROFILE} SELECT * FROM profile",
+    "cadence_of_parts": f"WITH {RUNS}, {PROFILE} SELECT * FROM profile",
     "budget_audit": f"""WITH {RUNS}, {PROFILE}, budgets AS (
         SELECT *, CAST(CASE WHEN job = '(default)' THEN 30 WHEN job <> 'JOB_1' THEN 45 END AS DOUBLE) AS budget_min FROM profile)
       SELECT app_name, job, max_gap_min, budget_min, round(budget_min / (max_gap_us / 60000000.0), 2) AS budget_ratio,
@@ -360,6 +378,8 @@ ORACLE: dict[str, str] = {
       count(*) AS total FROM panel GROUP BY source""",
     "acquisition_systems": f"""WITH {ACQUISITIONS} SELECT *, row_number() OVER (
       ORDER BY failed DESC, runs DESC, system_id, data_source) AS pos FROM systems""",
+    "acquisition_systems_of_parts": f"""WITH {ACQUISITIONS} SELECT *, row_number() OVER (
+      ORDER BY failed DESC, runs DESC, system_id, data_source) AS pos FROM systems""",
     "acquisition_by_source": f"""WITH {ACQUISITIONS} SELECT data_source, count(*) AS systems,
       CAST(sum(runs) AS BIGINT) AS runs, CAST(sum(failed) AS BIGINT) AS failed FROM systems GROUP BY data_source""",
     "merge_latest": LATEST,
@@ -388,7 +408,16 @@ ORACLE: dict[str, str] = {
     "refresh_health": HEALTH_SQL,
     "maintain_latest": LATEST,
     "stream_latest_runs": LATEST,
+    "stream_latest_expiring": f"""WITH {RUNS},
+      seen AS (SELECT * FROM runs WHERE NOT (app_name = 'app_3' AND inserted_at >= TIMESTAMP '2024-01-20 00:00:00')),
+      newest AS (SELECT * FROM seen QUALIFY row_number() OVER (PARTITION BY app_name, job ORDER BY inserted_at DESC, run_id DESC) = 1)
+      SELECT {SUMMARY} FROM newest WHERE inserted_at >= (SELECT max(inserted_at) - INTERVAL 5 DAY FROM seen)""",
     "stream_health": HEALTH_SQL,
+    "stream_health_panes": f"""WITH {RUNS}, ticks(tick) AS (
+        VALUES (TIMESTAMP '2024-01-12 09:30:17'), (TIMESTAMP '2024-01-20 18:00:00.000001'), ({NOW}))
+      SELECT tick, app_name, count(*) AS runs, count(*) FILTER (WHERE errored) AS errored, count(*) FILTER (WHERE warned) AS warned
+      FROM ticks JOIN runs ON inserted_at > tick - INTERVAL 24 HOUR AND (inserted_at < tick OR tick = {NOW})
+      GROUP BY tick, app_name""",
     "heartbeat_run": f"""WITH {GRID}, beat AS (
         SELECT {_uuid("'beat'")} AS run_id, count(*) AS jobs, count(*) - count(budget_ms) AS unknown FROM grid),
       head AS (SELECT *, '{{"run_id":"' || run_id || '","dt":"2024-01-31T00:00:00.000Z","type":' AS h FROM beat),

@@ -347,6 +347,23 @@ def error_feed_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.error_feed(bridge.run_logs(spark, sf_dir), NOW, lookback_days=31, limit=1000)
 
 
+def _feed_by_days(spark: SparkSession, sf_dir: str, lookback_days: int, limit: int) -> DataFrame:
+    path, parts = _stored_logs(spark, sf_dir), scratch_path(spark, "feed-parts")
+    src.store_feed_parts(bridge.run_logs(spark, sf_dir), parts)
+    return src.error_feed_by_days(spark, path, parts, NOW, lookback_days, limit)
+
+
+@query
+def error_feed_by_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A month's window, of which only the newest days are read."""
+    return _feed_by_days(spark, sf_dir, 31, 300)
+
+
+@query
+def feed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.feed_parts(bridge.run_logs(spark, sf_dir))
+
+
 @query
 def run_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.run_by_id(bridge.run_logs(spark, sf_dir), RUN_ID)
@@ -360,6 +377,22 @@ def run_by_id_hinted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.run_by_id(runs, RUN_ID, found[0] if found else f"{RUN_DAY}T00:00:00Z")
 
 
+@query
+def run_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No hint: the index of run ids names the day."""
+    path, index = _stored_logs(spark, sf_dir), scratch_path(spark, "run-index")
+    src.append_run_index(bridge.run_logs(spark, sf_dir), index)
+    return src.run_by_index(spark, path, index, RUN_ID.upper())
+
+
+@query
+def run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every run is stored, by bucket."""
+    index = scratch_path(spark, "run-index")
+    src.append_run_index(bridge.run_logs(spark, sf_dir), index)
+    return spark.read.parquet(index)
+
+
 @query
 def run_by_first_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run of hours, stored under an upper-case id, by the lower-case id and the time of its first event."""
@@ -391,26 +424,27 @@ def app_runs_next_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.app_runs_page(runs, APP, RETENTION_START, limit=50, cursor=first.cursor)
 
 
-def _all_pages(runs: DataFrame, limit: int) -> DataFrame:
-    """Page after page by the cursor, until there is none."""
-    pages, cursor = [], None
-    while not pages or cursor:
-        page = op.app_runs_page(runs, APP, RETENTION_START, limit, cursor)
-        pages.append(page)
-        cursor = op.fetch_page(page, limit).cursor
-    return reduce(DataFrame.unionByName, pages)
-
-
 @query
 def app_runs_pages_to_the_end(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _all_pages(bridge.run_logs(spark, sf_dir), 600)
+    return op.app_runs_pages(bridge.run_logs(spark, sf_dir), APP, RETENTION_START, 600).drop("page", "place")
 
 
 @query
 def app_runs_upper_case_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids stored in upper case, half of the runs at one instant with others."""
     runs = bridge.run_logs(spark, sf_dir).withColumn("run_id", F.upper("run_id"))
-    return _all_pages(runs, 300).drop("inserted_at_iso")
+    return op.app_runs_pages(runs, APP, RETENTION_START, 300).drop("inserted_at_iso", "page", "place")
+
+
+@query
+def app_runs_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = op.app_runs_pages(bridge.run_logs(spark, sf_dir), APP, RETENTION_START, 50, "issues")
+    return pages.select("page", "place", "run_id", "inserted_at", "status", "issue_count")
+
+
+@query
+def app_runs_page_cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.page_cursors(op.app_runs_pages(bridge.run_logs(spark, sf_dir), APP, RETENTION_START, 50), 50)
 
 
 @query
@@ -447,6 +481,16 @@ def cadence_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.cadence_profile(bridge.run_logs(spark, sf_dir), NOW)
 
 
+@query
+def cadence_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile from parts per day, stored in two goes."""
+    path, runs = scratch_path(spark, "cadence-parts"), bridge.run_logs(spark, sf_dir)
+    for days in (F.col("inserted_at") < fn.instant(SPLIT), F.col("inserted_at") >= fn.instant(SPLIT)):
+        src.store_cadence_parts(runs.where(days), path)
+    since = NOW - timedelta(days=7)
+    return op.cadence_of_parts(src.read_cadence_parts(spark, path, since), runs, NOW)
+
+
 @query
 def budget_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     profile = op.cadence_profile(bridge.run_logs(spark, sf_dir), NOW)
@@ -480,6 +524,15 @@ def acquisition_systems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.acquisition_systems(bridge.acquisitions(spark, sf_dir), ACQUISITIONS_SINCE, position="pos")
 
 
+@query
+def acquisition_systems_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from parts per day, with the window starting in the middle of one."""
+    path, acq = scratch_path(spark, "acquisition-parts"), bridge.acquisitions(spark, sf_dir)
+    src.store_acquisition_parts(acq, path)
+    parts = src.read_acquisition_parts(spark, path, ACQUISITIONS_SINCE)
+    return op.systems_of_parts(parts, acq, ACQUISITIONS_SINCE, position="pos")
+
+
 @query
 def acquisition_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.acquisition_by_source(op.acquisition_systems(bridge.acquisitions(spark, sf_dir), ACQUISITIONS_SINCE))
@@ -585,7 +638,33 @@ def stream_latest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     progress = scratch_path(spark, "progress")
     writer.option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
     last = op.latest_of(spark.read.parquet(out), F.desc("batch"))
-    return last.drop("batch")
+    return last.where("NOT evicted").drop("batch", "evicted")
+
+
+@query
+def stream_latest_expiring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three appended slices through the stateful form with five days of retention.
+
+    Of the first slice one application comes late, with the second; another has no runs in the third, and so leaves
+    the state. What is left must be what the batch form finds in all runs, evicted against the newest.
+    """
+    path, out = scratch_path(spark, "run-logs"), scratch_path(spark, "updates")
+    progress, runs = scratch_path(spark, "progress"), bridge.run_logs(spark, sf_dir)
+    at, app = F.col("inserted_at"), F.col("app_name")
+    first, second = at < fn.instant("2024-01-12"), at < fn.instant("2024-01-20")
+    slices = [first & (app != "app_2"), (second & ~first) | (first & (app == "app_2")), ~second & (app != "app_3")]
+    for number, rows in enumerate(slices):
+        src.write_days(runs.where(rows).repartitionByRange("inserted_at").drop("month", "day"), path)
+        updates = st.stream_latest_runs(src.stream_run_logs(spark, path), timedelta(days=5))
+
+        def keep(batch: DataFrame, batch_id: int, number: int = number) -> None:
+            told = batch.withColumns({"slice": F.lit(number), "batch": F.lit(batch_id)})
+            told.write.mode("append").parquet(out)
+
+        writer = updates.writeStream.outputMode("update").foreachBatch(keep)
+        writer.option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+    last = op.latest_of(spark.read.parquet(out), F.desc("batch"))
+    return last.where("NOT evicted").drop("slice", "batch", "evicted")
 
 
 @query
@@ -597,6 +676,24 @@ def stream_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.read_health(spark, root)
 
 
+@query
+def stream_health_panes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The published health after each of three slices of runs, with the window ending at odd instants."""
+    path, root, progress = (scratch_path(spark, name) for name in ("run-logs", "state", "progress"))
+    runs, ticks = bridge.run_logs(spark, sf_dir), []
+    config = st.RefreshConfig(keep=timedelta(days=365))
+    bounds = [as_instant(t) for t in ("2024-01-01", "2024-01-12T09:30:17", "2024-01-20T18:00:00.000001", "2024-02-01")]
+    for since, until in zip(bounds, bounds[1:]):
+        some = runs.where((F.col("inserted_at") >= fn.instant(since)) & (F.col("inserted_at") < fn.instant(until)))
+        src.write_days(some.repartitionByRange("inserted_at").drop("month", "day"), path)
+        now = min(until, NOW)
+        stream = src.stream_run_logs(spark, path)
+        writer = stream_app_health(stream, _source(spark, path), root, progress, lambda now=now: now, config)
+        writer.trigger(availableNow=True).start().awaitTermination()
+        ticks.append(st.read_health(spark, root).withColumn("tick", fn.instant(now)))
+    return reduce(DataFrame.unionByName, ticks)
+
+
 @query
 def heartbeat_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A beat about the grid, after a refresh that failed."""
