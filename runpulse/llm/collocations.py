@@ -1,6 +1,6 @@
 """Phrase collocations by an FM-index per shard over word ids.
 
-1. Each task numbers the words of its documents and cuts them into shards of some hundred thousand words.
+1. Each task numbers the words of its documents and cuts them into shards of about a million words.
 2. Words are summed over shards; those found often enough get a number of their own, rare ones end a piece.
 3. Each shard is indexed both ways: the Burrows-Wheeler transforms of its words and of its words reversed, sorted as
    deep as the longest phrase. A phrase is a pair of intervals, one in each. A word put in front narrows the first by
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from runpulse.llm.common import discard, pick, running_totals, slices, store, texts_of
 
 #: Words of a shard; a document that goes beyond it ends its shard. An index takes some 60 bytes a word while it is built.
-SHARD_WORDS = 500_000
+SHARD_WORDS = 1_000_000
 #: Places of an index that are worked on at a time.
 BLOCK_PLACES = 1 << 18
 #: Bits of the bitmap that every task gets, 8 MB.
@@ -44,16 +44,16 @@ _INDEX = "shard long, symbols binary, bwt binary, reverse_bwt binary"
 
 
 class _Numbers(dict):
-    """Word to number, from 1, over all languages of a shard."""
+    """Word of one language to number, from 1; all languages of a shard share its lists."""
 
-    def __init__(self, shard: _Shard, lang: str):
-        self.shard, self.lang = shard, lang
+    def __init__(self, lang: str, langs: list[str], words: list[bytes]):
+        self.lang, self.langs, self.words = lang, langs, words
         self[_BREAK] = 0
 
     def __missing__(self, word: bytes) -> int:
-        self.shard.langs.append(self.lang)
-        self.shard.words.append(word)
-        number = self[word] = len(self.shard.words)
+        self.langs.append(self.lang)
+        self.words.append(word)
+        number = self[word] = len(self.words)
         return number
 
 
@@ -68,7 +68,7 @@ class _Shard:
         self.size = 0
 
     def add(self, lang: str, raw: bytes) -> None:
-        numbers = self.numbers.get(lang) or self.numbers.setdefault(lang, _Numbers(self, lang))
+        numbers = self.numbers.get(lang) or self.numbers.setdefault(lang, _Numbers(lang, self.langs, self.words))
         # Of all white space only blanks and tabs are left to split at.
         words = raw.lower().translate(_MARKS).replace(_BREAK, b" . ").split()
         found = np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
@@ -211,22 +211,21 @@ def slots(words: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _phrases(
-    index: FmIndex, symbols: np.ndarray, length: int, bitmaps: dict[int, np.ndarray], bits: int
+    index: FmIndex, symbols: np.ndarray, length: int, bitmaps: dict[int, np.ndarray], bits: int, shorter: Intervals | None = None
 ) -> Iterator[Intervals]:
     """All phrases of ``length`` words whose parts one word shorter may be frequent, in blocks; words by shard number."""
-
-    def grow(found: Intervals, size: int) -> Iterator[Intervals]:
-        for block in _blocks(found):
-            longer = index.extended(block, front=size % 2 == 0)
-            if size < length:
-                yield from grow(_passing(longer, symbols, bitmaps[size], bits, (slice(None),)), size + 1)
-            elif size == 2:
-                yield longer
-            else:
-                # The part that was extended is in the bitmap; the other one must be as well.
-                yield _passing(longer, symbols, bitmaps[size - 1], bits, (slice(1, None), slice(0, -1)))
-
-    yield from grow(index.words(), 2)
+    shorter = index.words() if shorter is None else shorter
+    size = shorter.words.shape[1] + 1
+    for block in _blocks(shorter):
+        longer = index.extended(block, front=size % 2 == 0)
+        if size < length:
+            passing = _passing(longer, symbols, bitmaps[size], bits, (slice(None),))
+            yield from _phrases(index, symbols, length, bitmaps, bits, passing)
+        elif size == 2:
+            yield longer
+        else:
+            # The part that was extended is in the bitmap; the other one must be as well.
+            yield _passing(longer, symbols, bitmaps[size - 1], bits, (slice(1, None), slice(0, -1)))
 
 
 def _blocks(found: Intervals) -> Iterator[Intervals]:
