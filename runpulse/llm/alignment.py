@@ -202,6 +202,8 @@ class Aligner:
             for number, piece in ((n, self.b.id_to_piece(n)) for n in range(self.width))
         ]
         self.a_sizes = {number: len(token) for number, token in self.a_bytes.items()}
+        self.a_texts = {number: b"%d" % number for number in self.a_bytes}
+        self.b_texts = [b"%d" % number for number in range(self.width)]
         self.b_sizes = [*map(len, self.b_bytes)]
         self.blank = self.b.piece_to_id("▁")
         self.kept = kept
@@ -221,46 +223,75 @@ class Aligner:
         coded_a = [code.ids for code in self.a.encode_batch_fast(texts, add_special_tokens=False)]
         # B puts a blank in front of a text by itself.
         coded_b = self.b.encode([t[1:] if t[0] == " " else t for t in texts], num_threads=1)
-        found = []
+        found, a_bytes, b_bytes, join = [], self.a_bytes.__getitem__, self.b_bytes.__getitem__, b"".join
         for unit, a, b in zip(units, coded_a, coded_b):
+            begun = True
             if unit[:1] != b" ":
-                b = b[1:] if b and b[0] == self.blank else [-1]
-            whole = b"".join(map(self.a_bytes.__getitem__, a)) == unit
-            whole = whole and min(b, default=-1) >= 0 and b"".join(map(self.b_bytes.__getitem__, b)) == unit
-            found.append((a, b, whole))
+                begun, b = b[:1] == [self.blank], b[1:]
+            found.append((a, b, begun and join(map(a_bytes, a)) == unit and join(map(b_bytes, b)) == unit))
         return found
 
     def _ends(self, a: Ids, b: Ids) -> tuple[Ids, Ids]:
         """The offset behind each token."""
         return [*accumulate(map(self.a_sizes.__getitem__, a))], [*accumulate(map(self.b_sizes.__getitem__, b))]
 
+    def _word(self, a: Ids, b: Ids) -> tuple[int, bytes, dict[int, int]]:
+        """Groups, their text and links of a whole word: ``cut_groups``, ``group_text`` and ``group_links`` in one pass."""
+        a_sizes, b_sizes, a_texts, b_texts, width = self.a_sizes, self.b_sizes, self.a_texts, self.b_texts, self.width
+        parts, links = [], {}
+        i = j = i0 = j0 = 0
+        # How much further A's tokens reach than B's.
+        ahead = a_sizes[a[0]] - b_sizes[b[0]]
+        while True:
+            if ahead > 0:
+                j += 1
+                ahead -= b_sizes[b[j]]
+                continue
+            if ahead < 0:
+                i += 1
+                ahead += a_sizes[a[i]]
+                continue
+            i, j = i + 1, j + 1
+            if i - i0 == j - j0 == 1:
+                x, y = a[i0], b[j0]
+                parts.append(a_texts[x] + b"|" + b_texts[y])
+                key = x * width + y
+                links[key] = links.get(key, 0) + 1
+            else:
+                parts.append(b",".join([a_texts[x] for x in a[i0:i]]) + b"|" + b",".join([b_texts[y] for y in b[j0:j]]))
+                for x in a[i0:i]:
+                    for y in b[j0:j]:
+                        key = x * width + y
+                        links[key] = links.get(key, 0) + 1
+            if i == len(a):
+                return len(parts), b";".join(parts), links
+            i0, j0 = i, j
+            ahead = a_sizes[a[i]] - b_sizes[b[j]]
+
     def _learn(self) -> None:
         units = self.units
         if not units.waiting:
             return
         words = [w[1:] if w[:1] == _ODD else w if w[:1] == b"\n" else b" " + w for w in units.waiting]
-        sizes, texts, pairs = [], [], []
+        sizes, texts, lengths, keys, links = [], [], [], [], []
         for a, b, whole in self.encode(words):
-            groups = []
-            if whole:
-                a_ends, b_ends = self._ends(a, b)
-                groups, _ = cut_groups(a, a_ends, b, b_ends)
-            sizes.append((len(a), len(b), len(groups), whole))
-            texts.append(b";".join(map(group_text, groups)))
-            pairs.append(group_links(groups, self.width))
-        to = units.known + len(words)
-        lengths = np.fromiter(map(len, pairs), np.int64, len(pairs))
-        at = self.used + int(lengths.sum())
+            n_groups, text, pairs = self._word(a, b) if whole else (0, b"", {})
+            sizes.append((len(a), len(b), n_groups, whole))
+            texts.append(text)
+            lengths.append(len(pairs))
+            keys += pairs
+            links += pairs.values()
+        to, at = units.known + len(words), self.used + len(keys)
         if to > len(self.sizes):
             self.sizes = np.concatenate([self.sizes, np.zeros((max(to, 2 * len(self.sizes)) - len(self.sizes), 4), np.int64)])
         self.start, self.length = _room(self.start, to), _room(self.length, to)
         self.keys, self.links = _room(self.keys, at), _room(self.links, at)
         self.sizes[units.known : to] = sizes
         self.texts += texts
-        self.start[units.known : to] = self.used + np.cumsum(lengths) - lengths
         self.length[units.known : to] = lengths
-        self.keys[self.used : at] = [key for links in pairs for key in links]
-        self.links[self.used : at] = [n for links in pairs for n in links.values()]
+        self.start[units.known : to] = self.used + np.cumsum(lengths) - lengths
+        self.keys[self.used : at] = keys
+        self.links[self.used : at] = links
         self.used, units.known, units.waiting = at, to, []
 
     def _numbers(self, raw: bytes) -> np.ndarray:
