@@ -12,6 +12,7 @@ from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -111,32 +112,32 @@ class Scanner:
                 if words[at - 1 : at] in (b"", b" ") and words[to : to + 1] in (b"", b" "):
                     found.append((at, label))
                 at = words.find(phrase, at + 1)
-        return [(words.count(b" ", 0, at), label) for at, label in found]
+        numbers = word_numbers(words, [at for at, _ in found])
+        return [(number, label) for number, (_, label) in zip(numbers, found)]
 
     def notices_in(self, words: bytes) -> list[Match]:
         """The notices in normalized ``words``: of overlapping finds of one notice the one with the fewest edits."""
-        found: dict[tuple[int, int], tuple[int, int, str]] = {}
+        hits: list[tuple[int, int, int, str]] = []
         for base in _windows(words):
             text = words[base : base + WINDOW + self.overlap].decode("utf-8", "replace")
-            spans: dict[int, list[list[int]]] = {}
+            # Where the seeds say that each notice starts.
+            starts: dict[int, list[int]] = {}
             for end, (length, where) in self.automaton.iter(text):
                 for number, place in where:
-                    _, notice, edits = self.notices[number]
-                    low = max(0, end + 1 - length - place - edits - 1)
-                    high = end + 1 - length - place + len(notice) + edits + 1
-                    merged = spans.setdefault(number, [])
-                    if merged and low <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], high)
-                    else:
-                        merged.append([low, high])
-            for number, merged in spans.items():
-                for low, high in merged:
-                    for hit in self.patterns[number].finditer(text, max(0, low), min(len(text), high)):
-                        start = base + len(text[: hit.start()].encode())
-                        key = (number, words.count(b" ", 0, start))
-                        edits = sum(hit.fuzzy_counts)
-                        if key not in found or edits < found[key][0]:
-                            found[key] = (edits, hit.group().count(" "), hit.group())
+                    starts.setdefault(number, []).append(end + 1 - length - place)
+            here = []
+            for number, places in starts.items():
+                _, notice, edits = self.notices[number]
+                for low, high in _nearby(places, edits):
+                    region = max(0, low - edits - 1), min(len(text), high + len(notice) + edits + 1)
+                    for hit in self.patterns[number].finditer(text, *region):
+                        here.append((number, hit.start(), sum(hit.fuzzy_counts), hit.group()))
+            ends = byte_offsets(text, [at for _, at, _, _ in here])
+            hits += [(number, base + at, edits, group) for at, (number, _, edits, group) in zip(ends, here)]
+        found: dict[tuple[int, int], tuple[int, int, str]] = {}
+        for first, (number, _, edits, group) in zip(word_numbers(words, [at for _, at, _, _ in hits]), hits):
+            if (number, first) not in found or edits < found[number, first][0]:
+                found[number, first] = (edits, group.count(" "), group)
         out: list[Match] = []
         for (number, first), (edits, more, text) in sorted(found.items()):
             label, notice, _ = self.notices[number]
@@ -171,6 +172,36 @@ class Scanner:
         }
 
 
+def _nearby(places: list[int], edits: int) -> list[tuple[int, int]]:
+    """Seeds of one occurrence name places at most ``edits`` apart to either side: first and last place of each such run.
+
+    Notices that stand side by side are further apart, so each gets a region of its own, as long as a notice.
+    """
+    runs: list[list[int]] = []
+    for place in sorted(places):
+        if runs and place - runs[-1][0] <= 2 * edits:
+            runs[-1][1] = place
+        else:
+            runs.append([place, place])
+    return [(low, high) for low, high in runs]
+
+
+def word_numbers(words: bytes, places: list[int]) -> list[int]:
+    """The number of the word that each byte of ``places`` is in; the text is read once for all."""
+    if not places:
+        return []
+    return np.searchsorted(np.flatnonzero(np.frombuffer(words, np.uint8) == 32), places).tolist()
+
+
+def byte_offsets(text: str, places: list[int]) -> list[int]:
+    """The UTF-8 offsets of characters; the text is read once for all."""
+    if not places or text.isascii():
+        return places
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    sizes = 1 + (points > 0x7F) + (points > 0x7FF).astype(np.int64) + (points > 0xFFFF)
+    return (np.cumsum(sizes) - sizes)[places].tolist()
+
+
 def _windows(words: bytes) -> list[int]:
     """Where the windows over ``words`` start: each at a word, or after ``WINDOW`` bytes without a space."""
     starts = [0]
