@@ -22,31 +22,38 @@ from runpulse.llm.common import hashed_sample, pick, slices, texts_of, utf8
 
 DIMENSIONS = 512
 SEED = 20
-#: Letters are told apart by so many symbols: a to z have one each, further letters share the rest by code point.
-SYMBOLS = 64
 #: Training rows per language at most: those with the smallest hash of their id.
 SAMPLE_PER_LANGUAGE = 2000
 #: Code points of one text that are bundled at a time.
 CHUNK = 500_000
 UNDETERMINED = "und"
+#: Bits of a code point; a trigram takes three times as many.
+_BITS = 21
 
 
 @lru_cache(maxsize=1)
 def _symbols() -> np.ndarray:
-    """Symbol of each code point: 0 for what is no letter, the same for both cases of a letter."""
-    table = np.zeros(0x110000, np.uint8)
+    """Symbol of each code point: 0 for what is no letter, else the code point of the letter in lower case."""
+    table = np.zeros(0x110000, np.uint32)
     for point in range(0x110000):
         if unicodedata.category(letter := chr(point))[0] == "L":
-            low = ord(letter.lower()[0])
-            table[point] = low - 96 if 97 <= low <= 122 else 27 + low % (SYMBOLS - 27)
+            table[point] = ord(letter.lower()[0])
     return table
 
 
-@lru_cache(maxsize=1)
-def _letters() -> np.ndarray:
-    """A random vector per symbol, rotated by 2, 1 and 0 places: shape (3, SYMBOLS, DIMENSIONS)."""
-    base = np.random.default_rng(SEED).choice(np.array([-1, 1], np.int8), (SYMBOLS, DIMENSIONS))
-    return np.stack([np.roll(base, 2 - place, axis=1) for place in range(3)])
+@lru_cache(maxsize=None)
+def _letter(symbol: int) -> np.ndarray:
+    """The random vector of a symbol, by its number alone: each letter of Unicode has its own."""
+    return np.random.default_rng([SEED, symbol]).choice(np.array([-1, 1], np.int8), DIMENSIONS)
+
+
+def _bound(trigrams: np.ndarray) -> np.ndarray:
+    """The vector of each trigram: its letters' vectors, rotated by 2, 1 and 0 places, multiplied."""
+    parts = [(trigrams >> np.uint64(shift * _BITS)) & np.uint64((1 << _BITS) - 1) for shift in (2, 1, 0)]
+    used, columns = np.unique(np.concatenate(parts), return_inverse=True)
+    base = np.stack([_letter(int(symbol)) for symbol in used])
+    a, b, c = np.split(columns, 3)
+    return np.roll(base, 2, axis=1)[a] * np.roll(base, 1, axis=1)[b] * base[c]
 
 
 def bundles(texts: list[bytes]) -> np.ndarray:
@@ -58,15 +65,15 @@ def bundles(texts: list[bytes]) -> np.ndarray:
     keys, owners, held = [], [], 0
     for at, raw in enumerate(texts):
         text = raw.decode("utf-8", "replace")
-        tail = np.zeros(1, np.uint8)
+        tail = np.zeros(1, np.uint32)
         for start in range(0, len(text), CHUNK):
             points = np.frombuffer(text[start : start + CHUNK].encode("utf-32-le", "surrogatepass"), np.uint32)
-            symbols = np.concatenate([tail, _symbols()[points], np.zeros(int(start + CHUNK >= len(text)), np.uint8)])
-            symbols = symbols[(symbols > 0) | (np.concatenate([[1], symbols[:-1]]) > 0)].astype(np.uint32)
-            trigrams = (symbols[:-2] * SYMBOLS + symbols[1:-1]) * SYMBOLS + symbols[2:]
+            symbols = np.concatenate([tail, _symbols()[points], np.zeros(int(start + CHUNK >= len(text)), np.uint32)])
+            symbols = symbols[(symbols > 0) | (np.concatenate([[1], symbols[:-1]]) > 0)].astype(np.uint64)
+            trigrams = symbols[:-2] << np.uint64(2 * _BITS) | symbols[1:-1] << np.uint64(_BITS) | symbols[2:]
             keys.append(trigrams)
             owners.append(np.full(len(trigrams), at, np.uint32))
-            tail = symbols[-2:].astype(np.uint8)
+            tail = symbols[-2:].astype(np.uint32)
             held += len(trigrams)
             if held >= CHUNK:
                 _bundle(out, keys, owners)
@@ -81,20 +88,17 @@ def _bundle(out: np.ndarray, keys: list[np.ndarray], owners: list[np.ndarray]) -
         return
     owner = np.concatenate(owners)
     first = owner[0]
-    both = np.sort(((owner - first).astype(np.uint64) << np.uint64(18)) | np.concatenate(keys))
+    trigrams, number = np.unique(np.concatenate(keys), return_inverse=True)
+    both = np.sort((owner - first).astype(np.int64) * len(trigrams) + number)
     edges = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
     counts = np.diff(np.concatenate([edges, [len(both)]])).astype(np.float32)
-    both = both[edges]
-    trigrams, column = np.unique((both & np.uint64((1 << 18) - 1)).astype(np.uint32), return_inverse=True)
-    row = (both >> np.uint64(18)).astype(np.int64)
-    a, b, c = _letters()
+    row, column = np.divmod(both[edges], len(trigrams))
     for at in range(0, int(row[-1]) + 1, 64):
         some = slice(*np.searchsorted(row, [at, at + 64]))
         used = np.unique(column[some])
         table = np.zeros((64, len(used)), np.float32)
         table[row[some] - at, np.searchsorted(used, column[some])] = counts[some]
-        grams = trigrams[used]
-        vectors = a[grams >> 12] * b[grams >> 6 & 63] * c[grams & 63]
+        vectors = _bound(trigrams[used])
         rows = min(64, len(out) - int(first) - at)
         out[int(first) + at : int(first) + at + rows] += (table @ vectors.astype(np.float32))[:rows]
 
@@ -129,8 +133,11 @@ def learn(
     bundles by language before anything is shuffled; what arrives here is one vector per language.
     """
     rows = pick(docs, doc_id, text, lang).toDF("doc_id", "text", "lang").where(F.col("lang").isNotNull() & usable)
-    ids = hashed_sample(rows.select("doc_id", "lang"), "lang", sample).distinct()
-    chosen = rows.join(ids, ["doc_id", "lang"], "left_semi").select("lang", utf8("text"))
+    key = F.xxhash64("doc_id")
+    ids = hashed_sample(rows.select("doc_id", "lang"), "lang", sample)
+    # One number per language tells its sample, far less than the prototypes that come to the driver: no text is shuffled.
+    last = ids.groupBy("lang").agg(F.max(key).alias("last"))
+    chosen = rows.join(F.broadcast(last), "lang").where(key <= F.col("last")).select("lang", utf8("text"))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}

@@ -30,13 +30,50 @@ def brute_bundle(text):
             gaps.append(int(symbols[ord(letter)]))
     if gaps[-1]:
         gaps.append(0)
-    a, b, c = language_id._letters().astype(int)
+    letter = lambda symbol, turn: np.roll(language_id._letter(symbol).astype(int), turn)
     out = np.zeros(language_id.DIMENSIONS)
     for x, y, z in zip(gaps, gaps[1:], gaps[2:]):
-        out += a[x] * b[y] * c[z]
+        out += letter(x, 2) * letter(y, 1) * letter(z, 0)
     return out
 
 
+def test_every_letter_has_its_own_vector():
+    letters = "abcxyz\u00e9\u03b1\u03b2\u03c9\u0430\u0431\u044f\u4e00\u4e8c\u65e5\u672c\u3042\u3044\uac00\ub098"
+    symbols = language_id._symbols()[[ord(c) for c in letters]]
+    assert len(set(symbols.tolist())) == len(letters) and symbols.min() > 0
+    vectors = np.stack([language_id._letter(int(s)) for s in symbols]).astype(int)
+    alike = vectors @ vectors.T / language_id.DIMENSIONS
+    assert np.abs(alike - np.eye(len(letters))).max() < 0.25
+    assert language_id._symbols()[ord("A")] == language_id._symbols()[ord("a")]
+
+
+def test_languages_of_other_scripts(spark):
+    """Greek beside Russian, Chinese beside Japanese, and two languages of one script that share no words."""
+    words = {
+        "el": "\u03b7 \u03b8\u03ac\u03bb\u03b1\u03c3\u03c3\u03b1 \u03ba\u03b1\u03b9 \u03c4\u03bf \u03c6\u03c9\u03c2 \u03c3\u03c4\u03bf \u03c0\u03b1\u03c1\u03ac\u03b8\u03c5\u03c1\u03bf",
+        "ru": "\u043c\u043e\u0440\u0435 \u0438 \u0441\u0432\u0435\u0442 \u0432 \u043e\u043a\u043d\u0435 \u0442\u0438\u0445\u043e \u0443\u0442\u0440\u043e \u0437\u0438\u043c\u0430",
+        "bg": "\u043c\u043e\u0440\u0435\u0442\u043e \u0435 \u0441\u0438\u043d\u044c\u043e \u043f\u0440\u043e\u0437\u043e\u0440\u0435\u0446\u044a\u0442 \u0433\u0440\u0430\u0434\u0438\u043d\u0430",
+        "zh": "\u5927\u6d77 \u548c \u7a97\u6237 \u7684 \u5149 \u65e9\u6668 \u51ac\u5929 \u82b1\u56ed",
+        "ja": "\u6d77 \u3068 \u7a93 \u306e \u5149 \u671d \u306f \u51ac \u3067\u3059 \u5ead\u306b",
+    }
+    rows = []
+    for at, (lang, text) in enumerate(words.items()):
+        known = text.split()
+        rows += [(100 * at + i, " ".join(known[(i * k + k) % len(known)] for k in range(1, 20)), lang, "a", 1) for i in range(30)]
+    docs = documents(spark, rows)
+    profiles = language_id.learn(docs, F.col("doc_id") % 5 != 0)
+    found = {r.doc_id: r.lang_pred for r in language_id.identify(docs, profiles).collect()}
+    assert all(found[i] == lang for i, _, lang, *_ in rows)
+
+
+def test_samples_are_those_of_the_smallest_hashes(spark):
+    docs = documents(spark, [(i, prose(i, 20), "en", "a", 1) for i in range(20)])
+    smallest = [r.doc_id for r in docs.orderBy(F.xxhash64("doc_id")).limit(7).collect()]
+    few = language_id.learn(docs, F.lit(True), sample=7).prototypes
+    assert np.allclose(few, language_id.learn(docs, F.col("doc_id").isin(smallest)).prototypes)
+    assert not np.allclose(few, language_id.learn(docs, F.lit(True)).prototypes)
+
+
 @pytest.mark.parametrize("chunk", [7, 500_000])
 def test_bundles(monkeypatch, chunk):
     monkeypatch.setattr(language_id, "CHUNK", chunk)
