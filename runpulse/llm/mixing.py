@@ -57,7 +57,8 @@ def mix(
     rows. Other columns are not read.
     """
     rows = pick(docs, doc_id, source, text).toDF("doc_id", "source", "text")
-    rows = rows.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    # A range sort reads its input twice: the words are counted once.
+    rows = store(rows.select("doc_id", "source", word_count(F.col("text")).alias("size")), "word-counts")
     return _taken(rows, seed, weights, share, most, whole)
 
 

@@ -29,6 +29,8 @@ def shard_by_bytes(docs: DataFrame, shards: int, *, doc_id: str = "doc_id", text
         F.crc32(bytes_of).alias("text_crc32"),
     )
     order = [F.col("doc_id").asc_nulls_first(), F.col("text_crc32"), F.col("size")]
+    # A range sort reads its input twice: the texts are read once, for these few numbers.
+    narrow = store(narrow, "sizes")
     placed = store(running_totals(narrow, order, ["size"], "sizes"), "placed")
     total = placed.agg(F.sum("size")).first()[0] or 1
     dealt = placed.withColumn("shard", F.expr(f"cast((2 * size_before + size) * {shards}L div {2 * total}L as int)"))
