@@ -5,9 +5,10 @@ pieces there are of each length is all that the packing depends on, so a configu
 program over that histogram (at most ``capacity`` rows, whatever the corpus) is solved on the
 driver: a configuration says how many pieces of each length share a sequence, and the program asks
 how often to use each so that all pieces are placed in the fewest sequences. Multiplicative weights
-keep a price per length, a knapsack dynamic program finds the configuration of the highest price, and
-what it covers gets cheaper. Filled configurations are rounded down to whole uses; the pieces of
-seldom used ones and those left over go best-fit decreasing, and the rounding with the fewest sequences
+keep a price per length, a knapsack dynamic program finds the configuration of the highest price that
+holds each length, and what is covered gets cheaper. The prices of the best round bound the number of sequences from
+below; from them, configurations are used a whole number of times until (nearly) no piece is left, the rest goes
+best-fit decreasing, and of a few such roundings the one with the fewest sequences
 is taken. Pieces then find their places by number: the
 k-th piece of length l goes into the k-th slot of that length.
 """
@@ -27,72 +28,148 @@ from runpulse.llm.common import pick, slices, store, texts_of, utf8
 from runpulse.llm.tokenizing import token_ids
 
 CAPACITY = 1024
-#: Share of a length's pieces that one step of the program covers at most.
-STEP = 0.25
-#: Sharpness of the price update.
-SHARPNESS = 0.5
-#: Steps of the program at most. Pieces it does not reach are placed best-fit.
-STEPS = 1000
-#: Roundings that are tried: configurations used at least so often stay, pieces of others go best-fit.
-LEAST_USES = (1, 2, 4, 8, 16, 32, 64, 128)
+#: Configurations within this share of the dearest one count as dearest.
+NEAR = 1e-3
+#: Sharpness of the price update, and the most that a round counts as covered (in pieces a piece).
+SHARPNESS, WIDTH = 0.5, 3.0
+#: Rounds of the search for prices.
+ROUNDS = 80
+#: A round that places fewer than one in so many pieces loosens ``NEAR``; best-fit places what the last one leaves.
+STALLED = 10_000
+#: (Share of a length's pieces that one use takes at most, loosest ``NEAR``): tried in turn, the first with prices
+#: by length, until the sequences are within ``TOLERANCE`` of the lower bound.
+ATTEMPTS, TOLERANCE = ((1.0, 0.03), (1.0, 0.03), (0.25, 0.03), (1.0, NEAR)), 5e-4
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids array<int>"
 
 
 @dataclass
 class Plan:
-    """Rows of (length, first slot, number of slots, per sequence, first sequence, offset) and totals."""
+    """Rows of (length, first slot, number of slots, per sequence, first sequence, offset) and totals.
+
+    ``by_program`` is the share of pieces that the program's configurations place.
+    """
 
     slots: np.ndarray
     sequences: int
     lower_bound: int
+    by_program: float
 
 
-def best_configuration(prices: np.ndarray, lengths: np.ndarray, limits: np.ndarray, capacity: int) -> dict[int, int]:
-    """Knapsack: pieces (index into ``lengths`` to count) of the highest total price that fit.
+def knapsack(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each room up to ``capacity`` the highest price of pieces that fit, and the piece it takes (-1: none).
 
-    An exact dynamic program over the capacity where pieces may repeat freely; repeats beyond
-    ``limits`` are taken out afterwards. ``lengths`` ascend.
+    An exact dynamic program in which pieces repeat freely; of equal prices it takes the longest piece.
+    ``lengths`` ascend.
     """
     value = np.zeros(capacity + 1)
     choice = np.full(capacity + 1, -1)
     fitting = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
     for room in range(1, capacity + 1):
-        value[room], choice[room] = value[room - 1], -1
+        value[room] = value[room - 1]
         if n := fitting[room]:
             worth = prices[:n] + value[room - lengths[:n]]
-            at = n - 1 - int(np.argmax(worth[::-1]))  # of equal prices the longest piece
+            at = n - 1 - int(np.argmax(worth[::-1]))
             if worth[at] > value[room] + 1e-12:
                 value[room], choice[room] = worth[at], at
-    found: dict[int, int] = {}
-    room = capacity
-    while room > 0:
-        if (at := int(choice[room])) < 0:
-            room -= 1
-            continue
-        found[at] = found.get(at, 0) + 1
-        room -= int(lengths[at])
-    return {at: min(n, int(limits[at])) for at, n in found.items()}
-
-
-def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], float]]:
-    """A fractional solution: (configuration, how often), using no length more often than it occurs."""
-    left = counts.astype(float)
+    # Room that no piece uses is given up, so that every room names the piece to take next.
+    last = np.maximum.accumulate(np.where(choice >= 0, np.arange(capacity + 1), 0))
+    return value, choice[last]
+
+
+def configurations(choice: np.ndarray, lengths: np.ndarray, forced: np.ndarray, capacity: int) -> list[dict[int, int]]:
+    """For each piece of ``forced`` the dearest configuration that holds it, read off one knapsack."""
+    found = [{int(at): 1} for at in forced]
+    room = capacity - lengths[forced]
+    while (open_ := np.flatnonzero(choice[room] >= 0)).size:
+        # The piece fills the room as often as the program would take it in a row.
+        taken = choice[room[open_]]
+        for i, at in zip(open_.tolist(), taken.tolist()):
+            found[i][at] = found[i].get(at, 0) + 1
+        room[open_] -= lengths[taken]
+        room = np.maximum(room, 0)
+    return found
+
+
+def within(
+    config: dict[int, int], at: np.ndarray, lengths: np.ndarray, left: np.ndarray, capacity: int
+) -> dict[int, int]:
+    """``config`` (places in ``at`` to counts) bounded by the pieces ``left``; the longest that fit fill what that frees."""
+    bounded = {int(at[i]): min(n, int(left[at[i]])) for i, n in config.items() if left[at[i]]}
+    if sum(bounded.values()) == sum(config.values()):
+        return bounded
+    room = capacity - sum(int(lengths[i]) * n for i, n in bounded.items())
+    place = int(np.searchsorted(lengths[at], room, side="right")) - 1
+    while place >= 0:
+        i = int(at[place])
+        if n := min(room // int(lengths[i]), int(left[i]) - bounded.get(i, 0)):
+            bounded[i] = bounded.get(i, 0) + n
+            room -= n * int(lengths[i])
+        place = min(place, int(np.searchsorted(lengths[at], room, side="right"))) - 1
+    return bounded
+
+
+def dual_prices(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
+    """Prices of which no configuration costs more than 1, and the price of all pieces: a lower bound.
+
+    Multiplicative weights. Each round's knapsack gives the dearest configuration that holds each length;
+    those within ``NEAR`` of the dearest of all are used in proportion to the counts. Lengths that they
+    cover more often than there are pieces get cheaper, others dearer. The round with the best bound counts.
+    """
     prices = lengths / capacity
-    used: dict[tuple, float] = {}
-    for _ in range(STEPS):
-        at = np.flatnonzero(left >= 1)
-        if not len(at):
-            break
-        found = best_configuration(prices[at], lengths[at], np.floor(left[at]), capacity)
-        config = {int(at[i]): n for i, n in found.items()}
-        step = min(min(max(STEP * counts[i], 1) / n, left[i] / n) for i, n in config.items())
-        key = tuple(sorted(config.items()))
-        used[key] = used.get(key, 0.0) + step
-        for i, n in config.items():
-            left[i] -= n * step
-            prices[i] *= np.exp(-SHARPNESS * n * step / counts[i])
-    return [(dict(key), often) for key, often in used.items()]
+    best, bound = prices, 0.0
+    for turn in range(ROUNDS):
+        value, choice = knapsack(prices, lengths, capacity)
+        top = value[capacity]
+        if counts @ prices / top > bound:
+            best, bound = prices / top, float(counts @ prices / top)
+        near = np.flatnonzero(prices + value[capacity - lengths] >= (1 - NEAR) * top)
+        covered, used = np.zeros(len(lengths)), 0.0
+        for at, config in zip(near.tolist(), configurations(choice, lengths, near, capacity)):
+            often = counts[at] / config[at]
+            used += often
+            for i, n in config.items():
+                covered[i] += n * often
+        share = np.minimum(covered / counts * (bound / used), WIDTH)
+        prices = prices * np.exp(-SHARPNESS / (1 + turn) ** 0.5 * (share - 1))
+    return best, bound
+
+
+def solve(
+    lengths: np.ndarray, counts: np.ndarray, capacity: int, prices: np.ndarray, step: float, loosest: float
+) -> tuple[list[tuple[dict[int, int], int]], np.ndarray]:
+    """Whole uses of configurations, using no length more often than it occurs, and the counts left over.
+
+    Starts from ``prices``. A use takes at most a share ``step`` of a length's pieces; what is covered gets
+    cheaper, as in ``dual_prices``. A knapsack counts pieces as unlimited, so ``within`` bounds each
+    configuration by the pieces left; it waits if it loses more than ``NEAR`` by that. A round that places fewer
+    than one in ``STALLED`` of all pieces doubles that share, at ``loosest`` it is the last.
+    """
+    left, total = counts.astype(np.int64).copy(), int(counts.sum())
+    prices, slack = prices.copy(), NEAR
+    used: dict[tuple, int] = {}
+    while (at := np.flatnonzero(left > 0)).size:
+        value, choice = knapsack(prices[at], lengths[at], capacity)
+        worth = prices[at] + value[capacity - lengths[at]]
+        near = np.flatnonzero(worth >= (1 - slack) * value[capacity])
+        near = near[np.lexsort((-lengths[at][near], -worth[near]))]
+        before = left.copy()
+        for local in configurations(choice, lengths[at], near, capacity):
+            config = within(local, at, lengths, left, capacity)
+            if sum(prices[i] * n for i, n in config.items()) < (1 - slack) * value[capacity]:
+                continue
+            times = min(min(left[i], max(int(step * counts[i]), n)) // n for i, n in config.items())
+            key = tuple(sorted(config.items()))
+            used[key] = used.get(key, 0) + int(times)
+            for i, n in config.items():
+                left[i] -= n * times
+        placed = before - left
+        if placed.sum() * STALLED <= total:
+            if slack >= loosest:
+                break
+            slack *= 2
+        prices *= np.exp(-SHARPNESS * placed / counts)
+    return [(dict(key), times) for key, times in used.items()], left
 
 
 def best_fit_decreasing(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -118,21 +195,24 @@ def best_fit_decreasing(lengths: np.ndarray, counts: np.ndarray, capacity: int)
     return [held for group in bins.values() for held in group]
 
 
-def _rounded(lengths: np.ndarray, counts: np.ndarray, capacity: int, kept: list[tuple[dict[int, int], int]]) -> list:
-    """``kept`` configurations as often as they say, and all other pieces best-fit."""
-    left = counts.astype(np.int64).copy()
-    for config, times in kept:
-        for i, n in config.items():
-            left[i] -= n * times
-    return kept + best_fit_decreasing(lengths, left, capacity)
-
-
 def plan_packing(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY) -> Plan:
     """Slots for ``counts[i]`` pieces of ``lengths[i]`` (ascending, all different, none above ``capacity``)."""
-    solved = [(c, int(often + 1e-6)) for c, often in solve(lengths, counts, capacity)]
-    filled = [(c, n) for c, n in solved if sum(int(lengths[i]) * k for i, k in c.items()) == capacity]
-    roundings = (_rounded(lengths, counts, capacity, [f for f in filled if f[1] >= least]) for least in LEAST_USES)
-    chosen = min(roundings, key=lambda bins: sum(n for _, n in bins))
+    if not len(lengths):
+        return Plan(np.zeros((0, 6), np.int64), 0, 0, 1.0)
+    volume, above_half = -(-int((lengths * counts).sum()) // capacity), int(counts[lengths * 2 > capacity].sum())
+    lower_bound, prices = max(volume, above_half), lengths / capacity
+    chosen, sequences, share = [], None, 0.0
+    for attempt, (step, loosest) in enumerate(ATTEMPTS):
+        solved, left = solve(lengths, counts, capacity, prices, step, loosest)
+        bins = solved + best_fit_decreasing(lengths, left, capacity)
+        if sequences is None or sum(n for _, n in bins) < sequences:
+            chosen, sequences = bins, sum(n for _, n in bins)
+            share = 1 - float(left.sum()) / float(counts.sum())
+        if sequences <= lower_bound * (1 + TOLERANCE):
+            break
+        if attempt == 0:
+            prices, bound = dual_prices(lengths, counts, capacity)
+            lower_bound = max(lower_bound, int(np.ceil(bound * (1 - 1e-9))))
     rows, sequence, next_slot = [], 0, np.zeros(len(lengths), np.int64)
     for config, times in chosen:
         offset = 0
@@ -142,9 +222,7 @@ def plan_packing(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACI
             next_slot[i] += n * times
             offset += n * int(lengths[i])
         sequence += times
-    volume = int((lengths * counts).sum())
-    above_half = int(counts[lengths * 2 > capacity].sum())
-    return Plan(np.array(sorted(rows), np.int64).reshape(-1, 6), sequence, max(-(-volume // capacity), above_half))
+    return Plan(np.array(sorted(rows), np.int64).reshape(-1, 6), sequence, lower_bound, share)
 
 
 def token_pieces(
