@@ -21,10 +21,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from runpulse.llm.common import pick, slices, store, texts_of, utf8
+from runpulse.llm.common import discard, pick, slices, store, texts_of, utf8
 from runpulse.llm.tokenizing import token_ids
 
 CAPACITY = 1024
@@ -32,6 +33,8 @@ CAPACITY = 1024
 NEAR = 1e-3
 #: Sharpness of the price update, and the most that a round counts as covered (in pieces a piece).
 SHARPNESS, WIDTH = 0.5, 3.0
+#: Least price of a piece, as a share of its length's share of a sequence.
+SMALL = 1e-4
 #: Rounds of the search for prices.
 ROUNDS = 80
 #: A round that places fewer than one in so many pieces loosens ``NEAR``; best-fit places what the last one leaves.
@@ -40,7 +43,9 @@ STALLED = 10_000
 #: by length, until the sequences are within ``TOLERANCE`` of the lower bound.
 ATTEMPTS, TOLERANCE = ((1.0, 0.03), (1.0, 0.03), (0.25, 0.03), (1.0, NEAR)), 5e-4
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids array<int>"
+PIECES = "doc_id long, piece int, start long, length long, ids array<int>"
+NUMBERED = ", _task int, _k long"
+DIGESTS = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
 @dataclass
@@ -109,14 +114,24 @@ def within(
     return bounded
 
 
+def rounded_prices(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> np.ndarray:
+    """The best of such prices: 0 below some size, 1 where only less than that size fits beside, else by length.
+
+    No configuration costs more than 1: beside a piece of price 1 all others are free.
+    """
+    sizes = np.arange(capacity // 2 + 1)[:, None]
+    prices = np.where(lengths > capacity - sizes, 1.0, np.where(lengths < sizes, 0.0, lengths / capacity))
+    return prices[int(np.argmax(prices @ counts))]
+
+
 def dual_prices(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
     """Prices of which no configuration costs more than 1, and the price of all pieces: a lower bound.
 
-    Multiplicative weights. Each round's knapsack gives the dearest configuration that holds each length;
+    Multiplicative weights, from ``rounded_prices``. Each round's knapsack gives the dearest configuration that holds each length;
     those within ``NEAR`` of the dearest of all are used in proportion to the counts. Lengths that they
     cover more often than there are pieces get cheaper, others dearer. The round with the best bound counts.
     """
-    prices = lengths / capacity
+    prices = np.maximum(rounded_prices(lengths, counts, capacity), SMALL * lengths / capacity)
     best, bound = prices, 0.0
     for turn in range(ROUNDS):
         value, choice = knapsack(prices, lengths, capacity)
@@ -199,8 +214,8 @@ def plan_packing(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACI
     """Slots for ``counts[i]`` pieces of ``lengths[i]`` (ascending, all different, none above ``capacity``)."""
     if not len(lengths):
         return Plan(np.zeros((0, 6), np.int64), 0, 0, 1.0)
-    volume, above_half = -(-int((lengths * counts).sum()) // capacity), int(counts[lengths * 2 > capacity].sum())
-    lower_bound, prices = max(volume, above_half), lengths / capacity
+    prices = lengths / capacity
+    lower_bound = int(np.ceil(counts @ rounded_prices(lengths, counts, capacity) * (1 - 1e-9)))
     chosen, sequences, share = [], None, 0.0
     for attempt, (step, loosest) in enumerate(ATTEMPTS):
         solved, left = solve(lengths, counts, capacity, prices, step, loosest)
@@ -225,19 +240,30 @@ def plan_packing(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACI
     return Plan(np.array(sorted(rows), np.int64).reshape(-1, 6), sequence, lower_bound, share)
 
 
-def token_pieces(
-    docs: DataFrame, tokenizer: str, end_id: int, *, capacity: int = CAPACITY, with_ids: bool = True,
-    doc_id: str = "doc_id", text: str = "text",
-) -> DataFrame:
-    """Pieces of at most ``capacity`` tokens: (doc_id, piece, start, length, ids_crc32, ids).
+class _Counter:
+    """Numbers the pieces of each length that one task meets."""
 
-    Every whole text is encoded and ``end_id`` appended; a null text counts as empty, so each row has
-    at least one piece. Repeated rows each get their pieces. ``ids`` is null without ``with_ids``.
-    """
+    def __init__(self, capacity: int):
+        self.task = TaskContext.get().partitionId()
+        self.seen = np.zeros(capacity + 1, np.int64)
+
+    def columns(self, lengths: np.ndarray) -> list[pa.Array]:
+        """The task, and the number of each of its pieces among those of that length."""
+        order = np.argsort(lengths, kind="stable")
+        counts = np.bincount(lengths, minlength=len(self.seen))
+        place = np.empty(len(lengths), np.int64)
+        place[order] = np.arange(len(lengths)) - np.repeat(np.cumsum(counts) - counts, counts)
+        numbers = self.seen[lengths] + place
+        self.seen += counts
+        return [pa.array(np.full(len(lengths), self.task), pa.int32()), pa.array(numbers)]
+
+
+def _cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, doc_id: str, text: str, numbered: bool) -> DataFrame:
+    """The rows of ``token_pieces``; with ``numbered`` also ``_task`` and ``_k`` of a ``_Counter``."""
     rows = pick(docs, doc_id, text).toDF("doc_id", "text").select(F.col("doc_id").cast("long"), utf8("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = token_ids(tokenizer)
+        encoder, counter = token_ids(tokenizer), _Counter(capacity)
         for batch in slices(batches, "text"):
             ids, counts = encoder.encode(texts_of(batch), end_id)
             pieces = -(-counts // capacity)
@@ -246,63 +272,132 @@ def token_pieces(
             first = counts - (pieces - 1) * capacity
             start = np.where(piece == 0, 0, first[owner] + (piece - 1) * capacity)
             length = np.where(piece == 0, first[owner], capacity)
-            ends = np.cumsum(length)
-            values = memoryview(ids).cast("B")
-            sums = [zlib.crc32(values[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), length.tolist())]
-            if with_ids:
-                offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
-                listed = pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32)))
-            else:
-                listed = pa.nulls(len(owner), pa.list_(pa.int32()))
+            offsets = pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32())
             columns = [
                 batch["doc_id"].take(pa.array(owner)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
-                pa.array(length, pa.int64()), pa.array(sums, pa.int64()), listed,
+                pa.array(length, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(ids.view(np.int32))),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
+            if numbered:
+                columns += counter.columns(length)
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return rows.mapInArrow(cut, PIECES)
+    schema = PIECES + (NUMBERED if numbered else "")
+    names = [field.split()[0] for field in schema.split(", ")]
+    return rows.mapInArrow(cut, schema)
+
+
+def token_pieces(
+    docs: DataFrame, tokenizer: str, end_id: int, *, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text",
+) -> DataFrame:
+    """Pieces of at most ``capacity`` tokens: (doc_id, piece, start, length, ids).
+
+    Every whole text is encoded and ``end_id`` appended; a null text counts as empty, so each row has
+    at least one piece. Repeated rows each get their pieces. An empty table has none.
+    """
+    return _cut(docs, tokenizer, end_id, capacity, doc_id, text, False)
+
+
+def _placed(rows: DataFrame, length: str, capacity: int) -> DataFrame:
+    """Stored ``rows`` with ``_task`` and ``_k`` replaced by ``sequence_id`` and ``offset``.
+
+    The driver gets the histogram, at most ``capacity`` rows, and makes the slots from it, a few for each
+    length. The counts of earlier tasks are a stored narrow table, sent to all tasks or joined as Spark
+    finds by its size; a row finds its slot by its length and number. Wide columns are not shuffled.
+    """
+    spark, kept = rows.sparkSession, [c for c in rows.columns if c not in ("_task", "_k")]
+    size = F.col(length).cast("long").alias("_length")
+    per_task = rows.groupBy("_task", size).agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("_length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
+    offsets = store(per_task.select("_task", "_length", "_n", before), "piece-counts")
+    histogram = offsets.groupBy("_length").agg(F.sum("_n").alias("n")).orderBy("_length").collect()
+    lengths, counts = (np.array([r[name] for r in histogram], np.int64) for name in ("_length", "n"))
+    slots = plan_packing(lengths, counts, capacity).slots
+    held = spark.createDataFrame(
+        slots.tolist(), "_length long, _first long, _many long, _each long, _sequence long, _offset long"
+    )
+    numbered = rows.withColumn("_length", size).join(offsets, ["_task", "_length"])
+    numbered = numbered.withColumn("_at", F.col("_k") + F.col("_before"))
+    inside = (F.col("_at") >= F.col("_first")) & (F.col("_at") < F.col("_first") + F.col("_many"))
+    found = numbered.alias("n").join(F.broadcast(held).alias("s"), (F.col("n._length") == F.col("s._length")) & inside)
+    number = F.col("_at") - F.col("_first")
+    return found.select(
+        *[F.col(f"n.`{c}`") for c in kept],
+        (F.col("_sequence") + F.floor(number / F.col("_each"))).alias("sequence_id"),
+        (F.col("_offset") + number % F.col("_each") * F.col("n._length")).alias("offset"),
+    )
 
 
 def pack(pieces: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
-    """``pieces`` (anything with a ``length`` from 1 to ``capacity``) with ``sequence_id`` and ``offset``.
+    """``pieces`` (anything with a whole ``length`` from 1 to ``capacity``) with ``sequence_id`` and ``offset``.
 
-    Pieces of one length are numbered in parallel: a running number inside each task's rows of that
-    length, shifted by the counts of earlier tasks. What is sent to the driver and to the tasks is the
-    histogram and the slots, both bounded by ``capacity`` and the solver's parameters. An empty table
-    stays empty.
+    Columns of these two names are replaced, others may have any name. Repeated rows each get their
+    place. An empty table stays empty; any other length, null included, raises ``ValueError``.
     """
-    placed = pieces.withColumn("_task", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
-    rows = store(placed, "pieces")
-    per_task = rows.groupBy("_task", "length").agg(F.count("*").alias("_n"))
-    earlier = Window.partitionBy("length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_task.select("_task", "length", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    histogram = per_task.groupBy("length").agg(F.sum("_n").alias("n")).orderBy("length").collect()
-    lengths = np.array([r["length"] for r in histogram], np.int64)
-    slots = plan_packing(lengths, np.array([r["n"] for r in histogram], np.int64), capacity).slots
-    inside = Window.partitionBy("_task", "length").orderBy("_row")
-    numbered = rows.withColumn("_k", F.row_number().over(inside) - 1).join(offsets, ["_task", "length"])
-    numbered = numbered.select(*pieces.columns, (F.col("_k") + F.col("_before")).alias("_k"))
-    keys = (slots[:, 0] << 44) | slots[:, 1] if len(slots) else np.zeros(0, np.int64)
-    kept = pieces.columns
-    names = [*kept, "sequence_id", "offset"]
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    marks = [f"_c{i}" for i in range(len(pieces.columns))]
+    marked = pieces.toDF(*marks).select(*[marks[pieces.columns.index(c)] for c in names])
+    length = marks[pieces.columns.index("length")]
+    kept = marked.columns
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = _Counter(capacity)
         for batch in filter(len, batches):
-            length, number = (batch[c].to_numpy(zero_copy_only=False) for c in ("length", "_k"))
-            at = np.searchsorted(keys, (length << 44) | number, side="right") - 1
-            _, first, _, each, sequence, offset = slots[at].T
-            inside = number - first
-            columns = [batch[c] for c in kept]
-            columns += [pa.array(sequence + inside // each), pa.array(offset + inside % each * length)]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            found = batch[length].cast(pa.int64()).fill_null(0).to_numpy()
+            valid = (found > 0) & (found <= capacity)
+            columns = counter.columns(np.where(valid, found, 0))
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), *columns], [*kept, "_task", "_k"])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema] + ["sequence_id long, offset long"])
-    return numbered.mapInArrow(place, schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in marked.schema) + NUMBERED
+    rows = store(marked.mapInArrow(number, schema), "pieces")
+    if odd := rows.where(F.col(length).isNull() | ~F.col(length).between(1, capacity)).count():
+        raise ValueError(f"{odd} pieces have no length from 1 to {capacity}")
+    return _placed(rows, length, capacity).toDF(*names, "sequence_id", "offset")
 
 
 def sequences(packed: DataFrame) -> DataFrame:
-    """The packed token ids: one row per sequence with ``ids`` and its pieces' (doc_id, piece, offset, length)."""
-    parts = F.array_sort(F.collect_list(F.struct("offset", "length", "doc_id", "piece", "ids")))
-    rows = packed.groupBy("sequence_id").agg(parts.alias("pieces"))
+    """The packed token ids: one row per sequence with ``ids`` and its pieces' (offset, length, doc_id, piece, start).
+
+    ``packed`` has these columns and ``ids``. A sequence holds at most ``capacity`` tokens, so no group is large.
+    An empty table has no sequences, and a sequence id that repeats its offsets is no packing: undefined.
+    """
+    parts = F.array_sort(F.collect_list(F.struct("offset", "length", "doc_id", "piece", "start", "ids")))
+    rows = packed.repartition("sequence_id").groupBy("sequence_id").agg(parts.alias("pieces"))
     ids = F.flatten(F.transform("pieces", lambda p: p["ids"]))
     return rows.select("sequence_id", ids.alias("ids"), F.transform("pieces", lambda p: p.dropFields("ids")).alias("pieces"))
+
+
+def write_sequences(
+    docs: DataFrame, path: str, tokenizer: str, end_id: int, *, capacity: int = CAPACITY,
+    doc_id: str = "doc_id", text: str = "text",
+) -> DataFrame:
+    """Cuts ``docs`` as ``token_pieces`` does, packs the pieces, writes ``sequences`` to ``path`` and reads them.
+
+    Ids are written once as they are cut, shuffled once to their sequences and written there.
+    """
+    rows = store(_cut(docs, tokenizer, end_id, capacity, doc_id, text, True), "pieces")
+    made = sequences(_placed(rows, "length", capacity))
+    made.write.option("compression", "zstd").parquet(path)
+    discard(rows)
+    return docs.sparkSession.read.schema(made.schema).parquet(path)
+
+
+def piece_digests(made: DataFrame) -> DataFrame:
+    """The pieces that ``sequences`` hold, from the ids there: place, length and checksum of each."""
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in filter(len, batches):
+            ids, pieces = batch["ids"], batch["pieces"]
+            values = memoryview(np.ascontiguousarray(ids.flatten().to_numpy(zero_copy_only=False).astype("<i4", copy=False))).cast("B")
+            each = pieces.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            sizes = ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = pieces.flatten()
+            offset, length = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("offset", "length"))
+            begin = np.repeat(np.cumsum(sizes) - sizes, each) + offset
+            sums = [zlib.crc32(values[4 * a : 4 * (a + n)]) for a, n in zip(begin.tolist(), length.tolist())]
+            columns = [flat.field(c) for c in ("doc_id", "piece", "start", "length")]
+            columns += [pa.array(sums, pa.int64()), batch["sequence_id"].take(pa.array(np.repeat(np.arange(len(batch)), each)))]
+            yield pa.RecordBatch.from_arrays([*columns, flat.field("offset")], names)
+
+    names = [field.split()[0] for field in DIGESTS.split(", ")]
+    return made.select("sequence_id", "ids", "pieces").mapInArrow(digest, DIGESTS)

@@ -29,9 +29,8 @@ def op3_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    pieces = packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), END_ID, with_ids=False)
-    return packing.pack(pieces.drop("ids"))
+    path, tokenizer = scratch_path(spark, "sequences"), public_tokenizers.path("byte_bpe_50k.json")
+    return packing.piece_digests(packing.write_sequences(table(spark, sf_dir, "documents"), path, tokenizer, END_ID))
 
 
 def held_out() -> Column:

@@ -113,8 +113,7 @@ def test_packing(spark, odd):
     packed = packing.pack(pieces).cache()
     rows = packed.collect()
     texts = defaultdict(list)
-    for r in rows:
-        assert r.length == len(r.ids) and r.ids_crc32 == crc(r.ids)
+    assert all(r.length == len(r.ids) for r in rows)
     for i, t, *_ in ODD:
         texts[i].append([*direct("byte_bpe_50k", t), 2])
     for i, wanted in texts.items():
@@ -135,12 +134,40 @@ def test_packing(spark, odd):
         assert ends <= 1024
     whole = {r.sequence_id: r.ids for r in packing.sequences(packed).collect()}
     assert {s: sum(n for _, n in places) for s, places in held.items()} == {s: len(ids) for s, ids in whole.items()}
-    one = rows[0]
-    assert whole[one.sequence_id][one.offset : one.offset + one.length] == one.ids
+    for one in rows:
+        assert whole[one.sequence_id][one.offset : one.offset + one.length] == one.ids
+
+
+def test_digests_come_from_the_written_sequences(spark, odd):
+    made = packing.write_sequences(odd, scratch_path(spark, "sequences"), PATHS["byte_bpe_50k"], 2)
+    whole = {r.sequence_id: r for r in made.collect()}
+    rows = packing.piece_digests(made).collect()
+    assert len(rows) == sum(len(r.pieces) for r in whole.values())
+    for r in rows:
+        assert r.ids_crc32 == crc(whole[r.sequence_id].ids[r.offset : r.offset + r.length])
+    want = packing.token_pieces(odd, PATHS["byte_bpe_50k"], 2).collect()
+    key = lambda r: (str(r[0]), *r[1:])
+    got = [(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows]
+    assert sorted(got, key=key) == sorted(((r.doc_id, r.piece, r.start, r.length, crc(r.ids)) for r in want), key=key)
+    for r in whole.values():
+        assert sum(p.length for p in r.pieces) == len(r.ids) <= 1024
 
 
-def test_packing_no_documents(empty):
+def test_packing_no_documents(spark, empty):
     assert packing.pack(packing.token_pieces(empty, PATHS["byte_bpe_50k"], 2)).collect() == []
+    made = packing.write_sequences(empty, scratch_path(spark, "sequences"), PATHS["byte_bpe_50k"], 2)
+    assert made.collect() == [] and packing.piece_digests(made).collect() == []
+
+
+def test_packing_clashing_names_and_lengths_out_of_range(spark):
+    names = ["length", "Length", "_k", "_task", "_c0", "_length", "_n", "offset", "sequence_id"]
+    rows = spark.createDataFrame([(n, *["x"] * 8) for n in (3, 3, 1024, 1021)], ", ".join(f"c{i} {'int' if i == 0 else 'string'}" for i in range(9))).toDF(*names)
+    packed = packing.pack(rows)
+    assert packed.columns == [*names[:-2], "sequence_id", "offset"]
+    assert sorted((r[0], r[-1]) for r in packed.collect()) == [(3, 0), (3, 1021), (1021, 0), (1024, 0)]
+    for odd_length in (None, 0, 1025, -1):
+        with pytest.raises(ValueError, match="no length"):
+            packing.pack(spark.createDataFrame([(odd_length,), (5,)], "length long"))
 
 
 def test_packing_a_hot_length(spark):
@@ -184,3 +211,37 @@ def test_plan_is_close_to_the_bound():
     assert small.sequences <= 1.002 * small.lower_bound
     assert plan.sequences <= 1.02 * plan.lower_bound
     assert plan.slots.shape[0] < 20_000  # what is sent to every task
+
+
+@pytest.mark.parametrize("shape", ["uniform", "zipf", "lognormal"])
+def test_the_program_places_the_pieces(shape):
+    lengths = np.arange(1, 1025)
+    weight = {
+        "uniform": np.ones(1024),
+        "zipf": 1 / lengths,
+        "lognormal": np.exp(-((np.log(lengths) - np.log(200)) ** 2) / 1.28) / lengths,
+    }[shape]
+    counts = np.maximum(1, (500_000 * weight / weight.sum()).astype(int))
+    plan = packing.plan_packing(lengths, counts)
+    assert plan.by_program >= 0.9 and plan.sequences <= (1 + packing.TOLERANCE) * plan.lower_bound
+    plain = sum(n for _, n in packing.best_fit_decreasing(lengths, counts, 1024))
+    assert plan.sequences <= plain
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.dictionaries(st.integers(1, 12), st.integers(1, 3), min_size=1, max_size=5))
+def test_the_lower_bound_holds(counts):
+    sizes = sorted((n for n, k in counts.items() for _ in range(k)), reverse=True)
+
+    def fits(at, rooms):
+        if at == len(sizes):
+            return True
+        for i in {r: i for i, r in enumerate(rooms) if r >= sizes[at]}.values():
+            if fits(at + 1, [r - sizes[at] * (i == j) for j, r in enumerate(rooms)]):
+                return True
+        return False
+
+    lengths = np.array(sorted(counts))
+    plan = packing.plan_packing(lengths, np.array([counts[n] for n in lengths]), 12)
+    least = next(n for n in range(1, len(sizes) + 1) if fits(0, [12] * n))
+    assert plan.lower_bound <= least <= plan.sequences
