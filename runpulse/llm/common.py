@@ -40,10 +40,10 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return marked.select(*[F.col(marks[df.columns.index(name)]).alias(name) for name in names])
 
 
-def store(df: DataFrame, label: str) -> DataFrame:
+def store(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     """``df`` written to the shared folder and read again: lineage ends here, on files no executor owns."""
     path = scratch_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     stored = df.sparkSession.read.schema(df.schema).parquet(path)
     stored.stored_at = path
     return stored

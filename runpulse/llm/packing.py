@@ -258,8 +258,13 @@ class _Counter:
         return [pa.array(np.full(len(lengths), self.task), pa.int32()), pa.array(numbers)]
 
 
-def _cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, doc_id: str, text: str, numbered: bool) -> DataFrame:
-    """The rows of ``token_pieces``; with ``numbered`` also ``_task`` and ``_k`` of a ``_Counter``."""
+def id_bytes(tokenizer: str) -> int:
+    """Bytes that an id of this tokenizer takes in written sequences: 2 if all its ids fit, else 4."""
+    return 2 if max(token_ids(tokenizer).tokenizer.get_vocab().values()) < 1 << 16 else 4
+
+
+def _cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, doc_id: str, text: str, width: int = 0) -> DataFrame:
+    """The rows of ``token_pieces``; with a ``width`` ids are bytes, and ``_task`` and ``_k`` of a ``_Counter`` follow."""
     rows = pick(docs, doc_id, text).toDF("doc_id", "text").select(F.col("doc_id").cast("long"), utf8("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,16 +277,20 @@ def _cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, doc_id: st
             first = counts - (pieces - 1) * capacity
             start = np.where(piece == 0, 0, first[owner] + (piece - 1) * capacity)
             length = np.where(piece == 0, first[owner], capacity)
-            offsets = pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32())
+            offsets = np.concatenate([[0], np.cumsum(length)])
             columns = [
                 batch["doc_id"].take(pa.array(owner)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
-                pa.array(length, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(ids.view(np.int32))),
+                pa.array(length, pa.int64()),
             ]
-            if numbered:
-                columns += counter.columns(length)
+            if width:
+                ends = pa.py_buffer((offsets * width).astype(np.int32))
+                values = pa.py_buffer(ids.astype(f"<u{width}"))
+                columns += [pa.Array.from_buffers(pa.binary(), len(length), [None, ends, values]), *counter.columns(length)]
+            else:
+                columns += [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.view(np.int32)))]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = PIECES + (NUMBERED if numbered else "")
+    schema = PIECES.replace("array<int>", "binary") + NUMBERED if width else PIECES
     names = [field.split()[0] for field in schema.split(", ")]
     return rows.mapInArrow(cut, schema)
 
@@ -294,7 +303,7 @@ def token_pieces(
     Every whole text is encoded and ``end_id`` appended; a null text counts as empty, so each row has
     at least one piece. Repeated rows each get their pieces. An empty table has none.
     """
-    return _cut(docs, tokenizer, end_id, capacity, doc_id, text, False)
+    return _cut(docs, tokenizer, end_id, capacity, doc_id, text)
 
 
 def _placed(rows: DataFrame, length: str, capacity: int) -> DataFrame:
@@ -358,12 +367,15 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
 def sequences(packed: DataFrame) -> DataFrame:
     """The packed token ids: one row per sequence with ``ids`` and its pieces' (offset, length, doc_id, piece, start).
 
-    ``packed`` has these columns and ``ids``. A sequence holds at most ``capacity`` tokens, so no group is large.
-    An empty table has no sequences, and a sequence id that repeats its offsets is no packing: undefined.
+    ``packed`` has these columns and ``ids``, an array or bytes, which are joined in the order of ``offset``. A
+    sequence holds at most ``capacity`` tokens, so no group is large. An empty table has no sequences.
     """
     parts = F.array_sort(F.collect_list(F.struct("offset", "length", "doc_id", "piece", "start", "ids")))
     rows = packed.repartition("sequence_id").groupBy("sequence_id").agg(parts.alias("pieces"))
-    ids = F.flatten(F.transform("pieces", lambda p: p["ids"]))
+    if packed.schema["ids"].dataType.typeName() == "binary":
+        ids = F.reduce("pieces", F.lit(b""), lambda whole, p: F.concat(whole, p["ids"]))
+    else:
+        ids = F.flatten(F.transform("pieces", lambda p: p["ids"]))
     return rows.select("sequence_id", ids.alias("ids"), F.transform("pieces", lambda p: p.dropFields("ids")).alias("pieces"))
 
 
@@ -373,30 +385,34 @@ def write_sequences(
 ) -> DataFrame:
     """Cuts ``docs`` as ``token_pieces`` does, packs the pieces, writes ``sequences`` to ``path`` and reads them.
 
-    Ids are written once as they are cut, shuffled once to their sequences and written there.
+    ``ids`` are bytes there: little-endian unsigned integers of ``id_bytes(tokenizer)`` bytes. They are written
+    once as they are cut, shuffled once to their sequences and written there. Null texts count as empty,
+    repeated rows each get their place, an empty table gives no sequence.
     """
-    rows = store(_cut(docs, tokenizer, end_id, capacity, doc_id, text, True), "pieces")
+    rows = store(_cut(docs, tokenizer, end_id, capacity, doc_id, text, id_bytes(tokenizer)), "pieces", "lz4_raw")
     made = sequences(_placed(rows, "length", capacity))
-    made.write.option("compression", "zstd").parquet(path)
+    made.write.option("compression", "lz4_raw").parquet(path)
     discard(rows)
     return docs.sparkSession.read.schema(made.schema).parquet(path)
 
 
-def piece_digests(made: DataFrame) -> DataFrame:
-    """The pieces that ``sequences`` hold, from the ids there: place, length and checksum of each."""
+def piece_digests(made: DataFrame, width: int) -> DataFrame:
+    """The pieces of written sequences, from the ids of ``width`` bytes there: place, length and checksum of each."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in filter(len, batches):
-            ids, pieces = batch["ids"], batch["pieces"]
-            values = memoryview(np.ascontiguousarray(ids.flatten().to_numpy(zero_copy_only=False).astype("<i4", copy=False))).cast("B")
-            each = pieces.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            sizes = ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            pieces = batch["pieces"]
+            each = pieces.value_lengths().to_numpy(zero_copy_only=False).tolist()
             flat = pieces.flatten()
-            offset, length = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("offset", "length"))
-            begin = np.repeat(np.cumsum(sizes) - sizes, each) + offset
-            sums = [zlib.crc32(values[4 * a : 4 * (a + n)]) for a, n in zip(begin.tolist(), length.tolist())]
+            ends = (flat.field("offset").to_numpy() + flat.field("length").to_numpy()).tolist()
+            sums, at = [], 0
+            for ids, n in zip(batch["ids"], each):
+                values = memoryview(np.frombuffer(ids.as_buffer(), f"<u{width}").astype("<u4")).cast("B")
+                borders = [0, *ends[at : at + n]]
+                sums += [zlib.crc32(values[4 * a : 4 * b]) for a, b in zip(borders, borders[1:])]
+                at += n
             columns = [flat.field(c) for c in ("doc_id", "piece", "start", "length")]
-            columns += [pa.array(sums, pa.int64()), batch["sequence_id"].take(pa.array(np.repeat(np.arange(len(batch)), each)))]
+            columns += [pa.array(sums, pa.int64()), batch["sequence_id"].take(pa.array(np.repeat(np.arange(len(each)), each)))]
             yield pa.RecordBatch.from_arrays([*columns, flat.field("offset")], names)
 
     names = [field.split()[0] for field in DIGESTS.split(", ")]

@@ -30,7 +30,8 @@ def op3_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, tokenizer = scratch_path(spark, "sequences"), public_tokenizers.path("byte_bpe_50k.json")
-    return packing.piece_digests(packing.write_sequences(table(spark, sf_dir, "documents"), path, tokenizer, END_ID))
+    made = packing.write_sequences(table(spark, sf_dir, "documents"), path, tokenizer, END_ID)
+    return packing.piece_digests(made, packing.id_bytes(tokenizer))
 
 
 def held_out() -> Column:

@@ -138,25 +138,26 @@ def test_packing(spark, odd):
         assert whole[one.sequence_id][one.offset : one.offset + one.length] == one.ids
 
 
-def test_digests_come_from_the_written_sequences(spark, odd):
-    made = packing.write_sequences(odd, scratch_path(spark, "sequences"), PATHS["byte_bpe_50k"], 2)
-    whole = {r.sequence_id: r for r in made.collect()}
-    rows = packing.piece_digests(made).collect()
-    assert len(rows) == sum(len(r.pieces) for r in whole.values())
+@pytest.mark.parametrize("name, width", [("byte_bpe_50k", 2), ("byte_bpe_50k", 4)])
+def test_digests_come_from_the_written_sequences(spark, odd, name, width, monkeypatch):
+    assert packing.id_bytes(PATHS[name]) == 2
+    monkeypatch.setattr(packing, "id_bytes", lambda tokenizer: width)
+    made = packing.write_sequences(odd, scratch_path(spark, "sequences"), PATHS[name], 2)
+    whole = {r.sequence_id: np.frombuffer(r.ids, f"<u{width}") for r in made.collect()}
+    rows = packing.piece_digests(made, width).collect()
+    assert sum(r.length for r in rows) == sum(map(len, whole.values())) and max(map(len, whole.values())) <= 1024
     for r in rows:
-        assert r.ids_crc32 == crc(whole[r.sequence_id].ids[r.offset : r.offset + r.length])
-    want = packing.token_pieces(odd, PATHS["byte_bpe_50k"], 2).collect()
-    key = lambda r: (str(r[0]), *r[1:])
+        assert r.ids_crc32 == crc(whole[r.sequence_id][r.offset : r.offset + r.length])
+    want = packing.token_pieces(odd, PATHS[name], 2).collect()
     got = [(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows]
-    assert sorted(got, key=key) == sorted(((r.doc_id, r.piece, r.start, r.length, crc(r.ids)) for r in want), key=key)
-    for r in whole.values():
-        assert sum(p.length for p in r.pieces) == len(r.ids) <= 1024
+    direct_rows = [(r.doc_id, r.piece, r.start, r.length, crc(r.ids)) for r in want]
+    assert sorted(map(str, got)) == sorted(map(str, direct_rows))
 
 
 def test_packing_no_documents(spark, empty):
     assert packing.pack(packing.token_pieces(empty, PATHS["byte_bpe_50k"], 2)).collect() == []
     made = packing.write_sequences(empty, scratch_path(spark, "sequences"), PATHS["byte_bpe_50k"], 2)
-    assert made.collect() == [] and packing.piece_digests(made).collect() == []
+    assert made.collect() == [] and packing.piece_digests(made, 2).collect() == []
 
 
 def test_packing_clashing_names_and_lengths_out_of_range(spark):
