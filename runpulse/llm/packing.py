@@ -389,9 +389,9 @@ def write_sequences(
     once as they are cut, shuffled once to their sequences and written there. Null texts count as empty,
     repeated rows each get their place, an empty table gives no sequence.
     """
-    rows = store(_cut(docs, tokenizer, end_id, capacity, doc_id, text, id_bytes(tokenizer)), "pieces", "lz4_raw")
+    rows = store(_cut(docs, tokenizer, end_id, capacity, doc_id, text, id_bytes(tokenizer)), "pieces")
     made = sequences(_placed(rows, "length", capacity))
-    made.write.option("compression", "lz4_raw").parquet(path)
+    made.write.option("compression", "zstd").parquet(path)
     discard(rows)
     return docs.sparkSession.read.schema(made.schema).parquet(path)
 
