@@ -102,17 +102,25 @@ def append_run_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _write_run_files(folder: str) -> Callable:
-    """A task function that stores each run as a file of its own; a repeated task writes the same files."""
+    """A task function that stores each run as a file of its own; a repeated task writes the same files.
+
+    The files lie in folders by the first digits of the run id, so that many tasks can list them.
+    """
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         files, root = FileSystem.from_uri(folder)
+        made = set()
         for batch in batches:
             for row in batch.itertuples():
+                inside = f"{root}/{row.run_id[:2]}"
+                if inside not in made:
+                    files.create_dir(inside)
+                    made.add(inside)
                 # A reader never sees half a file, whatever becomes of the task.
-                begun = f"{root}/.{row.run_id}-{uuid.uuid4().hex}"
+                begun = f"{inside}/.{row.run_id}-{uuid.uuid4().hex}"
                 with files.open_output_stream(begun) as out:
                     out.write(row.verbose_log.encode())
-                files.move(begun, f"{root}/{row.app_name}-log.dev.{row.run_id}.json")
+                files.move(begun, f"{inside}/{row.app_name}-log.dev.{row.run_id}.json")
             yield batch[["run_id"]]
 
     return write

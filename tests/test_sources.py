@@ -5,12 +5,14 @@ from datetime import timedelta
 from fnmatch import fnmatch
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from runpulse import sources as src
 from runpulse.functions import month_of
 from runpulse.schemas import ACQUISITIONS, FLAT_EVENTS
 from runpulse.session import shared_folder
+from runpulse.sources import run_files
 from util import NOW, log_of, run_row, run_table, uid, utc
 
 
@@ -125,6 +127,29 @@ def test_run_files(spark, tmp_path):
     assert got["reports"].modified_at is not None
 
 
+def test_run_files_are_listed_by_tasks(spark, tmp_path):
+    """The driver holds no list of files, and the tasks find what Spark's reader finds."""
+    deep = tmp_path / "2026" / "06 é%20" / "x"
+    for folder in (deep, tmp_path / "_half", tmp_path / ".gone", tmp_path / "_day=1"):
+        folder.mkdir(parents=True)
+    for n in range(40):
+        (tmp_path / "2026" / f"a{n}-log.dev.{uid(n)}.json").write_bytes(b"[%d]" % n)
+    (deep / f"é-log.dev.{uid(50)}.json").write_bytes(b"\xef\xbb\xbf[\xff]\r\n")
+    (deep / f"é-log.dev.{uid(51)}.json").write_bytes(b"")
+    (deep / f"_x-log.dev.{uid(52)}.json").write_text("[]")
+    for name in ("_half", ".gone", "_day=1"):
+        (tmp_path / name / f"{name[1:]}-log.dev.{uid(53)}.json").write_text("[]")
+    for path in (str(tmp_path), f"file://{tmp_path}/2026", f"{tmp_path}/*/*", f"{tmp_path}/2026/a1*.json"):
+        found = src.read_run_files(spark, path)
+        assert found.inputFiles() == []
+        columns = [F.regexp_extract("name", "^(.+)-log", 1), F.hex(F.col("verbose_log").cast("binary")), "modified_at"]
+        expected = run_files._read_by_spark(spark, path).select(*columns).collect()
+        got = found.select("app_name", F.hex(F.col("verbose_log").cast("binary")), "modified_at").collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, expected)) and got
+    with pytest.raises(AnalysisException):
+        src.read_run_files(spark, f"{tmp_path}/none")
+
+
 def test_acquisitions_are_stored_in_time_order(spark, tmp_path):
     rows = [(None, f"S{i}", "hhm", None, None, True, None, None, None, NOW - timedelta(minutes=i * 7 % 100)) for i in range(100)]
     path = str(tmp_path / "acq")
