@@ -3,6 +3,7 @@
 import os
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -12,6 +13,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from oracle import connect, duck_rows, spark_rows
 from runpulse.llm.queries import ORACLE, QUERIES
+from runpulse.session import shared_folder
 
 SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 
@@ -92,3 +94,28 @@ def test_stages_take_odd_and_no_documents(spark, odd, empty, at):
     assert rows and stage(spark, empty, SF_DIR).collect() == []
     if at < 4:
         assert out.columns == odd.columns
+
+
+def test_stages_delete_what_the_one_before_left(spark, tmp_path):
+    """Once the result is written; a result that is handed on unwritten, cached or not, keeps its tables."""
+    shared = Path(shared_folder(spark).removeprefix("file:"))
+    stored = lambda: {p.name for p in shared.iterdir() if p.name.startswith(("measured-", "printed-", "documents-"))}
+    stages = [stage for _, stage in corpus_pipeline.STAGES[1:4]]
+
+    def ids(df):
+        return sorted(str(r.doc_id) for r in df.select("doc_id").collect())
+
+    given = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    start, docs, results = stored(), given, []
+    for n, stage in enumerate(stages):
+        stage(spark, docs, SF_DIR).write.parquet(f"{tmp_path}/{n}")
+        docs = spark.read.parquet(f"{tmp_path}/{n}")
+        results.append(ids(docs))
+        assert len(stored() - start) == 1
+    for hold in (lambda df: df, lambda df: df.cache()):
+        docs = given
+        for n, stage in enumerate(stages):
+            docs = hold(stage(spark, docs, SF_DIR))
+            assert ids(docs) == results[n]
+        assert len(stored() - start) >= 3
+        assert ids(docs) == results[-1]
