@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from runpulse.llm import url_filter
 from runpulse.llm.queries import QUERIES, URL_RULES
 from runpulse.llm.url_filter import LEXICAL, host_and_path, learn, lexical_features, matched_rule, with_verdicts
 
@@ -116,6 +117,28 @@ def test_held_out_labels(spark, pages):
     assert sum((r["block_score"] >= 0.5) == (r["verdict"] == "block") for r in rows) >= 0.9 * len(rows)
 
 
+def test_all_labelled_urls_are_learned_from(spark, monkeypatch):
+    """More URLs than once were sampled: shares and counts are those of all, and several tasks learn."""
+    n = F.col("id")
+    kind = F.when(n < 24_000, F.concat(F.lit("pills"), n % 97, F.lit(".net/"))).otherwise(F.concat(F.lit("lab"), n % 89, F.lit(".org/fr/")))
+    path = F.concat(F.when(n < 12, "rare/").otherwise("often/"), n)
+    pages = spark.range(45_000).select(F.concat(F.lit("http://"), kind, path).alias("url"))
+    monkeypatch.setattr(url_filter, "URLS_PER_TASK", 10_000)
+    seen = []
+    fit = url_filter.GBTClassifier.fit
+    monkeypatch.setattr(url_filter.GBTClassifier, "fit", lambda self, rows: seen.append((rows.count(), rows.rdd.getNumPartitions(), self.getMaxBins())) or fit(self, rows))
+    model = learn(pages.union(pages.limit(100)), URL_RULES)
+    assert model.blocked == 24_000 / 45_000
+    known = {(r.kind, r.suffix): (r.urls, r.share) for r in model.statistics.collect()}
+    assert known["host_suffix", "net"][0] == 24_000 and known["host_suffix", "org"][0] == 21_000
+    share = 24_000 / 45_000
+    assert known["first_segment", "rare"] == (12, pytest.approx((12 + 20 * share) / 32))
+    (rows, tasks, bins), = seen
+    assert rows == 45_000 and tasks > 1 and bins**2 >= rows
+    wrong = with_verdicts(pages, URL_RULES, model).where((F.col("block_score") >= 0.5) != (F.col("verdict") == "block"))
+    assert wrong.count() == 0
+
+
 def test_nothing_to_learn_from(spark, pages):
     none = pages.where("url IS NULL")
     assert learn(none, URL_RULES) is None and learn(pages.limit(0), URL_RULES) is None
