@@ -9,11 +9,11 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, models, pre_tokenizers
 
 from llm_fixtures import ODD, documents, prose
 from runpulse.llm import packing, token_orc
-from runpulse.llm.tokenizing import TokenIds, segments
+from runpulse.llm.tokenizing import _BYTE_LETTERS, TokenIds, segments
 from runpulse.session import scratch_path
 
 PATHS = {name: public_tokenizers.path(f"{name}.json") for name in ("byte_bpe_50k", "word_bpe_49k")}
@@ -50,6 +50,56 @@ def test_long_texts_and_a_small_memory(name):
         assert ids.tolist() == direct(name, text)
 
 
+@settings(max_examples=300, deadline=None)
+@given(texts=st.lists(st.lists(st.text(st.sampled_from("aZéçÑĀšƀȿɐ×÷ª'._&$^`~0st"), max_size=6), max_size=9), max_size=4), line=st.booleans())
+def test_joined_words_get_the_ids_that_each_has(texts, line):
+    coder = CODERS["byte_bpe_50k"]
+    coder._forget()
+    texts = [("\n" if line else " ").join(words) for words in texts]
+    ids, counts = coder.encode([t.encode() for t in texts])
+    wanted = [direct("byte_bpe_50k", t) for t in texts]
+    assert ids.tolist() == [i for one in wanted for i in one] and counts.tolist() == [*map(len, wanted)]
+
+
+class Calls:
+    """``held`` but for counting the texts that it is given; ``model`` is counted too."""
+
+    def __init__(self, held, seen):
+        self.held, self.seen = held, seen
+
+    def __getattr__(self, name):
+        return Calls(self.held.model, self.seen) if name == "model" else getattr(self.held, name)
+
+    def encode_batch_fast(self, texts, **options):
+        self.seen += texts
+        return self.held.encode_batch_fast(texts, **options)
+
+    def tokenize(self, text):
+        self.seen.append(text)
+        return self.held.tokenize(text)
+
+
+def test_new_words_reach_the_library_many_at_once():
+    coder, seen = TokenIds(PATHS["byte_bpe_50k"]), []
+    words = ["".join(chr(ord("a") + n // 17**k % 17) for k in range(4)) + "é" * (n % 2) + ["", ".", "&&&"][n % 3] for n in range(20_000)]
+    text = " ".join(words[:10_000]) + "\n" + "\n".join(words[10_000:])
+    coder.tokenizer, coder._bare = Calls(coder.tokenizer, seen), Calls(getattr(coder, "_bare", None), seen)
+    assert coder.encode([text.encode()])[0].tolist() == direct("byte_bpe_50k", text)
+    assert len(seen) < 500
+
+
+@pytest.mark.parametrize("merge", [("a", ","), ("a", "Ġ"), ("Ċ", "a"), ("e", "&")])
+def test_words_stay_apart_where_a_token_reaches_into_the_next(merge, tmp_path):
+    letters = [*_BYTE_LETTERS.values(), "ae"]
+    vocab = {token: n for n, token in enumerate([*letters, "".join(merge)])}
+    made = Tokenizer(models.BPE(vocab, [merge, ("a", "e")]))
+    made.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    made.save(str(tmp_path / "made.json"))
+    text = "ae a, ae a ae,\na, ae&& a\nae"
+    ids, _ = TokenIds(str(tmp_path / "made.json")).encode([text.encode()])
+    assert ids.tolist() == made.encode(text, add_special_tokens=False).ids
+
+
 UNTOUCHED = {name: Tokenizer.from_file(path) for name, path in PATHS.items()}
 ADDING = {name: TokenIds(path, added=True) for name, path in PATHS.items()}
 
